@@ -20,7 +20,7 @@ CERTAIN = "\x00-\x1b\x20-\x84\x86-\u024f\u2010-\u2027\u2030-\u203e\u20ac"
 
 #: The fast way is checked against this pre-tokenizer only; other files always go to the library.
 BYTE_LEVEL = "ByteLevel"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 
 
 class WordEncoder:
@@ -49,11 +49,23 @@ class WordEncoder:
         self.words = re.compile(
             f"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{SPACES}{LETTERS}{DIGITS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
         ).findall
+        # A byte is spelt as its own character if that is visible in Latin-1, else as the next one from U+0100 on.
+        visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        hidden = (b for b in range(256) if b not in visible)
+        self.spelling = {b: 0x100 + k for k, b in enumerate(hidden)}
         self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words by the library's model, each spelt in its characters for bytes."""
+        tokenize, known = self.tokenizer.model.tokenize, self.known
+        for w in words:
+            if w not in known:
+                spelt = w.encode().decode("latin-1").translate(self.spelling)
+                known[w] = _packed([t.id for t in tokenize(spelt)])
+
     def ids(self, text: str) -> bytes:
         if not self.by_words or self.uncertain(text):
             return self._whole(text)
@@ -64,9 +76,7 @@ class WordEncoder:
         except KeyError:
             if len(known) > CACHE_WORDS:
                 known.clear()
-            new = [w for w in set(words) if w not in known]
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[w] = _packed(e.ids)
+            self._learn([w for w in words if w not in known])
             return b"".join(map(known.__getitem__, words))
 
 
