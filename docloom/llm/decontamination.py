@@ -48,9 +48,9 @@ def _at_shingles(docs: DataFrame, size: int, *keep: str) -> DataFrame:
 def contaminated_words(
     docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", part_windows: int = PART_WINDOWS
 ) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_words, n_hit, n_items, items (sorted ids as strings, comma-joined).
+    """One row for each row of ``docs``: doc_id, version, n_words, n_hit, n_items, items (sorted ids as strings, comma-joined).
 
-    ``n_hit`` counts the words that lie in an occurrence of an item window: ``window`` words in a row, or all words
+    ``version`` is the hash that tells texts of one doc_id apart. ``n_hit`` counts the words that lie in an occurrence of an item window: ``window`` words in a row, or all words
     of a shorter item. Null and empty texts have no words and no hits; an item without words has no windows. Equal
     items all count. Repeated rows each get a row with the same figures. Null ids are kept. With no items nothing
     is hit. Columns of other names are not read.
@@ -84,7 +84,7 @@ def contaminated_words(
             )
     figures = read.select("doc_id", "version", F.size("w").cast("long").alias("n_words"))
     if not found:
-        return figures.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("items"))
+        return figures.select("doc_id", "version", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("items"))
     hits = stored(reduce(DataFrame.unionAll, found).distinct(), "hits")
 
     # Places come in order of their start: each adds what lies beyond the furthest end so far.
@@ -102,5 +102,5 @@ def contaminated_words(
     for name, side in (("h", n_hit.alias("h")), ("o", owned.alias("o"))):
         out = out.join(side, F.col("f.doc_id").eqNullSafe(F.col(f"{name}.doc_id")) & (F.col("f.version") == F.col(f"{name}.version")), "left")
     return out.select(
-        "f.doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items", F.lit("")).alias("items")
+        "f.doc_id", "f.version", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items", F.lit("")).alias("items")
     )

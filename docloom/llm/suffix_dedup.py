@@ -19,13 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.suffix_array import suffix_array
-from docloom.plans.stored import drop_stored, stored
+from docloom.plans.stored import drop_stored, sized, stored
 
 LENGTH, GRAM = 400, 128
 #: Bytes hashed together; longer texts are read in overlapping parts. Places take PLACE_BITS of a sort key.
 PART, PLACE_BITS = 1 << 22, 24
-#: Sets of keys up to this size are broadcast (16 bytes each); larger ones are joined by a shuffle.
-BROADCAST_KEYS = 2_000_000
 #: Different contexts of one anchor that a task may hold.
 WIDE = 4096
 #: Bytes of a suffix array's symbol, and contexts taken together.
@@ -262,11 +260,6 @@ def _wide_offsets(contexts: DataFrame, length: int) -> DataFrame:
     )
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """``df`` to be broadcast if it is small enough for that, else as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
-
-
 def _cut(length: int, keep_text: bool):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
@@ -293,24 +286,25 @@ def _cut(length: int, keep_text: bool):
                 ))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), kind, pa.string())
             names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text")
-            yield pa.record_batch([b.column(0), *(pa.array([r[k] for r in rows], x) for k, x in enumerate(kinds))], names=["doc_id", *names])
+            yield pa.record_batch([b.column(0), *(pa.array([r[k] for r in rows], x) for k, x in enumerate(kinds)), b.column(3), b.column(4)], names=["doc_id", *names, "was_null", "rest"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = True) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept_text.
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = True, carry: list[str] | None = None) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept_text, was_null, rest.
 
     ``spans`` are the removed runs of bytes; ``kept_text`` is what is left, without characters that a cut split (null
-    with ``keep_text`` off). Null and empty texts, and such under ``length`` bytes, are kept whole. A repeated row is a document
+    with ``keep_text`` off). ``rest`` holds the columns named in ``carry``. Null and empty texts, and such under ``length`` bytes, are kept whole. A repeated row is a document
     of its own, so both it and its copy go. Null ids are kept. An empty table gives an empty result; other columns
     are not read. ``gram`` has to be a power of two and under ``length``.
     """
-    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("struct<none:int>")
+    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(text).isNull().alias("was_null"), rest.alias("rest"))
     whole = whole.withColumn("version", F.xxhash64("text"))
     anchors = stored(whole.select("doc_id", "version", "text").mapInArrow(_anchors(length, gram), ANCHORS), "anchors")
     again = stored(anchors.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token"), "tokens")
-    repeated = stored(anchors.join(_sized(again), "token"), "repeated")
+    repeated = stored(anchors.join(sized(again), "token"), "repeated")
     drop_stored(anchors)
     touched = stored(repeated.select("doc_id", "version").distinct(), "touched")
 
@@ -321,7 +315,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     alone = known.where("contexts = 1").select("token", "d1", "d2", F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))).alias("spans"))
 
     key = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "version")
-    keys = _sized(touched.select(key.alias("key")).distinct())
+    keys = sized(touched.select(key.alias("key")).distinct())
     keyed = whole.withColumn("key", key)
     affected = keyed.join(keys, "key", "left_semi")
 
@@ -336,11 +330,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     places = repeated.join(covered, ["token", "d1", "d2"]).groupBy(key.alias("key"), "doc_id", "version").agg(F.collect_set(F.struct("at", "spans")).alias("covered"))
     cut = affected.alias("d").join(places.alias("p"), (F.col("d.key") == F.col("p.key")) & (F.col("d.version") == F.col("p.version")) & F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")), "left")
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>, kept_text string"
-    changed = cut.select("d.doc_id", "text", "covered").mapInArrow(_cut(length, keep_text), out)
+    carried = whole.schema["rest"].dataType.simpleString()
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>, kept_text string, was_null boolean, rest " + carried
+    changed = cut.select("d.doc_id", "text", "covered", "was_null", "rest").mapInArrow(_cut(length, keep_text), out)
     zero = F.lit(0).cast("long")
     same = keyed.join(keys, "key", "left_anti").select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
-        F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"), (F.col("text") if keep_text else F.lit(None).cast("string")).alias("kept_text"),
+        F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"), (F.col("text") if keep_text else F.lit(None).cast("string")).alias("kept_text"), "was_null", "rest",
     )
     return changed.unionByName(same)

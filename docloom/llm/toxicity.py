@@ -117,3 +117,18 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(_score(model), f"doc_id {kind}, severity double, p_toxic double, grade int").withColumn("toxic", F.col("p_toxic") >= toxic_from)
+
+
+def _clean(model: Model, place: int, toxic_from: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ordinal = Ordinal(np.zeros(0), np.array(model.thresholds))
+        for b in batches:
+            scores = np.array([model.score(t.as_py()) for t in b.column(place)])
+            yield b.filter(pa.array(ordinal.grades(scores)[:, 0] < toxic_from))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, model: Model, text: str = "text", toxic_from: float = TOXIC_FROM) -> DataFrame:
+    """The rows of ``docs`` that aren't toxic, with all their columns; no join and no shuffle."""
+    return docs.mapInArrow(_clean(model, docs.columns.index(text), toxic_from), docs.schema)
