@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.plans import chunk_queries, log_queries, portal_queries, retrieval_queries, store_queries, text_queries
+
 FLAGSHIP = "hybrid_search"
+QUERIES = {k: v for m in (text_queries, chunk_queries, retrieval_queries, log_queries, store_queries, portal_queries) for k, v in m.QUERIES.items()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: q.run for name, q in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q.sql for name, q in QUERIES.items() if q.sql}

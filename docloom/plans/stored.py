@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_default: list[str] = []
 
@@ -43,3 +44,12 @@ def drop_stored(df: DataFrame) -> None:
     for folder in folders:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Tables of keys up to this many rows (some tens of bytes each) may be broadcast.
+BROADCAST_ROWS = 2_000_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if a count shows that it is small enough; beyond that Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
