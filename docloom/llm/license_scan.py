@@ -1,6 +1,6 @@
 """License scans: a trained paragraph classifier confirmed by templates.
 
-Paragraphs are lines, and sentences of longer lines. Sparse word n-gram logistic regressions, one for each licence family, are
+Paragraphs are lines, or else their sentences. Sparse word n-gram logistic regressions, one for each licence family, are
 trained on the families' notices with words dropped or added, against paragraphs of the corpus. Scores are calibrated to
 probabilities on paragraphs kept out of training; where no family is likely enough the class is unknown. A
 prediction counts if the paragraph also shares most of its words with one of the family's notices.
@@ -61,13 +61,13 @@ _WORD = re.compile(r"\w+(?:[.-]\w+)*").findall
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+")
 
 
-def paragraphs(text: str | None) -> list[str]:
-    """Lines, and also the sentences of lines that have several."""
+def paragraphs(text: str | None) -> list[list[str]]:
+    """Lines, each with its sentences after it if it has several."""
     out = []
     for line in (text or "").split("\n"):
         if line:
             parts = _SENTENCE.split(line)
-            out += parts if len(parts) == 1 else [line, *parts]
+            out.append([line] if len(parts) == 1 else [line, *parts])
     return out
 
 
@@ -171,19 +171,26 @@ def _like_notice(ws: list[str]) -> bool:
     return any(confirmation(ws, f) >= CONFIRM_FROM for f in FAMILIES)
 
 
+def _judge(model: Model, paragraph: str) -> tuple[str, str, float, float] | None:
+    ws = words(paragraph)
+    # Without a known word the score is the bias alone, which is unknown.
+    if len(ws) < 2 or not any((w,) in model.names for w in ws):
+        return None
+    chances = model.probabilities(ws)
+    best = int(chances.argmax())
+    if chances[best] < KNOWN_FROM or (sure := confirmation(ws, FAMILIES[best])) < CONFIRM_FROM:
+        return None
+    return paragraph, FAMILIES[best], float(chances[best]), sure
+
+
 def classify(model: Model, text: str | None) -> list[tuple[str, str, float, float]]:
-    """(paragraph, family, probability, confirmation) of the paragraphs that are licence notices."""
+    """(paragraph, family, probability, confirmation) of the lines that are licence notices, or else of their sentences that are."""
     out = []
-    for p in paragraphs(text):
-        ws = words(p)
-        if len(ws) < 2:
-            continue
-        if not any((w,) in model.names for w in ws):
-            continue  # no known word: the score is the bias alone, which is unknown
-        chances = model.probabilities(ws)
-        best = int(chances.argmax())
-        if chances[best] >= KNOWN_FROM and (sure := confirmation(ws, FAMILIES[best])) >= CONFIRM_FROM:
-            out.append((p, FAMILIES[best], float(chances[best]), sure))
+    for line, *sentences in paragraphs(text):
+        if found := _judge(model, line):
+            out.append(found)
+        else:
+            out += filter(None, (_judge(model, s) for s in sentences))
     return out
 
 

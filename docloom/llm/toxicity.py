@@ -17,8 +17,8 @@ from docloom.llm.ordinal import Ordinal, Sparse, fit
 GRADES = 4
 #: Bounds of the training sample, by label; the labelled rows with the least hashes are taken.
 MAX_TOXIC, MAX_CLEAN = 3000, 5000
-#: A feature is used if at least so many toxic training documents have it, and it is so many times likelier there.
-MIN_TOXIC, MIN_LIFT = 3, 5.0
+#: A feature is used if it is so many times likelier in toxic training documents, and that is this significant (log-likelihood ratio).
+MIN_LIFT, MIN_EVIDENCE = 5.0, 12.5
 #: A marker is so many times likelier in toxic than in clean documents; grades go by how many different ones a document has.
 MARKER_LIFT, GRADE_MARKERS = 10.0, (0, 2, 4)
 BEGINNING = 4
@@ -81,10 +81,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     row = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
     by = [np.bincount(column[toxic[row] == k], minlength=len(names)) for k in (0, 1)]
     lift = ((by[1] + 0.5) / (toxic.sum() + 1)) / ((by[0] + 0.5) / (len(toxic) - toxic.sum() + 1))
-    marker = (lift >= MARKER_LIFT) & (by[1] >= MIN_TOXIC)
+    both, rate = by[0] + by[1], toxic.mean()
+    part = lambda n, share: np.where(n > 0, n * np.log(np.maximum(n, 1) / np.maximum(both * share, 1e-9)), 0.0)
+    evidence = 2 * (part(by[1], rate) + part(by[0], 1 - rate))
+    marker = (lift >= MARKER_LIFT) & (evidence >= MIN_EVIDENCE)
     markers = np.bincount(row, marker[column], len(raw))
     grade = np.where(toxic == 1, sum((markers > m).astype(int) for m in GRADE_MARKERS[1:]) + 1, 0)
-    used = np.flatnonzero((by[1] >= MIN_TOXIC) & (lift >= MIN_LIFT))
+    used = np.flatnonzero((lift >= MIN_LIFT) & (evidence >= MIN_EVIDENCE))
     place = np.full(len(names), -1)
     place[used] = np.arange(len(used))
     keep = place[column] >= 0
