@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Elements by their part in a page.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "xmp", "iframe", "noframes", "noembed"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-NEVER = {"nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "head", "svg", "math", "canvas", "object", "figcaption", "audio", "video", "label"}
+NEVER = {"nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "head", "svg", "canvas", "object", "audio", "video", "label"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small",
     "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "nobr", "img", "picture", "source",
@@ -34,6 +34,8 @@ NOT_CONTENT = {
     "teaser", "toc", "toolbar", "widget", "alert", "topbar", "copyright", "discussion", "responses",
 }
 CONTENT = {"article", "main", "content", "post", "entry", "story"}
+#: Of these, those that make even an article or main element one that is not content.
+NOT_ARTICLE = {"ad", "ads", "advert", "advertisement", "comment", "comments", "promo", "recommended", "related", "replies", "reply", "response", "responses", "sponsored", "teaser"}
 #: Frequent function words of four languages.
 STOP_WORDS = frozenset(
     """
@@ -52,6 +54,7 @@ SHORT, LONG = 70, 200  # characters
 STOP_LOW, STOP_HIGH = 0.20, 0.30
 LINKS = 0.33
 FAR = 1 << 60
+ARTICLE = 1 << 30
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)""", re.S)
 _HINTS = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -63,7 +66,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 class Block:
     text: str
     links: int = 0
-    main: int = 0  # which article or main part it lies in; 0: none
+    main: int = 0  # which article (above ARTICLE) or main part it lies in; 0: none
     never: bool = False
     heading: bool = False
     good: bool | None = None
@@ -77,8 +80,8 @@ class _Scan:
     heading: bool = False
 
 
-def _hints(attributes: str) -> tuple[bool, bool]:
-    """Whether class, id or role names a part that never is content; or the content."""
+def _hints(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether class, id or role names a part that never is content; or the content. A header of content is its title."""
     names: set[str] = set()
     for m in _HINTS.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
@@ -86,7 +89,11 @@ def _hints(attributes: str) -> tuple[bool, bool]:
             return True, False
         if key in ("class", "id", "role"):
             names.update(x.lower() for x in _PARTS.findall(value))
-    return bool(names & NOT_CONTENT), bool(names & CONTENT)
+    content = bool(names & CONTENT)
+    if name in MAIN:
+        return bool(names & NOT_ARTICLE), content
+    bad = names & NOT_CONTENT
+    return bool(bad - {"header"} if inside or content else bad), content
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -165,13 +172,12 @@ def blocks_of(page: str) -> list[Block]:
                 scan.heading = False
         bad, content = (False, False)
         if m[3] and name not in ("a", "html", "body"):
-            bad, content = _hints(m[3])
+            bad, content = _hints(name, m[3], main > 0)
         header = name == "header" and main  # an article's own header holds its title
-        never = never or (name in NEVER and not header) or bad and not (name in MAIN)
-        if not never and (name in MAIN or content and not main):
-            if not main:
-                mains += 1
-                main = mains
+        never = never or (name in NEVER and not header) or bad
+        if not never and (name == "article" and main < ARTICLE or (name == "main" or content) and not main):
+            mains += 1
+            main = mains + (ARTICLE if name == "article" else 0)
         link = link or name == "a"
         if not m[3].endswith("/"):
             stack.append((name, never, main, link))
@@ -192,6 +198,9 @@ def classify(blocks: list[Block]) -> list[Block]:
     equally near. A part with no decided block is good if it is an article or main part, else bad.
     """
     has_main = any(b.main and not b.never for b in blocks)
+    if any(b.main > ARTICLE and not b.never for b in blocks):  # what else a main part holds is around the article
+        for b in blocks:
+            b.main = b.main if b.main > ARTICLE else 0
     for b in blocks:
         size = len(b.text)
         words = _WORD.findall(b.text.lower())

@@ -74,5 +74,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in own}
 
 
+#: Windows of item words in documents by joins of joined words; the other operators can't be had in SQL.
+DECONTAMINATION_SQL = r"""
+WITH item AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(10, len(w)) AS size FROM item WHERE len(w) > 0),
+win AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, size, array_to_string(w[k:k + size - 1], ' ') AS said FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS k FROM sized)),
+doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+spot AS (SELECT doc_id, k, size, array_to_string(w[k:k + size - 1], ' ') AS said FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM doc, (SELECT DISTINCT size FROM win) WHERE len(w) >= size)),
+hit AS (SELECT doc_id, k, spot.size, item_id FROM spot JOIN win ON spot.said = win.said AND spot.size = win.size),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM hit) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": DECONTAMINATION_SQL}

@@ -58,3 +58,11 @@ def test_empty_tables_and_repeated_rows(spark):
 
 def test_separators_are_the_contracts():
     assert re.split(decontamination.SEPARATORS, "a-b\x7fc\x80d") == ["a", "b", "c\x80d"]
+
+
+def test_query_matches_its_sql(spark):
+    from docloom.llm import queries
+    from tests.oracle import compare
+
+    sf = "/root/testdata/sf0.001"
+    assert compare(queries.op2_decontamination(spark, sf), sf, queries.oracle_sql()["op2_decontamination"]) == ""

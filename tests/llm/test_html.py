@@ -22,6 +22,13 @@ def test_page_without_an_article_uses_block_rules():
     assert main_text(page).split("\n") == [text, "Yes.", text]
 
 
+def test_main_parts_and_their_headers():
+    page = f"""<body><main class="has-sidebar"><p>Crumb text here</p><article class="post"><div class="entry-header"><h1>T</h1></div><figure><figcaption>Cap.</figcaption></figure><p>{LONG}</p>
+    <div class="post-share">Share</div><div class="entry-content"><p>B</p></div></article><article class="comment"><p>{LONG * 2}</p></article><p>{LONG * 2}</p></main></body>"""
+    assert main_text(page).split("\n") == ["T", "Cap.", LONG.strip(), "B"]
+    assert main_text(f'<body><div class="top-menu">Menu</div><div id="content"><div class="page-header">H</div><p>{LONG}</p><p>x</p></div><div id="footer">f</div></body>').split("\n") == ["H", LONG.strip(), "x"]
+
+
 def test_short_blocks_take_the_nearest_label():
     blocks = classify(blocks_of(f"<p>a</p><p>{LONG*2}</p><p>b</p><p>c</p><p>{'qq zz '*60}</p><p>d</p>"))
     assert [b.good for b in blocks] == [True, True, True, False, False, False]
