@@ -70,3 +70,14 @@ def stats(c: Column) -> dict[str, Column]:
         "score": score(c),
         "is_useful": rejection(c).isNull(),
     }
+
+
+def is_index_page(c: Column, share: float = 0.5) -> Column:
+    """Whether most of a page's filled lines are links; a rule of our own in place of a judgement."""
+    filled = F.filter(F.transform(lines(c), lambda x: strip(x)), lambda x: x != "")
+    links = F.filter(filled, lambda x: x.rlike(r"^[-*\s]*\[[^\]]*\]\([^)]*\)"))
+    return (F.size(filled) > 0) & (F.size(links) / F.greatest(F.size(filled), F.lit(1)) >= share)
+
+
+def worth_distilling(total_chars: Column, least: int = 2000) -> Column:
+    return total_chars >= least

@@ -31,23 +31,23 @@ def header_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", max_
     level = F.when((depth > 0) & (depth <= max_level), depth).when(marker & (depth == 0), F.lit(2))
     said = F.when(depth > 0, strip(F.regexp_extract("line", HEADER, 2))).otherwise(strip(F.col("line")))
     marked = table.withColumn("lvl", level).withColumn("said", F.when(F.col("lvl").isNotNull(), said)).withColumn("chunk_no", F.sum(F.col("lvl").isNotNull().cast("int")).over(own))
-    # The header lines alone carry the stack: a chunk has the stack of its header.
-    heads = marked.where(F.col("lvl").isNotNull()).select(key, "ln", "lvl", "said", "chunk_no").withColumn("short", truncate_header(F.col("said"), category))
+    short = F.when(F.col("lvl").isNotNull(), truncate_header(F.col("said"), category))
+    marked = marked.withColumn("short", short)
     alive = []
     for k in range(1, max_level + 1):
         at = F.max(F.when(F.col("lvl") == k, F.col("ln"))).over(own)
         killed = F.max(F.when(F.col("lvl") < k, F.col("ln"))).over(own)
         names = F.last(F.when(F.col("lvl") == k, F.struct("short", "said")), ignorenulls=True).over(own)
         alive.append(F.when(at.isNotNull() & (killed.isNull() | (at > killed)), names))
-    stack = F.filter(F.array(*alive), lambda x: x.isNotNull())
-    stacked = heads.select(key, "chunk_no", F.col("lvl").alias("level"), stack.alias("stack"))
-    body = marked.groupBy(key, "chunk_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda s: s["line"]), "\n").alias("text"))
-    joined = body.join(stacked, [key, "chunk_no"], "left")
+    # All windows share one order, and the chunks are groups within a document: one shuffle by document serves the whole plan.
+    stacked = marked.withColumn("stack", F.when(F.col("lvl").isNotNull(), F.filter(F.array(*alive), lambda x: x.isNotNull())))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda s: s["line"]), "\n")
+    chunks = stacked.groupBy(key, "chunk_no").agg(listed.alias("text"), F.first("stack", ignorenulls=True).alias("stack"), F.max("lvl").alias("level"))
     above = F.slice("stack", 1, F.greatest(F.size("stack") - 1, F.lit(0)))
-    return joined.select(
+    none = F.array().cast("array<string>")
+    return chunks.select(
         key, F.col("chunk_no").cast("int").alias("chunk_no"), F.coalesce("level", F.lit(0)).alias("level"), F.element_at("stack.short", -1).alias("header"), F.element_at("stack.said", -1).alias("full_header"),
-        F.coalesce(F.transform(above, lambda x: x["short"]), F.array().cast("array<string>")).alias("ancestors"),
-        F.coalesce(F.transform(above, lambda x: x["said"]), F.array().cast("array<string>")).alias("full_ancestors"), "text",
+        F.coalesce(F.transform(above, lambda x: x["short"]), none).alias("ancestors"), F.coalesce(F.transform(above, lambda x: x["said"]), none).alias("full_ancestors"), "text",
     )
 
 

@@ -121,6 +121,18 @@ def chapter_titles(table: DataFrame, key: str = "doc_id") -> DataFrame:
     return out.where(F.col("line").isNotNull())
 
 
+def title_block(table: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Several top headers at a document's start, blank lines apart, as one upper-cased header."""
+    own = Window.partitionBy(key).orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
+    filled = table.where(strip(F.col("line")) != "")
+    head = F.col("line").rlike(r"^#\s") & ~F.col("line").rlike(r"(?U)^#\s*CHƯƠNG\s")
+    led = filled.withColumn("led", F.min(head.cast("int")).over(own) == 1)
+    joined = F.upper(F.concat(F.lit("# "), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("led"), F.struct("ln", "line"))).over(Window.partitionBy(key))), lambda s: F.regexp_replace(s["line"], r"^#\s*", "")), " ")))
+    first = F.col("ln") == F.min("ln").over(Window.partitionBy(key))
+    said = led.withColumn("line", F.when(F.col("led"), F.when(first, joined)).otherwise(F.col("line")))
+    return said.where(F.col("line").isNotNull()).drop("led")
+
+
 def tidy(table: DataFrame, key: str = "doc_id") -> DataFrame:
     """Without empty headers and without a rule right after a rule, blank lines apart."""
     own = Window.partitionBy(key).orderBy("ln")

@@ -195,3 +195,41 @@ def elapsed(seconds: Column) -> Column:
     """``Never``, ``Just now``, ``5m ago``, ``3h ago``, ``2d ago``."""
     ago = lambda size, unit: F.concat(F.floor(seconds / size).cast("string"), F.lit(f"{unit} ago"))
     return F.when(seconds.isNull(), "Never").when(seconds < 60, "Just now").when(seconds < 3600, ago(60, "m")).when(seconds < 86400, ago(3600, "h")).otherwise(ago(86400, "d"))
+
+
+def increment(users: DataFrame, ids: DataFrame, column: str, by: int = 1, key: str = "id") -> DataFrame:
+    """A counter raised for the listed users, once for each time that they are listed."""
+    times = ids.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__n"))
+    joined = users.join(times, users[key] == times["__k"], "left")
+    return joined.withColumn(column, F.coalesce(column, F.lit(0)) + F.coalesce("__n", F.lit(0)) * by).drop("__k", "__n")
+
+
+def set_avatar(users: DataFrame, target, url: str | None, public_id: str | None, now: Column, key: str = "id") -> DataFrame:
+    """A user's avatar set, or unset where there is no address."""
+    new = F.struct(F.lit(url).alias("url"), F.lit(public_id).alias("public_id"), now.alias("uploaded_at")) if url else F.lit(None)
+    return users.withColumn("avatar", F.when(F.col(key) == target, new).otherwise(F.col("avatar")))
+
+
+def is_email(c: Column) -> Column:
+    return c.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$")
+
+
+def update_row(df: DataFrame, target, changes: dict[str, Column], key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """The table with one row's columns changed, and that row."""
+    hit = F.col(key) == target
+    out = df.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in changes.items()})
+    return out, out.where(hit)
+
+
+def name_exists(names: DataFrame, cache: DataFrame, users: DataFrame, now: Column) -> DataFrame:
+    """Whether names exist: by live cache rows (keys ``name:``), else by the users."""
+    held = live_keys(cache, now).select(F.expr("substring(key, 6)").alias("username"), (F.col("value") == "true").alias("__cached"))
+    known = users.select("username").distinct().withColumn("__known", F.lit(True))
+    joined = names.join(held, "username", "left").join(known, "username", "left")
+    return joined.select("username", F.coalesce("__cached", "__known", F.lit(False)).alias("taken"))
+
+
+def message_metadata(sources: Column, tools: Column) -> Column:
+    """What a chat message keeps of its sources and tool calls, as strings by name."""
+    said = lambda a: F.to_json(a)
+    return F.map_filter(F.map_from_arrays(F.array(F.lit("sources"), F.lit("tools")), F.array(said(sources), said(tools))), lambda _, v: v.isNotNull() & (v != "[]"))

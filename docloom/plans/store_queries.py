@@ -278,7 +278,31 @@ def subscribe_topic(spark: SparkSession, d: str) -> DataFrame:
 
 SUBSCRIBE = "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events WHERE event_type = 'click'"
 
+def user_updates(spark: SparkSession, d: str) -> DataFrame:
+    """Counters raised by orders, and whose address is one."""
+    users = _users(spark, d).withColumn("reputation", F.when(F.col("id") % 2 == 0, F.col("id")))
+    raised = store.increment(users, read(spark, d, "orders").select(F.col("o_custkey").alias("id")), "reputation", 2)
+    return raised.select("id", "reputation", store.is_email(F.concat(F.col("email"), F.when(F.col("id") % 4 == 0, "!").otherwise(""))).alias("mail_ok"))
+
+
+UPDATES = "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE 0 END + 2 * coalesce(n, 0) AS reputation, c_custkey % 4 <> 0 AS mail_ok FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey"
+
+
+def cached_names(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events")
+    name = F.format_string("Customer#%09d", F.col("user_id"))
+    cache = e.select(F.concat(F.lit("name:"), name).alias("key"), F.when(F.col("value") > 50, "true").otherwise("false").alias("value"), F.col("ts").alias("set_at"), F.lit(86400 * 2).cast("long").alias("ttl_seconds"), F.col("event_id").alias("seq"))
+    asked = e.select(name.alias("username")).distinct().unionAll(spark.createDataFrame([("nobody",)], "username string"))
+    return store.name_exists(asked, cache, _users(spark, d).where("id % 3 = 0"), _now())
+
+
+CACHED = f"""WITH e AS (SELECT printf('Customer#%09d', user_id) AS username, user_id, value > 50 AS v, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)
+SELECT username, CASE WHEN 172800 - (epoch(TIMESTAMP '{NOW}') - floor(epoch(ts))) > 0 THEN v ELSE user_id % 3 = 0 AND user_id IN (SELECT c_custkey FROM customer) END AS taken FROM e WHERE n = 1 UNION ALL SELECT 'nobody', false"""
+
+
 QUERIES = {
+    "user_updates": Query(user_updates, UPDATES),
+    "cached_names": Query(cached_names, CACHED),
     "last_n_messages": Query(last_n_messages, LAST),
     "session_counts": Query(session_counts, COUNTS),
     "delete_by_session": Query(delete_by_session, DELETED),

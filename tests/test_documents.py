@@ -5,7 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from docloom.functions.text import strip
+from docloom.functions import quality
 from docloom.operators import chunking, markdown, portal
 from docloom.sources import files, sinks
 
@@ -39,6 +39,16 @@ def test_chapter_titles_and_tidying(spark):
     assert fixed(spark, "# CHƯƠNG I\n\n## Quy định chung\nx\n#\n---\n---\ny", markdown.chapter_titles, markdown.tidy) == "# CHƯƠNG I - QUY ĐỊNH CHUNG\nx\n---\ny"
 
 
+def test_title_block(spark):
+    assert fixed(spark, "# Quy chế\n\n# đào tạo\n*note*\n# Later", markdown.title_block) == "# QUY CHẾ ĐÀO TẠO\n*note*\n# Later"
+    assert fixed(spark, "x\n# One", markdown.title_block) == "x\n# One"
+
+
+def test_index_pages(spark):
+    got = docs(spark, "- [a](b)\n[c](d)\ntext", "text\n\nmore [x](y)", "").orderBy("doc_id").select(quality.is_index_page(F.col("text")).alias("i"))
+    assert [r.i for r in got.collect()] == [True, False, False]
+
+
 def test_curriculum_lines(spark):
     lines = ["[1.2. Mục](http://x)", "**Về kiến thức:**", "‒ item", "plain"]
     got = spark.createDataFrame([(x,) for x in lines], "x string").select(markdown.curriculum_lines(F.col("x")).alias("y"))
@@ -179,4 +189,3 @@ def test_crawl(spark):
 def test_portal_session(spark):
     pages = spark.createDataFrame([("<a>Đăng xuất</a>", "x"), ("<input id='edit-name'>", "user/login")], "html string, url string")
     assert [(r.logged_in, r.expired) for r in files.fetched(pages).collect()] == [(True, False), (False, True)]
-    assert strip is not None
