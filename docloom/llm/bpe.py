@@ -20,7 +20,7 @@ CERTAIN = "\x00-\x1b\x20-\x84\x86-\u024f\u2010-\u2027\u2030-\u203e\u20ac"
 
 #: The fast way is checked against this pre-tokenizer only; other files always go to the library.
 BYTE_LEVEL = "ByteLevel"
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 
 
 class WordEncoder:

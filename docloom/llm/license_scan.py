@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.ordinal import Sparse
+from docloom.llm.samples import least_hashes
 
 #: Short notices by licence family.
 NOTICES = {
@@ -50,8 +51,8 @@ NOTICES = {
     "Proprietary": ["All rights reserved.", "No part of this work may be reproduced without written permission of the copyright holder.", "Confidential and proprietary."],
 }
 FAMILIES = list(NOTICES)
-#: Bound of the corpus paragraphs that training takes as examples of no licence: those with the least hashes.
-MAX_PARAGRAPHS = 20_000
+#: Bounds of the corpus paragraphs that training takes as examples of no licence, and of the documents that they come from.
+MAX_DOCUMENTS, MAX_PARAGRAPHS = 1500, 20_000
 VARIANTS = 60
 #: Least calibrated probability of a family, and least share of words with a notice.
 KNOWN_FROM, CONFIRM_FROM = 0.5, 0.6
@@ -207,9 +208,10 @@ def _scan(model: Model):
 
 
 def training_paragraphs(docs: DataFrame) -> list[str]:
-    """At most MAX_PARAGRAPHS different lines of the corpus."""
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
-    return [r.line for r in lines.orderBy(F.xxhash64("line"), "line").limit(MAX_PARAGRAPHS).collect()]
+    """At most MAX_PARAGRAPHS lines of MAX_DOCUMENTS documents."""
+    ids = least_hashes(docs.select("doc_id").where("doc_id is not null"), MAX_DOCUMENTS, F.xxhash64("doc_id"), "doc_id").distinct()
+    some = docs.join(F.broadcast(ids), "doc_id").select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    return [r.line for r in some.orderBy(F.xxhash64("line"), "line").limit(MAX_PARAGRAPHS).collect()]
 
 
 def scan_licenses(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.ordinal import Ordinal, Sparse, fit
+from docloom.llm.samples import least_hashes
 
 GRADES = 4
 #: Bounds of the training sample, by label; the labelled rows with the least hashes are taken.
@@ -50,8 +51,7 @@ def _sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, f
     """(text, toxic) of at most MAX_TOXIC and MAX_CLEAN labelled documents; and what share of its label each is."""
     judged = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     total = {r.toxic: r.n for r in judged.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    order = F.xxhash64("doc_id")
-    parts = [judged.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(most) for k, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
+    parts = [least_hashes(judged.where(F.col("toxic") == k), most, F.xxhash64("doc_id"), "doc_id") for k, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     chosen = parts[0].unionAll(parts[1])
     share = {k: min(1.0, most / total[k]) for k, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)) if total.get(k)}
     return docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), share  # the broadcast side has MAX_TOXIC + MAX_CLEAN rows at most

@@ -41,3 +41,6 @@ def test_training_sample_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(license_scan, "MAX_PARAGRAPHS", 5)
     docs = spark.createDataFrame([(i, f"line {i}\n\nother {i}") for i in range(20)], "doc_id long, text string")
     assert len(license_scan.training_paragraphs(docs)) == 5
+    monkeypatch.setattr(license_scan, "MAX_DOCUMENTS", 2)
+    monkeypatch.setattr(license_scan, "MAX_PARAGRAPHS", 50)
+    assert len(license_scan.training_paragraphs(docs)) == 4
