@@ -7,13 +7,14 @@ have plug-in points with offline stand-ins that are named as such.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.fixed_values import PROGRAM_KEYWORDS, UNIVERSITY_NAMES
 from docloom.functions.text import strip_metadata
-from docloom.plans.stored import sized
+from docloom.plans.stored import sized, stored
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,21 +36,27 @@ def top_k(scored: DataFrame, k: int, group: str = "qid", score: str = "score", k
     return scored.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, min_score: float = 0.15, metric: str = "cosine") -> DataFrame:
+#: So many queries at most, on average, go to all tasks at once; more take more scans of the vectors.
+BLOCK_QUERIES = 10_000
+
+
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, min_score: float = 0.15, metric: str = "cosine", block: int = BLOCK_QUERIES) -> DataFrame:
     """(qid, chunk_id, score, rank) from queries (qid, query_vector) and vectors (chunk_id, embedding).
 
     Scores are rounded to six places, so that the order of equal ones doesn't hang on the order of summing.
-    Every query is scored against every vector, so the queries are the side that goes to all tasks; a query set too large for
-    that has to be cut into parts. Rows under ``min_score`` go after the ranks are given. Spark keeps the best k of each task before
-    the shuffle.
+    Every query is scored against every vector. The queries are the side that goes to all tasks, in blocks by the hash of their
+    qid: a block has all rows of a qid, so its ranks are final. Rows under ``min_score`` go after the ranks are given. Spark keeps
+    the best k of each task before the shuffle.
     """
-    if queries.count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries at once: score them in parts")
-    scored = vectors.join(F.broadcast(queries)).select("qid", "chunk_id", F.round(similarity(F.col("query_vector"), F.col("embedding"), metric), 6).alias("score"))
-    return top_k(scored, k).where(F.col("score") >= min_score)
-
-
-MAX_QUERIES = 10_000
+    blocks = max(1, -(-queries.count() // block))
+    if blocks > 1:
+        queries = stored(queries, "queries")
+    found = []
+    for part in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == part) if blocks > 1 else queries
+        scored = vectors.join(F.broadcast(own)).select("qid", "chunk_id", F.round(similarity(F.col("query_vector"), F.col("embedding"), metric), 6).alias("score"))
+        found.append(top_k(scored, k).where(F.col("score") >= min_score))
+    return reduce(DataFrame.unionAll, found)
 
 
 def terms(text: Column) -> Column:

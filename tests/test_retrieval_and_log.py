@@ -88,3 +88,10 @@ def test_streams_match_batches(spark, tmp_path):
     clients = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "user_id long, client_id long, connected_at long")
     sent = events.route(source.withColumnRenamed("thread_id", "recipient_id"), clients)
     assert events.run_available(sent, "routed", "append", f"{tmp_path}/c3").select("client_id").distinct().collect()[0][0] == 11
+
+
+def test_queries_beyond_one_block_are_all_scored(spark):
+    rows = [(k, [float(k % 7), float(k % 5) + 1, float(k % 3)]) for k in range(60)]
+    asked, vectors = spark.createDataFrame(rows[:23], "qid long, query_vector array<float>"), spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+    whole, cut = (sorted(map(tuple, retrieval.dense_top_k(asked, vectors, 4, block=n).collect())) for n in (100, 5))
+    assert whole == cut and len({r[0] for r in cut}) == 23
