@@ -52,6 +52,7 @@ STOP_WORDS = frozenset(
 
 SHORT, LONG = 70, 200  # characters
 STOP_LOW, STOP_HIGH = 0.20, 0.30
+STOP_LEAST = 0.10  # of a page whose language is one of the four
 LINKS = 0.33
 FAR = 1 << 60
 ARTICLE = 1 << 30
@@ -188,6 +189,22 @@ def blocks_of(page: str) -> list[Block]:
     return scan.blocks
 
 
+def _stops(text: str) -> float:
+    """Share of stop words."""
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def _untold(blocks: list[Block]) -> bool:
+    """Whether no block has the length and stop words to be good, or the text that is not links has hardly any stop words.
+
+    Blocks count by their characters, as a language without spaces has few words.
+    """
+    told = [(len(b.text), _stops(b.text)) for b in blocks if not b.never and b.links <= LINKS * len(b.text)]
+    decided = any(size >= LONG and stops >= STOP_LOW or size >= SHORT and stops >= STOP_HIGH for size, stops in told)
+    return not decided or sum(size * stops for size, stops in told) < STOP_LEAST * sum(size for size, _ in told)
+
+
 def classify(blocks: list[Block]) -> list[Block]:
     """Decide ``good`` of every block.
 
@@ -195,16 +212,20 @@ def classify(blocks: list[Block]) -> list[Block]:
     is bad, and a block of middle length needs many to be good. In an article or main part, whose
     boilerplate is marked as such, few stop words (tables, other languages, names) decide nothing. Pass two: an undecided block takes the label
     of the nearest decided neighbours in its own part of the page; between two it takes good if either is good and
-    equally near. A part with no decided block is good if it is an article or main part, else bad.
+    equally near. A part with no decided block is good if it is an article or main part, else bad. A page without an article or
+    main part is one itself if stop words can't tell its text (see :func:`_untold`).
     """
     has_main = any(b.main and not b.never for b in blocks)
+    if not has_main and _untold(blocks):
+        for b in blocks:
+            b.main = 0 if b.never else 1
+        has_main = True
     if any(b.main > ARTICLE and not b.never for b in blocks):  # what else a main part holds is around the article
         for b in blocks:
             b.main = b.main if b.main > ARTICLE else 0
     for b in blocks:
         size = len(b.text)
-        words = _WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+        stops = _stops(b.text)
         density = b.links / size
         if b.never or has_main and not b.main or density > LINKS and not (b.main and b.heading):
             b.good = False

@@ -45,3 +45,16 @@ def test_operator(spark):
     assert len(got) == 5 and all(r.n_chars == len(r.text) for r in got)
     assert max(r.n_chars for r in got) == 20_000 * 9 - 1
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+LINKED = "<div><a href=x>Home and more of it</a> <a href=y>Contact</a></div>"
+POLISH = "Wczoraj wieczorem nad rzeką zebrali się mieszkańcy miasteczka, żeby obejrzeć pokaz sztucznych ogni przygotowany przez strażaków. Później wszyscy wrócili spokojnie swoimi ścieżkami, rozmawiając jeszcze długo przed domami."
+RUSSIAN = "Вчера вечером жители городка собрались у реки, чтобы посмотреть праздничный салют, который приготовили пожарные. Потом все спокойно разошлись по домам и ещё долго разговаривали у ворот, вспоминая прошлые годы."
+CHINESE = "昨天晚上镇上的居民聚集在河边观看消防员准备的烟花表演" * 10
+MIDDLE = "Rain fell across northern towns Monday, and several roads were closed by midday floods."
+
+
+@pytest.mark.parametrize("paragraphs", [["Short text.", "Another one."], [MIDDLE, MIDDLE], [POLISH, "Koniec."], [RUSSIAN, RUSSIAN], [CHINESE, "完"], [CHINESE * 4, LONG.strip()]])
+def test_unmarked_pages_that_stop_words_cannot_tell(paragraphs):
+    page = f"<body><nav>{LONG * 2}</nav>{LINKED}{''.join(f'<p>{p}</p>' for p in paragraphs)}{LINKED}<footer>{LONG * 2}</footer></body>"
+    assert main_text(page).split("\n") == paragraphs
