@@ -63,8 +63,9 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400, keep_text=False)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400, keep_text=False, report=suffix_dedup.PASSAGE)
+    passages = [F.size("reported").cast("long").alias("n_passages"), F.expr("aggregate(reported, 0L, (n, r) -> n + r.stop - r.start)").alias("passage_bytes")]
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *passages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

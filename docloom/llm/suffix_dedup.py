@@ -1,17 +1,22 @@
-"""Exact-substring dedup over UTF-8 bytes: every byte of a string of ``length`` bytes that also starts elsewhere goes.
-
-Each window of ``length`` bytes is owned by its least k-gram (by hash, the first of equals), so equal windows have equal
-anchors at equal places, and a window is repeated only if its anchor is. Only the contexts of repeated anchors, a few
-hundred bytes each, are compared. Equal contexts are one from then on, with a count. Different contexts of an anchor
-are ordered by suffix arrays (:mod:`docloom.llm.suffix_array`) of what follows and, reversed, of what precedes the anchor; two windows are equal
-where both common prefixes reach far enough. An anchor with more different contexts than a task should hold is
-settled by digests of its windows, which Spark counts.
+"""Exact-substring dedup over UTF-8 bytes: strings of a length that also start elsewhere.
+
+A rule (:class:`Repeat`) names that length; several rules may be asked at once. Each window of the shortest rule's length is owned
+by its least k-gram (by hash, the first of equals), and a longer window by the owner of its beginning, so equal windows have equal
+anchors at equal places, and a window is repeated only if its anchor is. Only the contexts of repeated anchors, a few hundred
+bytes each, are compared. Equal contexts of an anchor are one from then on, with a count. The contexts of an anchor
+are ordered by suffix arrays (:mod:`docloom.llm.suffix_array`) of what follows and, reversed, of what precedes the anchor; two
+windows are equal where both common prefixes reach far enough, whatever their length.
+
+An anchor with more contexts than a task should hold is cut: its windows are dealt by halves of their places, then quarters
+and so on, to longer anchors that all windows of such a range have in common. The last range is one place, whose anchor is the window
+itself, so this ends with one context for each anchor.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +24,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.suffix_array import suffix_array
-from docloom.plans.stored import drop_stored, sized, stored
+from docloom.plans.stored import drop_stored, free_shuffles, sized, small, stored
 
-LENGTH, GRAM = 400, 128
+
+@dataclass(frozen=True)
+class Repeat:
+    """Bytes covered by strings of ``length`` bytes that start twice or more, if ``across`` in two documents or more.
+
+    Runs of such bytes count only if they hold ``words`` whole words (between white space) or more.
+    """
+
+    length: int = 400
+    across: bool = False
+    words: int = 0
+
+
+LENGTH = 400
+#: A passage of over 50 words that several documents have. 51 words are 200 bytes or more where words have three letters in the mean.
+PASSAGE = Repeat(200, across=True, words=51)
+#: The most bytes of a k-gram.
+GRAM = 128
 #: Bytes hashed together; longer texts are read in overlapping parts. Places take PLACE_BITS of a sort key.
 PART, PLACE_BITS = 1 << 22, 24
-#: Different contexts of one anchor that a task may hold.
-WIDE = 4096
+#: Contexts of one anchor that a task may hold; beyond that the anchor is cut.
+WIDE = 512
 #: Bytes of a suffix array's symbol, and contexts taken together.
 SYMBOL, BATCH = 16, 512
 
-ANCHORS = "doc_id long, version long, at long, lo int, hi int, token long, d1 long, d2 long"
-COVERED = "token long, d1 long, d2 long, spans array<struct<a:int,b:int>>"
+ANCHORS = "doc_id long, version long, at long, lo int, hi int, token long, digest long"
+CONTEXTS = "token long, digest long, lo int, hi int, n long, low long, high long, bytes binary"
+PIECES = "of_token long, of_digest long, " + CONTEXTS
+COVERED = "token long, digest long, spans array<struct<rule:int,a:int,b:int>>"
+
+
+def default_gram(length: int) -> int:
+    """The largest power of two that leaves two thirds of a window of ``length`` for other places, GRAM at most."""
+    return min(GRAM, 1 << max(0, (length // 3).bit_length() - 1))
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -59,19 +88,24 @@ def window_anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray
     return (least & mask).astype(np.int64), hashes
 
 
-def _anchors(length: int, gram: int):
+def _signed(numbers: list[int]) -> pa.Array:
+    return pa.array(np.array(numbers, np.uint64).view(np.int64))
+
+
+def _anchors(short: int, long: int, gram: int):
+    """Anchors of the windows of ``short`` bytes; their contexts hold windows of ``long`` bytes where the text goes on."""
     import xxhash
 
-    def settle(parts: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        """parts: doc_id, version, place in the text, bytes."""
+    def settle(parts: list[tuple[int, int, int, bytes, int]]) -> Iterator[pa.RecordBatch]:
+        """parts: doc_id, version, place in the text, bytes, windows that start in the part."""
         data = b"".join(p[3] for p in parts)
-        if len(data) < length:
+        if len(data) < short:
             return
-        at, hashes = window_anchors(np.frombuffer(data, np.uint8), length, gram)
+        at, hashes = window_anchors(np.frombuffer(data, np.uint8), short, gram)
         sizes = np.array([len(p[3]) for p in parts])
         starts = np.cumsum(sizes) - sizes
         part = np.repeat(np.arange(len(parts)), sizes)[: len(at)]
-        whole = np.arange(len(at)) + length <= (starts + sizes)[part]
+        whole = np.arange(len(at)) - starts[part] < np.array([p[4] for p in parts])[part]
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1]) | (part[1:] != part[:-1])
         first = np.flatnonzero(new & whole)
@@ -80,14 +114,16 @@ def _anchors(length: int, gram: int):
         # A run of windows of one anchor ends where the next begins or where windows leave the part.
         stop = np.flatnonzero(np.append(new | ~whole, True))
         last = stop[np.searchsorted(stop, first, "right")] - 1
-        digest = xxhash.xxh3_128_digest
-        names = np.frombuffer(b"".join([digest(data[i : j + length]) for i, j in zip(first.tolist(), last.tolist())]), "<i8").reshape(-1, 2)
         p, own = at[first], part[first]
+        end = np.minimum(last + long, (starts + sizes)[own])
+        digest = xxhash.xxh3_64_intdigest
+        # The number of windows is the seed: it tells contexts apart that the end of a text or part cuts to the same bytes.
+        names = [digest(data[i:k], j - i) for i, j, k in zip(first.tolist(), last.tolist(), end.tolist())]
         ids = pa.array([parts[k][0] for k in own], pa.int64())
         versions = pa.array([parts[k][1] for k in own], pa.int64())
         base = np.array([x[2] for x in parts], np.int64)[own]
         yield pa.record_batch(
-            [ids, versions, pa.array(base + p - starts[own]), pa.array((p - last).astype(np.int32)), pa.array((p - first).astype(np.int32)), pa.array(hashes[p].view(np.int64)), pa.array(names[:, 0]), pa.array(names[:, 1])],
+            [ids, versions, pa.array(base + p - starts[own]), pa.array((p - last).astype(np.int32)), pa.array((p - first).astype(np.int32)), pa.array(hashes[p].view(np.int64)), _signed(names)],
             names=[x.split()[0] for x in ANCHORS.split(", ")],
         )
 
@@ -96,11 +132,9 @@ def _anchors(length: int, gram: int):
             parts, held = [], 0
             for doc, version, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 data = (text.as_py() or "").encode()
-                for begin in range(0, max(1, len(data) - length + 1), PART):
-                    piece = data[begin : begin + PART + length - 1]
-                    if len(piece) < length:
-                        continue
-                    parts.append((doc, version, begin, piece))
+                for begin in range(0, len(data) - short + 1, PART):
+                    piece = data[begin : begin + PART + long - 1]
+                    parts.append((doc, version, begin, piece, min(PART, len(data) - short + 1 - begin)))
                     held += len(piece)
                     if held >= PART:
                         yield from settle(parts)
@@ -110,7 +144,13 @@ def _anchors(length: int, gram: int):
     return run
 
 
-def _contexts(length: int):
+def _context_rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    columns = [x.split() for x in schema.split(", ")]
+    return pa.record_batch([pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(columns)], names=[name for name, _ in columns])
+
+
+def _contexts(long: int):
     """Bytes of the contexts that lie in a document: (doc text, wanted contexts) to a row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,10 +158,8 @@ def _contexts(length: int):
             rows: list[tuple] = []
             for text, wanted in zip(b.column(0), b.column(1)):
                 data = (text.as_py() or "").encode()
-                rows += [(w["token"], w["d1"], w["d2"], w["lo"], w["hi"], w["n"], w["contexts"], data[w["at"] - w["hi"] : w["at"] - w["lo"] + length]) for w in wanted.as_py()]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            names = ("token", "d1", "d2", "lo", "hi", "n", "contexts", "bytes")
-            yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+                rows += [(w["token"], w["digest"], w["lo"], w["hi"], w["n"], w["low"], w["high"], data[w["at"] - w["hi"] : w["at"] - w["lo"] + long]) for w in wanted.as_py()]
+            yield _context_rows(rows, CONTEXTS)
 
     return run
 
@@ -177,10 +215,11 @@ def _common(rows: np.ndarray, sizes: np.ndarray, order: np.ndarray, token: np.nd
     return np.concatenate(([-1], np.where(token[a] == token[b], found, -1)))
 
 
-def repeated_offsets(token: np.ndarray, lo: np.ndarray, hi: np.ndarray, contexts: list[bytes], length: int) -> np.ndarray:
-    """A row for each context, true at each offset whose window another context of the anchor has too.
+def repeated_offsets(token: np.ndarray, lo: np.ndarray, hi: np.ndarray, contexts: list[bytes], times: np.ndarray, low: np.ndarray, high: np.ndarray, rules: list[Repeat]) -> list[np.ndarray]:
+    """For each rule a row for each context, true at each offset whose window is repeated.
 
-    A window at offset o starts o bytes before the anchor; a context holds those of offsets lo to hi.
+    A window at offset o starts o bytes before the anchor; a context holds those of offsets lo to hi. It stands for ``times``
+    places, in documents with keys from ``low`` to ``high``.
     """
     right, left = [c[h:] for c, h in zip(contexts, hi)], [c[:h][::-1] for c, h in zip(contexts, hi)]
     sizes = [np.array(list(map(len, x))) for x in (right, left)]
@@ -188,36 +227,48 @@ def repeated_offsets(token: np.ndarray, lo: np.ndarray, hi: np.ndarray, contexts
     ranks = _ranks(rows[0], rows[1], sizes[0], sizes[1])
     orders = [np.lexsort((r, token)) for r in ranks]
     common = [_common(*x, token) for x in zip(rows, sizes, orders)]
-    found = np.zeros((len(contexts), int(hi.max()) + 1), bool)
+
+    def runs(side: int, need: int) -> np.ndarray:
+        """Numbers of the runs of contexts that have ``need`` bytes of this side in common."""
+        run = np.empty(len(token), np.int64)
+        run[orders[side]] = np.cumsum(common[side] < need)
+        return run
+
+    found = [np.zeros((len(contexts), int(hi.max()) + 1), bool) for _ in rules]
     for o in range(int(lo.min()), int(hi.max()) + 1):
-        own = np.flatnonzero((lo <= o) & (o <= hi))
-        if len(own) < 2:
-            continue
-        runs = []
-        for order, reach, need in ((orders[0], common[0], length - o), (orders[1], common[1], o)):
-            run = np.empty(len(order), np.int64)
-            run[order] = np.cumsum(reach < need)
-            runs.append(run[own])
-        pair = runs[0] * (len(contexts) + 1) + runs[1]
-        _, back, count = np.unique(pair, return_inverse=True, return_counts=True)
-        found[own, o] = count[back] > 1
+        here = (lo <= o) & (o <= hi)
+        before = runs(1, o) * (len(contexts) + 1)
+        for rule, marks in zip(rules, found):
+            own = np.flatnonzero(here & (sizes[0] >= rule.length - o))
+            if not len(own):
+                continue
+            pair = (before + runs(0, rule.length - o))[own]
+            order = np.argsort(pair, kind="stable")
+            edge = np.flatnonzero(np.concatenate(([True], np.diff(pair[order]) != 0)))
+            inside = own[order]
+            if rule.across:
+                again = np.minimum.reduceat(low[inside], edge) != np.maximum.reduceat(high[inside], edge)
+            else:
+                again = np.add.reduceat(times[inside], edge) > 1
+            marks[inside, o] = np.repeat(again, np.diff(np.append(edge, len(inside))))
     return found
 
 
-def _spans(flags: np.ndarray) -> list[dict[str, int]]:
+def _spans(flags: np.ndarray, rule: int) -> list[dict[str, int]]:
     edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
-    return [{"a": int(a), "b": int(b) - 1} for a, b in zip(edges[::2], edges[1::2])]
+    return [{"rule": rule, "a": int(a), "b": int(b) - 1} for a, b in zip(edges[::2], edges[1::2])]
 
 
-def _compare(length: int):
+def _compare(rules: list[tuple[int, Repeat]]):
     """Contexts sorted by anchor to the offsets repeated in each; whole anchors are taken together."""
-    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    kind = pa.list_(pa.struct([("rule", pa.int32()), ("a", pa.int32()), ("b", pa.int32())]))
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        token, lo, hi = (np.array([r[k] for r in rows]) for k in (0, 3, 4))
-        found = repeated_offsets(token, lo, hi, [r[7] for r in rows], length)
-        spans = [[{"a": r[3], "b": r[4]}] if r[5] > 1 else _spans(f) for r, f in zip(rows, found)]
-        return pa.record_batch([*(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.array(spans, kind)], names=["token", "d1", "d2", "spans"])
+        token, lo, hi, times, low, high = (np.array([r[k] for r in rows], np.int64) for k in (0, 2, 3, 4, 5, 6))
+        found = repeated_offsets(token, lo, hi, [r[7] for r in rows], times, low, high, [r for _, r in rules])
+        spans = [[s for (k, _), f in zip(rules, found) if f[i].any() for s in _spans(f[i], k)] for i in range(len(rows))]
+        some = [i for i, s in enumerate(spans) if s]
+        return pa.record_batch([*(pa.array([rows[i][k] for i in some], pa.int64()) for k in range(2)), pa.array([spans[i] for i in some], kind)], names=["token", "digest", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -233,34 +284,75 @@ def _compare(length: int):
     return run
 
 
-def _window_digests(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def _split(rule: Repeat, level: int, slack: int):
+    """Contexts to those of longer anchors: a range of 2 ** (bits - level) places each, and what all its windows have in common as its name."""
+    import xxhash
 
+    step = 1 << max(0, slack.bit_length() - level)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
         for b in batches:
-            rows = []
-            for token, d1, d2, lo, hi, n, _, data in zip(*(c.to_pylist() for c in b.columns)):
-                for o in range(lo, hi + 1):
-                    w = np.frombuffer(xxhash.xxh3_128_digest(data[hi - o : hi - o + length]), "<i8")
-                    rows.append((token, d1, d2, o, n, int(w[0]), int(w[1])))
-            names = ("token", "d1", "d2", "o", "n", "w1", "w2")
-            yield pa.record_batch([pa.array([r[k] for r in rows], pa.int32() if k == 3 else pa.int64()) for k in range(7)], names=names)
+            rows: list[tuple] = []
+            for token, name, lo, hi, n, low, high, data in zip(*(c.to_pylist() for c in b.columns)):
+                least = max(lo, rule.length - (len(data) - hi))
+                for begin in range(lo - lo % step, hi + 1, step):
+                    end = min(begin + step - 1, slack)
+                    a, z = max(least, begin), min(hi, end)
+                    if a > z:
+                        continue
+                    piece = data[hi - z : hi - a + rule.length]
+                    new = digest(data[hi - begin : hi - end + rule.length], (token + (level << 32) + begin) & 0xFFFFFFFFFFFFFFFF)
+                    rows.append((token, name, _one(new), _one(digest(piece, z - a)), a, z, n, low, high, piece))
+            yield _context_rows(rows, PIECES)
 
     return run
 
 
-def _wide_offsets(contexts: DataFrame, length: int) -> DataFrame:
-    """The offsets repeated in the contexts of very common anchors, by counting windows."""
-    windows = stored(contexts.mapInArrow(_window_digests(length), "token long, d1 long, d2 long, o int, n long, w1 long, w2 long"), "windows")
-    again = windows.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("w1", "w2")
-    return (
-        windows.join(again, ["w1", "w2"])
-        .groupBy("token", "d1", "d2")
-        .agg(F.collect_set(F.struct(F.col("o").alias("a"), F.col("o").alias("b"))).alias("spans"))
+def _one(number: int) -> int:
+    return number - (1 << 64) if number >> 63 else number
+
+
+def _of_wide(said: DataFrame, index: int, rule: Repeat, slack: int, done: list[DataFrame], level: int = 1) -> DataFrame:
+    """COVERED rows for contexts of very common anchors, whose windows are dealt to longer anchors. ``done`` takes up the tables written."""
+    pieces = stored(said.mapInArrow(_split(rule, level, slack), PIECES), "pieces")
+    contexts = stored(
+        pieces.groupBy("token", "digest").agg(*[f(c).alias(c) for c, f in (("lo", F.first), ("hi", F.first), ("n", F.sum), ("low", F.min), ("high", F.max), ("bytes", F.first))]), "contexts"
     )
+    wide = stored(_wide(contexts), "wide")
+    done += [pieces, contexts, wide]
+    found = _in_order(contexts.join(sized(wide), "token", "left_anti"), [(index, rule)])
+    if level < slack.bit_length() and not wide.isEmpty():
+        found = found.unionAll(_of_wide(contexts.join(sized(wide), "token", "left_semi"), index, rule, slack, done, level + 1))
+    return found.join(pieces.select("of_token", "of_digest", "token", "digest"), ["token", "digest"]).select(F.col("of_token").alias("token"), F.col("of_digest").alias("digest"), "spans")
+
+
+def _wide(contexts: DataFrame) -> DataFrame:
+    return contexts.groupBy("token").agg(F.count("*").alias("contexts")).where(F.col("contexts") > WIDE).select("token")
+
+
+def _in_order(contexts: DataFrame, rules: list[tuple[int, Repeat]]) -> DataFrame:
+    names = [x.split()[0] for x in CONTEXTS.split(", ")]
+    return contexts.select(*names).repartition("token").sortWithinPartitions("token").mapInArrow(_compare(rules), COVERED)
+
+
+def _runs(places: list[tuple[int, int]]) -> list[list[int]]:
+    merged: list[list[int]] = []
+    for start, stop in sorted(places):
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], stop)
+        else:
+            merged.append([start, stop])
+    return merged
 
 
-def _cut(length: int, keep_text: bool):
+def whole_words(data: bytes, start: int, stop: int) -> int:
+    """Words of ``data`` that lie in start to stop as a whole."""
+    split = [0 < at < len(data) and not data[at - 1 : at].isspace() and not data[at : at + 1].isspace() for at in (start, stop)]
+    return max(0, len(data[start:stop].split()) - sum(split))
+
+
+def _cut(rules: list[Repeat], keep_text: bool):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,74 +360,100 @@ def _cut(length: int, keep_text: bool):
             rows: list[tuple] = []
             for text, covered in zip(b.column(1), b.column(2)):
                 data = (text.as_py() or "").encode()
-                merged: list[list[int]] = []
-                places = sorted((c["at"] - s["b"], c["at"] - s["a"] + length) for c in covered.as_py() or [] for s in c["spans"])
-                for start, stop in places:
-                    if merged and start <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], stop)
-                    else:
-                        merged.append([start, stop])
+                places: list[list[tuple[int, int]]] = [[] for _ in rules]
+                for c in covered.as_py() or []:
+                    for s in c["spans"]:
+                        places[s["rule"]].append((c["at"] - s["b"], c["at"] - s["a"] + rules[s["rule"]].length))
+                found = [[r for r in _runs(p) if not rule.words or whole_words(data, *r) >= rule.words] for rule, p in zip(rules, places)]
                 kept, at = [], 0
-                for start, stop in merged:
+                for start, stop in found[0]:
                     kept.append(data[at:start])
                     at = stop
                 left = b"".join([*kept, data[at:]])
+                spans = [[{"start": s, "stop": e} for s, e in x] for x in found]
                 rows.append((
-                    len(data), sum(e - s for s, e in merged), len(merged), hashlib.sha256(left).hexdigest(),
-                    [{"start": s, "stop": e} for s, e in merged], left.decode("utf-8", "ignore") if keep_text else None,
+                    len(data), sum(e - s for s, e in found[0]), len(found[0]), hashlib.sha256(left).hexdigest(),
+                    spans[0], spans[1] if len(spans) > 1 else None, left.decode("utf-8", "ignore") if keep_text else None,
                 ))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), kind, pa.string())
-            names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text")
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), kind, kind, pa.string())
+            names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "reported", "kept_text")
             yield pa.record_batch([b.column(0), *(pa.array([r[k] for r in rows], x) for k, x in enumerate(kinds)), b.column(3), b.column(4)], names=["doc_id", *names, "was_null", "rest"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = True, carry: list[str] | None = None) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept_text, was_null, rest.
+def remove_repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int | None = None, keep_text: bool = True,
+    carry: list[str] | None = None, rule: Repeat | None = None, report: Repeat | None = None,
+) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, reported, kept_text, was_null, rest.
 
-    ``spans`` are the removed runs of bytes; ``kept_text`` is what is left, without characters that a cut split (null
-    with ``keep_text`` off). ``rest`` holds the columns named in ``carry``. Null and empty texts, and such under ``length`` bytes, are kept whole. A repeated row is a document
-    of its own, so both it and its copy go. Null ids are kept. An empty table gives an empty result; other columns
-    are not read. ``gram`` has to be a power of two and under ``length``.
+    What ``rule`` finds, by default all strings of ``length`` bytes that start twice, is removed. ``spans`` are the removed runs of
+    bytes; ``kept_text`` is what is left, without characters that a cut split (null with ``keep_text`` off). ``reported`` are the
+    runs of a second rule, which are not removed (null without one). ``rest`` holds the columns named in ``carry``. Null and empty texts,
+    and such shorter than a rule's length, are kept whole. A repeated row is a document
+    of its own, so both it and its copy go; only for a rule that asks for two documents rows of one id and text are one. Null ids are
+    kept. An empty table gives an empty result; other columns are not read. ``gram`` has to be a power of two and under the shortest length.
     """
+    spark = docs.sparkSession
+    rules = [rule or Repeat(length), *([report] if report else [])]
+    short, long = min(r.length for r in rules), max(r.length for r in rules)
+    gram = gram or default_gram(short)
     rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("struct<none:int>")
     whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(text).isNull().alias("was_null"), rest.alias("rest"))
     whole = whole.withColumn("version", F.xxhash64("text"))
-    anchors = stored(whole.select("doc_id", "version", "text").mapInArrow(_anchors(length, gram), ANCHORS), "anchors")
+    key = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "version")
+    keyed = whole.withColumn("key", key)
+    same = F.expr("d.key = o.key and d.version = o.version and d.doc_id <=> o.doc_id")
+
+    anchors = stored(whole.select("doc_id", "version", "text").mapInArrow(_anchors(short, long, gram), ANCHORS), "anchors")
     again = stored(anchors.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token"), "tokens")
     repeated = stored(anchors.join(sized(again), "token"), "repeated")
-    drop_stored(anchors)
-    touched = stored(repeated.select("doc_id", "version").distinct(), "touched")
+    drop_stored(anchors, again)
+    free_shuffles(spark)
+
+    one = F.min(F.struct("doc_id", "version", "at", "lo", "hi")).alias("one")
+    grouped = repeated.groupBy("token", "digest").agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"), one)
+    context = stored(grouped.select("token", "digest", "n", "low", "high", "one.*"), "contexts")
+    wide = stored(_wide(context), "wide")
+    done = [repeated, context, wide]
+    free_shuffles(spark)
+
+    def said(of: DataFrame) -> DataFrame:
+        """The bytes of contexts, each read from one document."""
+        wanted = of.groupBy(key.alias("key"), "doc_id", "version").agg(F.collect_list(F.struct("token", "digest", "at", "lo", "hi", "n", "low", "high")).alias("wanted"))
+        return _named(keyed, of).alias("d").join(wanted.alias("o"), same).select("text", "wanted").mapInArrow(_contexts(long), CONTEXTS)
+
+    def _named(rows: DataFrame, by: DataFrame) -> DataFrame:
+        """The rows that ``by`` names, if a broadcast can tell them from the others before they are shuffled."""
+        done.append(keys := stored(by.select(key.alias("key")).distinct(), "keys"))
+        return rows.join(F.broadcast(keys), "key", "left_semi") if small(keys) else rows
+
+    found = _in_order(said(context.join(sized(wide), "token", "left_anti")), list(enumerate(rules)))
+    if not wide.isEmpty():
+        done.append(common := stored(said(context.join(sized(wide), "token", "left_semi")), "common"))
+        for k, r in enumerate(rules):
+            found = found.unionAll(_of_wide(common, k, r, short - gram, done))
+    covered = stored(found, "covered")
+    free_shuffles(spark)
+
+    places = repeated.join(covered, ["token", "digest"]).groupBy(key.alias("key"), "doc_id", "version").agg(F.collect_list(F.struct("at", "spans")).alias("covered"))
+    places = stored(places, "places")
+    drop_stored(covered, *done)
+    free_shuffles(spark)
+    keys = stored(places.select("key").distinct(), "keys")
+    carried = whole.schema["rest"].dataType.simpleString()
+    runs = "array<struct<start:bigint,stop:bigint>>"
+    out = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {runs}, reported {runs}, kept_text string, was_null boolean, rest {carried}"
 
-    context = repeated.groupBy("token", "d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "at", "lo", "hi")).alias("one"))
-    context = stored(context.select("token", "d1", "d2", "n", "one.*"), "contexts")
-    kinds = context.groupBy("token").agg(F.count("*").alias("contexts"))
-    known = context.join(kinds, "token")
-    alone = known.where("contexts = 1").select("token", "d1", "d2", F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))).alias("spans"))
+    def cut(rows: DataFrame) -> DataFrame:
+        return rows.alias("d").join(places.alias("o"), same, "left").select("d.doc_id", "text", "covered", "was_null", "rest").mapInArrow(_cut(rules, keep_text), out)
 
-    key = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "version")
-    keys = sized(touched.select(key.alias("key")).distinct())
-    keyed = whole.withColumn("key", key)
-    affected = keyed.join(keys, "key", "left_semi")
-
-    # What the contexts that differ say is read from one document for each.
-    wanted = known.where("contexts > 1").groupBy(key.alias("key"), "doc_id", "version").agg(F.collect_list(F.struct("token", "d1", "d2", "at", "lo", "hi", "n", "contexts")).alias("wanted"))
-    schema = "token long, d1 long, d2 long, lo int, hi int, n long, contexts long, bytes binary"
-    said = affected.alias("d").join(wanted.alias("w"), (F.col("d.key") == F.col("w.key")) & (F.col("d.version") == F.col("w.version")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
-    said = stored(said.select("text", "wanted").mapInArrow(_contexts(length), schema), "context-bytes")
-    narrow = said.where(F.col("contexts") <= WIDE).repartition("token").sortWithinPartitions("token").mapInArrow(_compare(length), COVERED)
-    wide = _wide_offsets(said.where(F.col("contexts") > WIDE), length)
-    covered = stored(alone.unionByName(narrow).unionByName(wide).where(F.size("spans") > 0), "covered")
-
-    places = repeated.join(covered, ["token", "d1", "d2"]).groupBy(key.alias("key"), "doc_id", "version").agg(F.collect_set(F.struct("at", "spans")).alias("covered"))
-    cut = affected.alias("d").join(places.alias("p"), (F.col("d.key") == F.col("p.key")) & (F.col("d.version") == F.col("p.version")) & F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")), "left")
-    carried = whole.schema["rest"].dataType.simpleString()
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>, kept_text string, was_null boolean, rest " + carried
-    changed = cut.select("d.doc_id", "text", "covered", "was_null", "rest").mapInArrow(_cut(length, keep_text), out)
-    zero = F.lit(0).cast("long")
-    same = keyed.join(keys, "key", "left_anti").select(
+    if not small(keys):
+        return cut(keyed)
+    zero, none = F.lit(0).cast("long"), F.array().cast(runs)
+    untouched = keyed.join(F.broadcast(keys), "key", "left_anti").select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
-        F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"), (F.col("text") if keep_text else F.lit(None).cast("string")).alias("kept_text"), "was_null", "rest",
+        none.alias("spans"), (none if report else F.lit(None).cast(runs)).alias("reported"), (F.col("text") if keep_text else F.lit(None).cast("string")).alias("kept_text"), "was_null", "rest",
     )
-    return changed.unionByName(same)
+    return cut(keyed.join(F.broadcast(keys), "key", "left_semi")).unionByName(untouched)
