@@ -7,7 +7,7 @@ bytes each, are compared. Equal contexts of an anchor are one from then on, with
 are ordered by suffix arrays (:mod:`docloom.llm.suffix_array`) of what follows and, reversed, of what precedes the anchor; two
 windows are equal where both common prefixes reach far enough, whatever their length.
 
-An anchor with more contexts than a task should hold is cut: its windows are dealt by halves of their places, then quarters
+An anchor with more contexts than a task should hold is cut: its windows are dealt by quarters of their places, then sixteenths
 and so on, to longer anchors that all windows of such a range have in common. The last range is one place, whose anchor is the window
 itself, so this ends with one context for each anchor.
 """
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +48,9 @@ GRAM = 128
 #: Bytes hashed together; longer texts are read in overlapping parts. Places take PLACE_BITS of a sort key.
 PART, PLACE_BITS = 1 << 22, 24
 #: Contexts of one anchor that a task may hold; beyond that the anchor is cut.
-WIDE = 512
+WIDE = 1024
 #: Bytes of a suffix array's symbol, and contexts taken together.
-SYMBOL, BATCH = 16, 512
+SYMBOL, BATCH = 32, 2048
 
 ANCHORS = "doc_id long, version long, at long, lo int, hi int, token long, digest long"
 CONTEXTS = "token long, digest long, lo int, hi int, n long, low long, high long, bytes binary"
@@ -254,30 +255,43 @@ def repeated_offsets(token: np.ndarray, lo: np.ndarray, hi: np.ndarray, contexts
     return found
 
 
-def _spans(flags: np.ndarray, rule: int) -> list[dict[str, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
-    return [{"rule": rule, "a": int(a), "b": int(b) - 1} for a, b in zip(edges[::2], edges[1::2])]
+def _spans(found: list[np.ndarray], rules: list[int]) -> tuple[np.ndarray, pa.Array]:
+    """The rows that have some offset, and for each the ranges of its offsets as structs rule, a, b."""
+    parts = []
+    for rule, flags in zip(rules, found):
+        edges = np.diff(np.pad(flags.view(np.int8), ((0, 0), (1, 1))), axis=1)
+        (row, a), (_, b) = np.nonzero(edges == 1), np.nonzero(edges == -1)
+        parts.append(np.stack([row, np.full(len(row), rule), a, b - 1]))
+    row, rule, a, b = (both := np.concatenate(parts, axis=1))[:, np.argsort(both[0], kind="stable")]
+    rows, starts = np.unique(row, return_index=True)
+    ranges = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (rule, a, b)], ["rule", "a", "b"])
+    return rows, pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)).astype(np.int32)), ranges)
 
 
 def _compare(rules: list[tuple[int, Repeat]]):
     """Contexts sorted by anchor to the offsets repeated in each; whole anchors are taken together."""
-    kind = pa.list_(pa.struct([("rule", pa.int32()), ("a", pa.int32()), ("b", pa.int32())]))
 
-    def settle(rows: list[tuple]) -> pa.RecordBatch:
-        token, lo, hi, times, low, high = (np.array([r[k] for r in rows], np.int64) for k in (0, 2, 3, 4, 5, 6))
-        found = repeated_offsets(token, lo, hi, [r[7] for r in rows], times, low, high, [r for _, r in rules])
-        spans = [[s for (k, _), f in zip(rules, found) if f[i].any() for s in _spans(f[i], k)] for i in range(len(rows))]
-        some = [i for i, s in enumerate(spans) if s]
-        return pa.record_batch([*(pa.array([rows[i][k] for i in some], pa.int64()) for k in range(2)), pa.array([spans[i] for i in some], kind)], names=["token", "digest", "spans"])
+    def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        columns = pa.Table.from_batches(held).combine_chunks()
+        token, lo, hi, times, low, high = (columns.column(k).to_numpy().astype(np.int64) for k in (0, 2, 3, 4, 5, 6))
+        found = repeated_offsets(token, lo, hi, columns.column(7).to_pylist(), times, low, high, [r for _, r in rules])
+        some, spans = _spans(found, [k for k, _ in rules])
+        return pa.record_batch([*(columns.column(k).combine_chunks().take(pa.array(some)) for k in range(2)), spans], names=["token", "digest", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if len(held) >= BATCH and row[0] != held[-1][0]:
-                    yield settle(held)
-                    held = []
-                held.append(row)
+            if not b.num_rows:
+                continue
+            held.append(b)
+            if sum(x.num_rows for x in held) >= BATCH:
+                token = b.column(0).to_numpy()
+                cut = int(np.flatnonzero(token != token[-1])[-1]) + 1 if (token != token[-1]).any() else 0
+                if not cut and (len(held) == 1 or held[-2].column(0)[-1].as_py() == token[-1]):
+                    continue  # the anchor goes on
+                last = held.pop().slice(0, cut)
+                yield settle([*held, last] if cut else held)
+                held = [b.slice(cut)]
         if held:
             yield settle(held)
 
@@ -285,10 +299,10 @@ def _compare(rules: list[tuple[int, Repeat]]):
 
 
 def _split(rule: Repeat, level: int, slack: int):
-    """Contexts to those of longer anchors: a range of 2 ** (bits - level) places each, and what all its windows have in common as its name."""
+    """Contexts to those of longer anchors: ranges of places, a quarter as long at each level, with what all windows of a range have in common as its name."""
     import xxhash
 
-    step = 1 << max(0, slack.bit_length() - level)
+    step = 1 << max(0, slack.bit_length() - 2 * level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -322,7 +336,7 @@ def _of_wide(said: DataFrame, index: int, rule: Repeat, slack: int, done: list[D
     wide = stored(_wide(contexts), "wide")
     done += [pieces, contexts, wide]
     found = _in_order(contexts.join(sized(wide), "token", "left_anti"), [(index, rule)])
-    if level < slack.bit_length() and not wide.isEmpty():
+    if 2 * level < slack.bit_length() and not wide.isEmpty():
         found = found.unionAll(_of_wide(contexts.join(sized(wide), "token", "left_semi"), index, rule, slack, done, level + 1))
     return found.join(pieces.select("of_token", "of_digest", "token", "digest"), ["token", "digest"]).select(F.col("of_token").alias("token"), F.col("of_digest").alias("digest"), "spans")
 
@@ -336,14 +350,14 @@ def _in_order(contexts: DataFrame, rules: list[tuple[int, Repeat]]) -> DataFrame
     return contexts.select(*names).repartition("token").sortWithinPartitions("token").mapInArrow(_compare(rules), COVERED)
 
 
-def _runs(places: list[tuple[int, int]]) -> list[list[int]]:
-    merged: list[list[int]] = []
-    for start, stop in sorted(places):
-        if merged and start <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], stop)
-        else:
-            merged.append([start, stop])
-    return merged
+def _runs(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
+    """The runs that ranges, which may overlap or touch, cover together."""
+    if not len(start):
+        return []
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(stop[order])
+    first = np.concatenate(([True], start[1:] > reach[:-1]))
+    return list(zip(start[first].tolist(), reach[np.append(first[1:], True)].tolist()))
 
 
 def whole_words(data: bytes, start: int, stop: int) -> int:
@@ -358,17 +372,19 @@ def _cut(rules: list[Repeat], keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for text, covered in zip(b.column(1), b.column(2)):
+            listed = b.column(2)
+            flat = listed.flatten()
+            which, start, stop = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False))
+            for text, begin, end in zip(b.column(1), np.concatenate(([0], ends[:-1])).tolist() if len(ends) else [], ends.tolist()):
                 data = (text.as_py() or "").encode()
-                places: list[list[tuple[int, int]]] = [[] for _ in rules]
-                for c in covered.as_py() or []:
-                    for s in c["spans"]:
-                        places[s["rule"]].append((c["at"] - s["b"], c["at"] - s["a"] + rules[s["rule"]].length))
-                found = [[r for r in _runs(p) if not rule.words or whole_words(data, *r) >= rule.words] for rule, p in zip(rules, places)]
+                own = slice(begin, end)
+                found = [_runs(start[own][which[own] == k], stop[own][which[own] == k]) for k in range(len(rules))]
+                found = [[r for r in runs if not rule.words or whole_words(data, *r) >= rule.words] for rule, runs in zip(rules, found)]
                 kept, at = [], 0
-                for start, stop in found[0]:
-                    kept.append(data[at:start])
-                    at = stop
+                for first, last in found[0]:
+                    kept.append(data[at:first])
+                    at = last
                 left = b"".join([*kept, data[at:]])
                 spans = [[{"start": s, "stop": e} for s, e in x] for x in found]
                 rows.append((
@@ -408,7 +424,7 @@ def remove_repeats(
 
     anchors = stored(whole.select("doc_id", "version", "text").mapInArrow(_anchors(short, long, gram), ANCHORS), "anchors")
     again = stored(anchors.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token"), "tokens")
-    repeated = stored(anchors.join(sized(again), "token"), "repeated")
+    repeated = stored(anchors.join(again, "token"), "repeated")
     drop_stored(anchors, again)
     free_shuffles(spark)
 
@@ -437,7 +453,10 @@ def remove_repeats(
     covered = stored(found, "covered")
     free_shuffles(spark)
 
-    places = repeated.join(covered, ["token", "digest"]).groupBy(key.alias("key"), "doc_id", "version").agg(F.collect_list(F.struct("at", "spans")).alias("covered"))
+    lengths = F.element_at(F.array(*[F.lit(r.length) for r in rules]), F.col("s.rule") + 1)
+    each = repeated.join(covered, ["token", "digest"]).select("doc_id", "version", "at", F.explode("spans").alias("s"))
+    ranges = each.select("doc_id", "version", F.struct("s.rule", (F.col("at") - F.col("s.b")).alias("start"), (F.col("at") - F.col("s.a") + lengths).alias("stop")).alias("range"))
+    places = ranges.groupBy(key.alias("key"), "doc_id", "version").agg(F.collect_list("range").alias("covered"))
     places = stored(places, "places")
     drop_stored(covered, *done)
     free_shuffles(spark)
