@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,15 +14,23 @@ from pyspark.sql.functions import pandas_udf
 from docloom.functions.fixed_values import SPELLING
 
 
+#: The characters of Unicode's White_Space property.
+SPACES = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` has it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def strip(c: Column) -> Column:
-    """Without white space of any kind at both ends (Spark's trim knows blanks only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at both ends (Spark's trim knows blanks only unless told)."""
+    return F.trim(c, F.lit(SPACES))
 
 
 def words(c: Column) -> Column:
-    """Words between white space; an empty array for an empty text."""
-    s = strip(c)
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, r"(?U)\s+"))
+    """Words between white space; an empty array for an empty text. Splitting at one character is far cheaper than by a pattern."""
+    return F.array_remove(F.split(F.translate(c, SPACES, " " * len(SPACES)), " "), "")
 
 
 def lines(c: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.fixed_values import CONTENT_END, CONTENT_START, LETTERHEAD
-from docloom.functions.text import lines, strip
+from docloom.functions.text import let, lines, strip
 
 
 def _first(array: Column, test) -> Column:
@@ -23,24 +23,30 @@ def remove_letterhead(c: Column) -> Column:
 
     A letterhead without a marker leaves an empty text; no letterhead leaves the text as it is.
     """
-    trimmed = F.transform(lines(c), lambda x: strip(x))
     head, start = "(?iu)" + "|".join(LETTERHEAD), "(?iu)" + CONTENT_START
-    has_head = F.exists(F.slice(trimmed, 1, 10), lambda x: x.rlike(head))
-    at = _first(trimmed, lambda x: x.rlike(start))
-    kept = F.when(at > 0, strip(F.array_join(F.slice(lines(c), F.greatest(at, F.lit(1)), F.size(trimmed)), "\n"))).otherwise("")
-    return F.when(has_head, kept).otherwise(c)
+
+    def cut(line: Column) -> Column:
+        has_head = F.exists(F.slice(line, 1, 10), lambda x: strip(x).rlike(head))
+        kept = lambda at: F.when(at > 0, strip(F.array_join(F.slice(line, F.greatest(at, F.lit(1)), F.size(line)), "\n"))).otherwise("")
+        return F.when(has_head, let(_first(line, lambda x: strip(x).rlike(start)), kept)).otherwise(c)
+
+    return let(lines(c), cut)
 
 
 def main_content(c: Column, ends: list[str] = CONTENT_END) -> Column:
     """From the first top header to before the first later line with an end text, without blank lines; empty if there is no header."""
-    trimmed = F.transform(lines(c), lambda x: strip(x))
-    at = _first(trimmed, lambda x: F.startswith(x, F.lit("# ")))
-    body = F.slice(trimmed, F.greatest(at, F.lit(1)), F.size(trimmed))
-    later = F.slice(body, 2, F.greatest(F.size(body), F.lit(1)))
     has_end = lambda x: F.exists(F.array(*map(F.lit, ends)), lambda e: F.contains(x, e))
-    end = _first(later, has_end)
-    kept = F.when(end > 0, F.slice(body, F.lit(1), F.greatest(end, F.lit(1)))).otherwise(body)
-    return F.when(at > 0, strip(F.array_join(F.filter(kept, lambda x: x != ""), "\n"))).otherwise("")
+
+    def before_end(body: Column) -> Column:
+        end = _first(F.slice(body, 2, F.greatest(F.size(body), F.lit(1))), has_end)
+        kept = lambda n: F.when(n > 0, F.slice(body, F.lit(1), F.greatest(n, F.lit(1)))).otherwise(body)
+        return strip(F.array_join(F.filter(let(end, kept), lambda x: x != ""), "\n"))
+
+    def from_header(line: Column) -> Column:
+        at = _first(line, lambda x: F.startswith(x, F.lit("# ")))
+        return let(at, lambda n: F.when(n > 0, let(F.slice(line, F.greatest(n, F.lit(1)), F.size(line)), before_end)).otherwise(""))
+
+    return let(F.transform(lines(c), lambda x: strip(x)), from_header)
 
 
 def clean(c: Column, category: Column) -> Column:

@@ -105,8 +105,8 @@ FROM (SELECT doc_id, c, list_transform(string_split(c, chr(10)), lambda x: {STRI
 
 
 def content_score(spark: SparkSession, d: str) -> DataFrame:
-    s = quality.stats(F.col("text"))
-    return read(spark, d, "documents").select("doc_id", s["length"].alias("length"), s["word_count"].alias("word_count"), s["paragraph_count"].alias("paragraph_count"), s["meaningful_words"].alias("meaningful_words"), F.round(s["score"] * 10000).cast("long").alias("score_e4"))
+    m = read(spark, d, "documents").select("doc_id", quality.stats(F.col("text")).alias("s"))
+    return m.select("doc_id", "s.length", "s.word_count", "s.paragraph_count", "s.meaningful_words", F.round(F.col("s.score") * 10000).cast("long").alias("score_e4"))
 
 
 def _score_sql() -> str:
