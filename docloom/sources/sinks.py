@@ -22,7 +22,7 @@ def split_rejected(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Data
     """Accepted rows; and rejected ones with their reason and figures."""
     judged = docs.withColumn("rejection_reason", rejection(F.col(text)))
     rejected = judged.where(F.col("rejection_reason").isNotNull())
-    return judged.where(F.col("rejection_reason").isNull()).drop("rejection_reason"), rejected.withColumns({k: v for k, v in stats(F.col(text)).items() if k != "is_useful"})
+    return judged.where(F.col("rejection_reason").isNull()).drop("rejection_reason"), rejected.withColumn("stats", stats(F.col(text))).select("*", "stats.*").drop("stats", "is_useful")
 
 
 def upsert_index(new: DataFrame, path: str, key: str = "document_id") -> None:
