@@ -3,6 +3,9 @@
 A text is normalised in the one way that can't change its count (null becomes the empty text) and named by the
 SHA-256 of its UTF-8 bytes; the tokenizer is named by the SHA-256 of its file. Stored counts are joined by both
 digests, only distinct texts without a stored count are encoded, and their counts are appended to the cache.
+
+Only digests are shuffled to find the misses. If those are few, their broadcast picks the texts to encode out of a scan; else
+each distinct text goes through one shuffle.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.plans import stored as tables
 from docloom.plans.stored import new_path
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
@@ -66,10 +70,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, text
     body = F.coalesce(F.col(text), F.lit(""))
     digest = F.unhex(F.sha2(body.cast("binary"), 256))
     stored = read_cache(spark, cache).where(F.col("tokenizer") == version)
-    distinct = docs.select(digest.alias("digest"), body.alias("body")).groupBy("digest").agg(F.first("body").alias("body"))
-    misses = distinct.join(stored.select("digest"), "digest", "left_anti")
-    new = misses.mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
+    stored_before = not stored.isEmpty()  # with an empty cache all texts are misses
+    named = docs.select(digest.alias("digest"), body.alias("body"))
+    misses = tables.stored(named.select("digest").distinct().join(stored.select("digest"), "digest", "left_anti"), "misses")
+    wanted = named.join(F.broadcast(misses), "digest", "left_semi") if tables.small(misses) else named.join(misses, "digest", "left_semi") if stored_before else named
+    new = wanted.groupBy("digest").agg(F.first("body").alias("body")).mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
     new.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+    tables.drop_stored(misses)
     counts = (
         read_cache(spark, cache)
         .where(F.col("tokenizer") == version)

@@ -84,3 +84,15 @@ def test_patterns_hold_every_length(histogram):
         for n, k in runs:
             held[n] += k * packs
     assert held == histogram
+
+
+def test_a_filled_cache_leaves_only_new_texts(spark, tmp_path, monkeypatch):
+    cache = f"file://{tmp_path}/counts"
+    assert token_counts.count_tokens(frame(spark, ODD[:9]), default_tokenizer(), cache).count() == 9
+    for few in (True, False):  # the misses are broadcast, or joined by a shuffle
+        monkeypatch.setattr(token_counts.tables, "small", lambda df, few=few: few)
+        texts = [*ODD, f"new text {few}", f"new text {few}"]
+        got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(frame(spark, texts), default_tokenizer(), cache).collect()}
+        assert got == {i: len(exact(t)) for i, t in enumerate(texts)}
+    stored = [r.digest for r in token_counts.read_cache(spark, cache).collect()]
+    assert len(stored) == len(set(stored)) == len(set(ODD)) + 2
