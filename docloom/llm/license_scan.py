@@ -1,9 +1,9 @@
 """License scans: a trained paragraph classifier confirmed by templates.
 
-Paragraphs are lines, or else their sentences. Sparse word n-gram logistic regressions, one for each licence family, are
+Paragraphs are blocks between blank lines, or else their lines, or else the sentences of those. Sparse word n-gram logistic regressions, one for each licence family, are
 trained on the families' notices with words dropped or added, against paragraphs of the corpus. Scores are calibrated to
 probabilities on paragraphs kept out of training; where no family is likely enough the class is unknown. A
-prediction counts if the paragraph also shares most of its words with one of the family's notices.
+prediction counts if the paragraph also shares most of its words with one of the family's notices, or holds most of a long one.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.html_extract import STOP_WORDS
 from docloom.llm.ordinal import Sparse
 from docloom.llm.samples import least_hashes
 
@@ -57,8 +58,11 @@ VARIANTS = 60
 #: Least calibrated probability of a family, and least share of words with a notice.
 KNOWN_FROM, CONFIRM_FROM = 0.5, 0.6
 NGRAM = 3
+#: Words from which on a notice is long: a paragraph that has most of its trigrams holds it.
+LONG_NOTICE = 10
 
 _WORD = re.compile(r"\w+(?:[.-]\w+)*").findall
+_BLANK_LINES = re.compile(r"\n[^\S\n]*\n\s*")
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+")
 
 
@@ -159,20 +163,59 @@ def train(corpus_paragraphs: list[str], seed: int = 7) -> Model:
     return model
 
 
-_TEMPLATES = {f: [frozenset(words(n)) for n in NOTICES[f]] for f in FAMILIES}
+def _grams(ws: list[str]) -> frozenset[tuple[str, ...]]:
+    return frozenset(zip(ws, ws[1:], ws[2:]))
+
+
+_TEMPLATES = {f: [(frozenset(ws), _grams(ws) if len(ws) >= LONG_NOTICE else None) for ws in map(words, NOTICES[f])] for f in FAMILIES}
 
 
 def confirmation(ws: list[str], family: str) -> float:
-    """Largest share of the words of the paragraph and one of the family's notices that both have."""
-    own = frozenset(ws)
-    return max((len(own & t) / len(own | t) for t in _TEMPLATES[family]), default=0.0) if own else 0.0
+    """The best match with one of the family's notices.
+
+    That is the share of words that both have or, as a paragraph may go on after a notice, the share of a long notice's
+    word trigrams that the paragraph has.
+    """
+    own, grams = frozenset(ws), None
+    best = 0.0
+    for template, parts in _TEMPLATES[family]:
+        if own:
+            best = max(best, len(own & template) / len(own | template))
+        if parts and len(ws) > len(template):
+            grams = _grams(ws) if grams is None else grams
+            best = max(best, len(grams & parts) / len(parts))
+    return best
+
+
+def _cues() -> list[str]:
+    """Words of which any confirmed paragraph has one.
+
+    It lacks at most the share 1 - CONFIRM_FROM of a notice's words (a missing word costs a trigram at least), so of one word more than that share it has one.
+    """
+    found = set()
+    for notices in NOTICES.values():
+        for ws in ({*words(n)} for n in notices):
+            if not ws & found or len(ws & found) <= (1 - CONFIRM_FROM) * len(ws):
+                found.update(sorted(ws, key=lambda w: (w in STOP_WORDS, -len(w), w))[: int((1 - CONFIRM_FROM) * len(ws)) + 1])
+    return sorted(found)
 
 
 def _like_notice(ws: list[str]) -> bool:
     return any(confirmation(ws, f) >= CONFIRM_FROM for f in FAMILIES)
 
 
+_CUES = _cues()
+
+
+def _may_be_notice(text: str) -> bool:
+    """Whether the text has one of the words that all notices have some of."""
+    low = text.lower()
+    return any(cue in low for cue in _CUES)
+
+
 def _judge(model: Model, paragraph: str) -> tuple[str, str, float, float] | None:
+    if not _may_be_notice(paragraph):
+        return None
     ws = words(paragraph)
     # Without a known word the score is the bias alone, which is unknown.
     if len(ws) < 2 or not any((w,) in model.names for w in ws):
@@ -185,13 +228,22 @@ def _judge(model: Model, paragraph: str) -> tuple[str, str, float, float] | None
 
 
 def classify(model: Model, text: str | None) -> list[tuple[str, str, float, float]]:
-    """(paragraph, family, probability, confirmation) of the lines that are licence notices, or else of their sentences that are."""
+    """(paragraph, family, probability, confirmation) of the paragraphs that are licence notices, or else of their lines, or else of their sentences that are."""
     out = []
-    for line, *sentences in paragraphs(text):
-        if found := _judge(model, line):
+    if not text or not _may_be_notice(text):
+        return out
+    for block in _BLANK_LINES.split(text):
+        if not _may_be_notice(block):
+            continue
+        lines = paragraphs(block)
+        if len(lines) > 1 and (found := _judge(model, " ".join(block.split()))):
             out.append(found)
-        else:
-            out += filter(None, (_judge(model, s) for s in sentences))
+            continue
+        for line, *sentences in lines:
+            if found := _judge(model, line):
+                out.append(found)
+            else:
+                out += filter(None, (_judge(model, s) for s in sentences))
     return out
 
 

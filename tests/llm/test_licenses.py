@@ -44,3 +44,40 @@ def test_training_sample_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(license_scan, "MAX_DOCUMENTS", 2)
     monkeypatch.setattr(license_scan, "MAX_PARAGRAPHS", 50)
     assert len(license_scan.training_paragraphs(docs)) == 4
+
+
+FULL = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:""",
+}
+
+
+@pytest.mark.parametrize("family", FULL)
+def test_wrapped_paragraphs_of_full_licences(model, family):
+    for text in (FULL[family], FULL[family].replace("\n", " ")):
+        assert {f[1] for f in license_scan.classify(model, f"the of version words\n\n{text}\n\nother words of this")} == {family}
+
+
+def test_cues_lose_no_notice(model, monkeypatch):
+    rng = random.Random(8)
+    texts = []
+    for notices in license_scan.NOTICES.values():
+        for notice in notices:
+            ws = notice.split()
+            texts += [" ".join(w for w in ws if rng.random() > 0.25) for _ in range(20)]
+    with_cues = [license_scan.classify(model, t) for t in texts]
+    monkeypatch.setattr(license_scan, "_may_be_notice", lambda text: True)
+    assert with_cues == [license_scan.classify(model, t) for t in texts] and sum(map(bool, with_cues)) > 300
