@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from docloom.plans.stored import stored
 
+#: Parts in which pieces of one length are ranked; a constant, so that sequence ids are the same on any cluster.
+SALTS = 1024
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SLOTS = "length int, first long, packs long, base long, at int"
 
@@ -119,8 +121,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, doc_id
 
     # Ranks among pieces of a length: a length that many pieces share is spread over salts, which are ranked
     # by themselves and shifted by the counts of the salts before.
-    salts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     shift = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
