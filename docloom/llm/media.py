@@ -189,21 +189,22 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             image = decode(stored_form)
             payload = image.tobytes()
             light = grey(image)
+            tile = npy(np.rint(area_resize(light, 32, 32)).astype(np.uint8))
             rows.append((
                 len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored_form),
-                hashlib.sha256(stored_form).hexdigest(), f"{difference_hash(light)}:{zlib.crc32(npy(np.rint(area_resize(light, 32, 32)).astype(np.uint8))):08x}",
+                hashlib.sha256(stored_form).hexdigest(), f"{difference_hash(light)}:{zlib.crc32(tile):08x}", tile,
             ))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
         columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-        yield pa.record_batch([b.column(0), b.column(1), *columns], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        yield pa.record_batch([b.column(0), b.column(1), *columns], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"])
 
 
 def media_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Store every text as media in the shared folder, read it back and describe what was read.
 
     One row for each row of ``docs``, repeated rows too. Null is the empty text, stored as UNIT blanks. Texts of
-    any length are whole. ``feature`` is the difference hash and the CRC-32 of the 32 x 32 NPY tile. An empty
+    any length are whole. ``tile`` is the 32 x 32 NPY tile, ``feature`` the difference hash and the tile's CRC-32. An empty
     table gives an empty result; other columns are not read.
     """
     kept = stored(store_texts(docs, doc_id, text), "media")
-    return kept.mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return kept.mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary")
