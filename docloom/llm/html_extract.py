@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -101,6 +102,7 @@ def blocks_of(page: str) -> list[Block]:
     """Blocks of visible text in page order."""
     scan = _Scan()
     stack: list[tuple[str, bool, int, bool]] = []  # name, never, main, link
+    opened: Counter[str] = Counter()  # how many of each name the stack has
     never, main, link, mains = False, 0, False, 0
     at, broke = 0, False
 
@@ -129,11 +131,12 @@ def blocks_of(page: str) -> list[Block]:
         if m[1]:  # an end tag closes what is open up to its start; one without a start says nothing
             if name in INLINE and name != "a":
                 continue
-            if any(x[0] == name for x in stack):
+            if opened[name]:
                 if name not in INLINE:
                     close()
                 while stack:
                     top = stack.pop()
+                    opened[top[0]] -= 1
                     if top[0] == name:
                         break
                 never, main, link = stack[-1][1:] if stack else (False, 0, False)
@@ -165,7 +168,7 @@ def blocks_of(page: str) -> list[Block]:
                 # Their end tags may be missing: a new one closes an open one of its kind.
                 kinds = HEADINGS | {"p"} if name == "p" or name in HEADINGS else {name, "p"}
                 while stack and (stack[-1][0] in kinds or stack[-1][0] == "a"):
-                    stack.pop()
+                    opened[stack.pop()[0]] -= 1
                 never, main, link = stack[-1][1:] if stack else (False, 0, False)
             if name in HEADINGS:
                 scan.heading = True
@@ -182,6 +185,7 @@ def blocks_of(page: str) -> list[Block]:
         link = link or name == "a"
         if not m[3].endswith("/"):
             stack.append((name, never, main, link))
+            opened[name] += 1
         else:
             never, main, link = stack[-1][1:] if stack else (False, 0, False)
     say(page[at:])

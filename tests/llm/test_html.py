@@ -58,3 +58,12 @@ MIDDLE = "Rain fell across northern towns Monday, and several roads were closed
 def test_unmarked_pages_that_stop_words_cannot_tell(paragraphs):
     page = f"<body><nav>{LONG * 2}</nav>{LINKED}{''.join(f'<p>{p}</p>' for p in paragraphs)}{LINKED}<footer>{LONG * 2}</footer></body>"
     assert main_text(page).split("\n") == paragraphs
+
+
+def test_very_deep_markup_takes_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<div>" * 100_000 + "<p>" + "the text of it is here and so on " * 9 + "</p>" + "</div>" * 100_000, "<div><b>" * 50_000 + "x", "<ul>" + "<li><p>y" * 50_000 + "</span>" * 50_000):
+        assert main_text(page) is not None
+    assert time.perf_counter() - began < 20
