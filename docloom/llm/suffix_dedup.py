@@ -50,7 +50,7 @@ PART, PLACE_BITS = 1 << 22, 24
 #: Contexts of one anchor that a task may hold; beyond that the anchor is cut.
 WIDE = 1024
 #: Bytes of a suffix array's symbol, and contexts taken together.
-SYMBOL, BATCH = 32, 2048
+SYMBOL, BATCH = 64, 2048
 
 ANCHORS = "doc_id long, version long, at long, lo int, hi int, token long, digest long"
 CONTEXTS = "token long, digest long, lo int, hi int, n long, low long, high long, bytes binary"
