@@ -2,7 +2,6 @@
 
 import random
 import re
-from collections import Counter
 
 import pytest
 import xxhash
@@ -10,6 +9,8 @@ import xxhash
 import corpus_pipeline
 from docloom.llm import toxicity
 from docloom.llm.simhash import fingerprint
+from docloom.llm.suffix_dedup import PASSAGE
+from tests.llm.test_suffix_dedup import brute_runs
 from tests.llm.test_tokens import check_packing
 
 
@@ -61,16 +62,12 @@ def brute(docs, bench, model):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     texts = {i: t for i, t in texts.items() if find(i) == i}
-    data = {i: (t or "").encode() for i, t in texts.items()}
-    seen = Counter(d[k : k + 400] for d in data.values() for k in range(len(d) - 399))
+    runs = dict(zip(texts, brute_runs(list(texts.values()), PASSAGE)))
     cut = {}
-    for i, d in data.items():
-        gone = [False] * len(d)
-        for k in range(len(d) - 399):
-            if seen[d[k : k + 400]] > 1:
-                gone[k : k + 400] = [True] * 400
-        left = bytes(b for b, g in zip(d, gone) if not g).decode("utf-8", "ignore")
-        cut[i] = None if texts[i] is None else left
+    for i, t in texts.items():
+        d = (t or "").encode()
+        left = b"".join(d[a:b] for a, b in zip([0, *(stop for _, stop in runs[i])], [*(start for start, _ in runs[i]), len(d)]))
+        cut[i] = None if t is None else left.decode("utf-8", "ignore")
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
     windows = {tuple(w[k : k + min(10, len(w))]) for w in map(split, bench) for k in range(len(w) - min(10, len(w)) + 1) if w}
     sizes = {len(w) for w in windows}
@@ -92,7 +89,7 @@ def test_stages(spark, folder):
             assert now.columns == columns
     assert set(results[0]) == after_toxic
     assert set(results[1]) == kept
-    assert {i: r.text for i, r in results[2].items()} == cut
+    assert {i: r.text for i, r in results[2].items()} == cut and sum(cut[i] != docs[i][1] for i in cut) == 3
     assert all(r.n_chars == (len(r.text) if r.text is not None else None) for r in results[2].values())
     assert {i: r.text for i, r in results[3].items()} == clean and len(clean) < len(cut)
     full = [clean.get(i, "absent") for i in range(len(docs))]
