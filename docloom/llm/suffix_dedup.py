@@ -46,7 +46,7 @@ PASSAGE = Repeat(200, across=True, words=51)
 #: The most bytes of a k-gram.
 GRAM = 128
 #: Bytes hashed together; longer texts are read in overlapping parts. Places take PLACE_BITS of a sort key.
-PART, PLACE_BITS = 1 << 22, 24
+PART, PLACE_BITS = 1 << 20, 24
 #: Contexts of one anchor that a task may hold; beyond that the anchor is cut.
 WIDE = 1024
 #: Bytes of a suffix array's symbol, and contexts taken together.
