@@ -70,13 +70,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, text
     body = F.coalesce(F.col(text), F.lit(""))
     digest = F.unhex(F.sha2(body.cast("binary"), 256))
     stored = read_cache(spark, cache).where(F.col("tokenizer") == version)
-    stored_before = not stored.isEmpty()  # with an empty cache all texts are misses
-    named = docs.select(digest.alias("digest"), body.alias("body"))
-    misses = tables.stored(named.select("digest").distinct().join(stored.select("digest"), "digest", "left_anti"), "misses")
-    wanted = named.join(F.broadcast(misses), "digest", "left_semi") if tables.small(misses) else named.join(misses, "digest", "left_semi") if stored_before else named
+    wanted, misses = docs.select(digest.alias("digest"), body.alias("body")), []
+    if not stored.isEmpty():  # with an empty cache all texts are misses
+        misses = [tables.stored(wanted.select("digest").distinct().join(stored.select("digest"), "digest", "left_anti"), "misses")]
+        wanted = wanted.join(tables.sized(misses[0]), "digest", "left_semi")
     new = wanted.groupBy("digest").agg(F.first("body").alias("body")).mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
     new.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    tables.drop_stored(misses)
+    tables.drop_stored(*misses)
     counts = (
         read_cache(spark, cache)
         .where(F.col("tokenizer") == version)
