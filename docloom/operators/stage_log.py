@@ -97,10 +97,14 @@ def tally(results: DataFrame, *by: str) -> DataFrame:
 
 
 def build_tally(results: DataFrame, group: str = "category") -> DataFrame:
-    """By category: indexed (skipped count too), failed, errors, and whether all went well."""
+    """By category: indexed (skipped count too), failed, and whether all went well."""
     failed = F.col("status") == "failed"
-    errors = F.array_sort(F.collect_list(F.when(failed, F.struct("document_id", "error"))))
-    return results.groupBy(group).agg(F.count_if(F.col("status").isin("completed", "skipped")).alias("indexed"), F.count_if(failed).alias("failed"), errors.alias("errors"), (F.count_if(failed) == 0).alias("success"))
+    return results.groupBy(group).agg(F.count_if(F.col("status").isin("completed", "skipped")).alias("indexed"), F.count_if(failed).alias("failed"), (F.count_if(failed) == 0).alias("success"))
+
+
+def build_failures(results: DataFrame, group: str = "category") -> DataFrame:
+    """A row for each document that failed, with its error."""
+    return results.where(F.col("status") == "failed").select(group, "document_id", "error")
 
 
 def replace_documents(index: DataFrame, new: DataFrame, key: str = "document_id") -> DataFrame:

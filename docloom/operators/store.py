@@ -115,6 +115,22 @@ def otp_outcome(found: Column, verified: Column, stored: Column, given: Column,
     )
 
 
+def valid_role(role: Column) -> Column:
+    return F.coalesce(role.isin("user", "assistant"), F.lit(False))
+
+
+def resend_outcome(found: Column, verified: Column) -> Column:
+    return F.when(~found, "not_found").when(F.coalesce(verified, F.lit(False)), "already_verified").otherwise("sent")
+
+
+def resend(rows: DataFrame, asked: DataFrame, now: Column, minutes: int = 15) -> DataFrame:
+    """Verification rows (email, otp, otp_expires_at, is_verified) with new codes (email, otp) for those asked for that aren't verified yet."""
+    joined = rows.join(asked.select("email", F.col("otp").alias("__otp")), "email", "left")
+    hit = F.col("__otp").isNotNull() & ~F.coalesce("is_verified", F.lit(False))
+    new = {"otp": F.col("__otp"), "otp_expires_at": now + F.expr(f"interval {minutes} minutes")}
+    return joined.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in rows.columns])
+
+
 def login_outcome(found: Column, provider: Column, password_ok: Column, verified: Column, active: Column) -> Column:
     return (
         F.when(~found, "not_found").when(provider != "local", "provider_mismatch").when(~password_ok, "bad_password").when(~verified, "unverified").when(~active, "inactive").otherwise("ok")
@@ -179,6 +195,17 @@ def sync_status(sources: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
     return sources.join(held, "source", "left").select("source", F.col("expires_in").isNotNull().alias("synced"), F.coalesce("expires_in", F.lit(0)).alias("expires_in"))
 
 
+def sync_enabled(sources: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
+    """The status of those sources (source, enabled) that are enabled."""
+    return sync_status(sources.where("enabled").select("source"), rows, now)
+
+
+def invalidate(rows: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
+    """Key rows and a tombstone for each of ``keys`` (key), after which a lookup goes to the source again."""
+    last = F.lit((1 << 63) - 1)
+    return rows.unionByName(keys.select("key").distinct().select("key", F.lit(None).cast("string").alias("value"), now.alias("set_at"), F.lit(0).cast("long").alias("ttl_seconds"), last.alias("seq")))
+
+
 def valid_tokens(tokens: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
     """Tokens (jti, user_id) whose id isn't blacklisted and whose user isn't invalidated, by live keys ``jti:`` and ``user:``."""
     held = live_keys(rows, now).select("key")

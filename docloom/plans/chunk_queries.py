@@ -79,33 +79,35 @@ CAST(sum(CASE WHEN s = '' THEN 0 ELSE len(string_split_regex(s, '\s+')) END) AS
 
 
 def _tables(spark: SparkSession, d: str, group: bool) -> DataFrame:
-    """A markdown table of each nation's customers, with a group row before every tenth."""
-    c = read(spark, d, "customer").withColumn("rn", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")))
+    """Markdown tables of 9 and 31 customers, with a group row before every tenth."""
+    k = F.col("c_custkey")
+    numbered = read(spark, d, "customer").withColumn("table_no", F.floor(k / 40).cast("long") * 2 + (k % 40 < 9).cast("int"))
+    c = numbered.withColumn("rn", F.row_number().over(Window.partitionBy("table_no").orderBy("c_custkey")))
     row = F.concat(F.lit("| "), F.col("c_custkey"), F.lit(" | "), F.col("c_name"), F.lit(" |"))
     if group:
         row = F.when(F.col("rn") % 10 == 1, F.concat(F.lit("**PLO"), F.col("rn"), F.lit("** | |\n"), row)).otherwise(row)
     listed = F.array_sort(F.collect_list(F.struct("rn", row.alias("x"))))
     head = "note\n| key | name |\n|---|---|\nlost | row\n" if group else "note\n| key | name |\n|---|---|\n"
-    return c.groupBy("c_nationkey").agg(F.concat(F.lit(head), F.array_join(F.transform(listed, lambda s: s["x"]), "\n")).alias("text"))
+    return c.groupBy("table_no").agg(F.concat(F.lit(head), F.array_join(F.transform(listed, lambda s: s["x"]), "\n")).alias("text"))
 
 
 def table_row_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.row_chunks(_tables(spark, d, False), ["c_nationkey"]).select("c_nationkey", "part", "header", F.md5("text").alias("text_md5"))
+    return chunking.row_chunks(_tables(spark, d, False), ["table_no"]).select("table_no", "part", "header", F.md5("text").alias("text_md5"))
 
 
-ROWS = r"""WITH c AS (SELECT c_nationkey, c_custkey, '| ' || c_custkey || ' | ' || c_name || ' |' AS x, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
+ROWS = r"""WITH c AS (SELECT table_no, c_custkey, '| ' || c_custkey || ' | ' || c_name || ' |' AS x, row_number() OVER (PARTITION BY table_no ORDER BY c_custkey) AS rn, count(*) OVER (PARTITION BY table_no) AS n FROM (SELECT *, c_custkey // 40 * 2 + CAST(c_custkey % 40 < 9 AS INT) AS table_no FROM customer)),
 h AS (SELECT '| key | name |' || chr(10) || '|---|---|' || chr(10) AS h)
-SELECT c_nationkey, CAST(CASE WHEN n + 2 <= 15 THEN 0 ELSE (rn - 1) // 15 END AS INT) AS part, CASE WHEN n + 2 <= 15 THEN NULL ELSE 'Rows ' || min(rn) || '-' || max(rn) END AS header,
-md5(CASE WHEN n + 2 <= 15 THEN 'note' || chr(10) ELSE '' END || any_value(h) || string_agg(x, chr(10) ORDER BY rn)) AS text_md5 FROM c, h GROUP BY c_nationkey, n, CASE WHEN n + 2 <= 15 THEN 0 ELSE (rn - 1) // 15 END"""
+SELECT table_no, CAST(CASE WHEN n + 2 <= 15 THEN 0 ELSE (rn - 1) // 15 END AS INT) AS part, CASE WHEN n + 2 <= 15 THEN NULL ELSE 'Rows ' || min(rn) || '-' || max(rn) END AS header,
+md5(CASE WHEN n + 2 <= 15 THEN 'note' || chr(10) ELSE '' END || any_value(h) || string_agg(x, chr(10) ORDER BY rn)) AS text_md5 FROM c, h GROUP BY table_no, n, CASE WHEN n + 2 <= 15 THEN 0 ELSE (rn - 1) // 15 END"""
 
 
 def table_group_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.group_chunks(_tables(spark, d, True), ["c_nationkey"], "plo").select("c_nationkey", "group_no", "header", F.md5("text").alias("text_md5"))
+    return chunking.group_chunks(_tables(spark, d, True), ["table_no"], "plo").select("table_no", "group_no", "header", F.md5("text").alias("text_md5"))
 
 
-GROUPS = r"""SELECT c_nationkey, CAST((rn - 1) // 10 + 1 AS INT) AS group_no, '**PLO' || min(rn) || '** | |' AS header,
+GROUPS = r"""SELECT table_no, CAST((rn - 1) // 10 + 1 AS INT) AS group_no, '**PLO' || min(rn) || '** | |' AS header,
 md5('| key | name |' || chr(10) || '|---|---|' || chr(10) || '**PLO' || min(rn) || '** | |' || chr(10) || string_agg(x, chr(10) ORDER BY rn)) AS text_md5
-FROM (SELECT c_nationkey, '| ' || c_custkey || ' | ' || c_name || ' |' AS x, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn FROM customer) GROUP BY c_nationkey, (rn - 1) // 10"""
+FROM (SELECT table_no, '| ' || c_custkey || ' | ' || c_name || ' |' AS x, row_number() OVER (PARTITION BY table_no ORDER BY c_custkey) AS rn FROM (SELECT *, c_custkey // 40 * 2 + CAST(c_custkey % 40 < 9 AS INT) AS table_no FROM customer)) GROUP BY table_no, (rn - 1) // 10"""
 
 
 def sub_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -130,20 +132,20 @@ def markdown_repair(spark: SparkSession, d: str) -> DataFrame:
 
 
 def blank_before_tables(spark: SparkSession, d: str) -> DataFrame:
-    tables = _tables(spark, d, False).withColumnRenamed("c_nationkey", "doc_id")
+    tables = _tables(spark, d, False).withColumnRenamed("table_no", "doc_id")
     fixed = markdown.join_lines(markdown.blank_before_tables(markdown.line_table(tables)))
     return fixed.select("doc_id", F.md5("text").alias("text_md5"))
 
 
-BLANKS = r"""SELECT c_nationkey AS doc_id, md5('note' || chr(10) || chr(10) || '| key | name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || c_custkey || ' | ' || c_name || ' |', chr(10) ORDER BY c_custkey)) AS text_md5 FROM customer GROUP BY 1"""
+BLANKS = r"""SELECT table_no AS doc_id, md5('note' || chr(10) || chr(10) || '| key | name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || c_custkey || ' | ' || c_name || ' |', chr(10) ORDER BY c_custkey)) AS text_md5 FROM (SELECT *, c_custkey // 40 * 2 + CAST(c_custkey % 40 < 9 AS INT) AS table_no FROM customer) GROUP BY 1"""
 
 
 def flatten_table_rows(spark: SparkSession, d: str) -> DataFrame:
-    tables = _tables(spark, d, False).withColumnRenamed("c_nationkey", "doc_id")
+    tables = _tables(spark, d, False).withColumnRenamed("table_no", "doc_id")
     return markdown.flatten_rows(markdown.line_table(tables)).select("doc_id", "ln", "text")
 
 
-FLAT = r"""SELECT c_nationkey AS doc_id, CAST(2 + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INT) AS ln, '- key: ' || c_custkey || '; name: ' || c_name AS text FROM customer"""
+FLAT = r"""SELECT table_no AS doc_id, CAST(2 + row_number() OVER (PARTITION BY table_no ORDER BY c_custkey) AS INT) AS ln, '- key: ' || c_custkey || '; name: ' || c_name AS text FROM (SELECT *, c_custkey // 40 * 2 + CAST(c_custkey % 40 < 9 AS INT) AS table_no FROM customer)"""
 
 QUERIES = {
     "header_chunks": Query(header_chunks, HEADER),

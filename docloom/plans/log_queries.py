@@ -89,14 +89,24 @@ def batch_tally(spark: SparkSession, d: str) -> DataFrame:
 TALLY = f"WITH {LOG} SELECT category, status, count(*) AS n FROM log GROUP BY ALL"
 
 
+def _built(spark: SparkSession, d: str) -> DataFrame:
+    state = stage_log.current_state(_log(spark, d)).where("stage = 'view'")
+    return state.withColumn("category", F.concat(F.lit("c"), (F.col("document_id") % 4).cast("string"))).withColumn("error", F.concat(F.lit("cost "), F.col("cost")))
+
+
 def build_tally(spark: SparkSession, d: str) -> DataFrame:
-    state = stage_log.current_state(_log(spark, d)).where("stage = 'view'").withColumn("category", F.concat(F.lit("c"), (F.col("document_id") % 4).cast("string"))).withColumn("error", F.col("output"))
-    tallied = stage_log.build_tally(state)
-    return tallied.select("category", "indexed", "failed", "success", F.array_join(F.transform("errors", lambda e: e["document_id"].cast("string")), ",").alias("failed_ids"))
+    return stage_log.build_tally(_built(spark, d))
+
+
+BUILD = f"""WITH {LOG} SELECT 'c' || (document_id % 4) AS category, count(*) FILTER (status IN ('completed', 'skipped')) AS indexed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'failed') = 0 AS success
+FROM state WHERE stage = 'view' GROUP BY 1"""
+
+
+def build_failures(spark: SparkSession, d: str) -> DataFrame:
+    return stage_log.build_failures(_built(spark, d))
 
 
-BUILD = f"""WITH {LOG} SELECT 'c' || (document_id % 4) AS category, count(*) FILTER (status IN ('completed', 'skipped')) AS indexed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'failed') = 0 AS success,
-coalesce(string_agg(CASE WHEN status = 'failed' THEN CAST(document_id AS VARCHAR) END, ',' ORDER BY document_id), '') AS failed_ids FROM state WHERE stage = 'view' GROUP BY 1"""
+FAILURES = f"WITH {LOG} SELECT 'c' || (document_id % 4) AS category, document_id, 'cost ' || cost AS error FROM state WHERE stage = 'view' AND status = 'failed'"
 
 
 def stage_run(spark: SparkSession, d: str) -> DataFrame:
@@ -139,6 +149,7 @@ QUERIES = {
     "dashboard_metrics": Query(dashboard_metrics, DASHBOARD),
     "batch_tally": Query(batch_tally, TALLY),
     "build_tally": Query(build_tally, BUILD),
+    "build_failures": Query(build_failures, FAILURES),
     "stage_run": Query(stage_run, RUN),
     "reindex_upsert": Query(reindex_upsert, REINDEX),
     "migrate_layout": Query(migrate_layout, MIGRATE),

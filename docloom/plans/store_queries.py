@@ -293,16 +293,79 @@ def cached_names(spark: SparkSession, d: str) -> DataFrame:
     name = F.format_string("Customer#%09d", F.col("user_id"))
     cache = e.select(F.concat(F.lit("name:"), name).alias("key"), F.when(F.col("value") > 50, "true").otherwise("false").alias("value"), F.col("ts").alias("set_at"), F.lit(86400 * 2).cast("long").alias("ttl_seconds"), F.col("event_id").alias("seq"))
     asked = e.select(name.alias("username")).distinct().unionAll(spark.createDataFrame([("nobody",)], "username string"))
-    return store.name_exists(asked, cache, _users(spark, d).where("id % 3 = 0"), _now())
+    return store.name_exists(asked, cache, store.live(_users(spark, d)), _now())
 
 
-CACHED = f"""WITH e AS (SELECT printf('Customer#%09d', user_id) AS username, user_id, value > 50 AS v, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)
-SELECT username, CASE WHEN 172800 - (epoch(TIMESTAMP '{NOW}') - floor(epoch(ts))) > 0 THEN v ELSE user_id % 3 = 0 AND user_id IN (SELECT c_custkey FROM customer) END AS taken FROM e WHERE n = 1 UNION ALL SELECT 'nobody', false"""
+CACHED = f"""WITH {USERS}, e AS (SELECT printf('Customer#%09d', user_id) AS username, user_id, value > 50 AS v, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)
+SELECT username, CASE WHEN 172800 - (epoch(TIMESTAMP '{NOW}') - floor(epoch(ts))) > 0 THEN v ELSE user_id IN (SELECT id FROM users WHERE deleted_at IS NULL) END AS taken FROM e WHERE n = 1 UNION ALL SELECT 'nobody', false"""
+
+
+def key_invalidate(spark: SparkSession, d: str) -> DataFrame:
+    """The keys of suppliers' numbers dropped from the cache: status of the enabled sources afterwards."""
+    keys = _keys(spark, d)
+    gone = read(spark, d, "supplier").select(F.concat(F.lit("src:"), F.col("s_suppkey")).alias("key"))
+    sources = keys.select(F.col("key").alias("source")).distinct().withColumn("enabled", ~F.startswith("source", F.lit("jti:")))
+    return store.sync_enabled(sources, store.invalidate(keys, gone, _now()), _now())
+
+
+INVALID = f"""WITH {KEYS} SELECT DISTINCT kv.key AS source, held.key IS NOT NULL AS synced, coalesce(expires_in, 0) AS expires_in FROM kv LEFT JOIN (SELECT * FROM held WHERE key NOT IN (SELECT 'src:' || s_suppkey FROM supplier)) held USING (key) WHERE NOT starts_with(kv.key, 'jti:')"""
+
+
+def claim_checks(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    tokens = read(spark, d, "customer").select(k.alias("id"), F.when(F.col("c_acctbal") < 0, "x").otherwise("us").alias("iss"), F.col("c_mktsegment").alias("aud"), F.when(F.col("c_nationkey") < 8, F.lit(NOW)).otherwise(F.lit("2025-01-01")).cast("timestamp_ntz").alias("exp"))
+    return store.valid_claims(tokens, "us", "BUILDING", _now()).select("id")
+
+
+CLAIMS = "SELECT c_custkey AS id FROM customer WHERE c_acctbal >= 0 AND c_mktsegment = 'BUILDING' AND c_nationkey >= 8"
+
+
+def owned_sessions(spark: SparkSession, d: str) -> DataFrame:
+    sessions = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.when(F.col("o_totalprice") < 100000, _now()).alias("deleted_at"))
+    return store.owned_by(sessions, 7).select("id")
+
+
+OWNED = "SELECT o_orderkey AS id FROM orders WHERE o_custkey = 7 AND o_totalprice >= 100000"
+
+
+def missing_collections(spark: SparkSession, d: str) -> DataFrame:
+    held = read(spark, d, "supplier").select(F.col("s_nationkey").alias("name"))
+    return store.missing_collections(read(spark, d, "nation").select(F.col("n_nationkey").alias("name")), held)
+
+
+MISSING = "SELECT n_nationkey AS name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)"
+
+
+def message_roles(spark: SparkSession, d: str) -> DataFrame:
+    return store.count_by(_messages(spark, d).withColumn("valid", store.valid_role(F.col("role"))), "role", "valid")
+
+
+ROLES = "SELECT role, role IN ('user', 'assistant') AS valid, count(*) AS n FROM conversations GROUP BY ALL"
+
+
+def verification_resend(spark: SparkSession, d: str) -> DataFrame:
+    mail = lambda k: F.concat(F.lit("m"), F.col(k))
+    rows = read(spark, d, "customer").select(mail("c_custkey").alias("email"), F.lit("old").alias("otp"), F.lit("2024-01-01").cast("timestamp_ntz").alias("otp_expires_at"), (F.col("c_acctbal") > 0).alias("is_verified"))
+    asked = read(spark, d, "supplier").select((F.col("s_suppkey") * 20).alias("k")).select(mail("k").alias("email"), F.lit("new").alias("otp"))
+    outcome = asked.select("email").join(rows.select("email", "is_verified"), "email", "left").select("email", store.resend_outcome(F.col("is_verified").isNotNull(), F.col("is_verified")).alias("outcome"))
+    return store.resend(rows, asked, _now()).join(outcome, "email", "full").select("email", "otp", "otp_expires_at", "outcome")
+
+
+RESEND = f"""WITH a AS (SELECT s_suppkey * 20 AS k FROM supplier)
+SELECT 'm' || coalesce(c_custkey, k) AS email, CASE WHEN c_custkey IS NULL THEN NULL WHEN k IS NOT NULL AND c_acctbal <= 0 THEN 'new' ELSE 'old' END AS otp,
+CASE WHEN c_custkey IS NULL THEN NULL WHEN k IS NOT NULL AND c_acctbal <= 0 THEN TIMESTAMP '{NOW}' + INTERVAL 15 MINUTE ELSE TIMESTAMP '2024-01-01' END AS otp_expires_at,
+CASE WHEN k IS NULL THEN NULL WHEN c_custkey IS NULL THEN 'not_found' WHEN c_acctbal > 0 THEN 'already_verified' ELSE 'sent' END AS outcome FROM customer FULL JOIN a ON k = c_custkey"""
 
 
 QUERIES = {
     "user_updates": Query(user_updates, UPDATES),
     "cached_names": Query(cached_names, CACHED),
+    "key_invalidate": Query(key_invalidate, INVALID),
+    "claim_checks": Query(claim_checks, CLAIMS),
+    "owned_sessions": Query(owned_sessions, OWNED),
+    "missing_collections": Query(missing_collections, MISSING),
+    "message_roles": Query(message_roles, ROLES),
+    "verification_resend": Query(verification_resend, RESEND),
     "last_n_messages": Query(last_n_messages, LAST),
     "session_counts": Query(session_counts, COUNTS),
     "delete_by_session": Query(delete_by_session, DELETED),

@@ -37,9 +37,11 @@ def find_raw(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each wanted (category, document_id) its file: that name and the first known extension, else the first name that starts so."""
     order = F.array_position(F.array(*map(F.lit, RAW_EXTENSIONS)), F.col("ext"))
     exact = (F.col("stem") == F.col("document_id")) & (order > 0)
-    near = files.join(wanted, "category").where(F.startswith("stem", "document_id"))
+    # Every prefix of a name is joined by value; file names are short, and contents aren't carried along.
+    starts = files.where("stem <> ''").select("path", "category", "stem", "ext", F.explode(F.sequence(F.lit(1), F.length("stem"))).alias("__l"))
+    near = starts.withColumn("document_id", F.substring("stem", F.lit(1), F.col("__l"))).join(wanted.select("category", "document_id").distinct(), ["category", "document_id"])
     ranked = near.withColumn("__o", F.when(exact, order).otherwise(1000)).withColumn("__n", F.row_number().over(Window.partitionBy("category", "document_id").orderBy("__o", "path")))
-    return ranked.where("__n = 1").drop("__o", "__n")
+    return ranked.where("__n = 1").select("path", "document_id").join(files, "path")
 
 
 def valid_files(files: DataFrame) -> DataFrame:
@@ -124,24 +126,42 @@ def markdown_documents(spark: SparkSession, folder: str, metadata_schema: str) -
 
     Texts are NFC; blank ones are left out. The id is that of the metadata, else the file's name.
     """
-    texts = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True).withColumn("path", F.input_file_name())
-    texts = texts.select(_category().alias("category"), _stem().alias("stem"), nfc("value").alias("text")).where(strip(F.col("text")) != "")
-    meta = spark.read.schema(metadata_schema).json(folder, multiLine=True, pathGlobFilter="*.json", recursiveFileLookup=True).withColumn("path", F.input_file_name())
-    meta = meta.withColumn("category", _category()).withColumn("stem", _stem()).drop("path")
-    joined = texts.join(meta, ["category", "stem"], "left")
-    named = F.coalesce("document_id", "stem") if "document_id" in meta.columns else F.col("stem")
+    return markdown_rows(whole_files(spark, folder, "*.md"), whole_files(spark, folder, "*.json"), metadata_schema)
+
+
+def whole_files(spark: SparkSession, folder: str, names: str = "*") -> DataFrame:
+    """(path, value): each text file of a folder, or of a glob, as one row."""
+    return spark.read.text(folder, wholetext=True, pathGlobFilter=names, recursiveFileLookup=True).select(F.input_file_name().alias("path"), "value")
+
+
+def markdown_rows(texts: DataFrame, meta: DataFrame, metadata_schema: str) -> DataFrame:
+    """:func:`markdown_documents` from tables of whole files (path, value); broken metadata is as good as none."""
+    found = texts.select(_category().alias("category"), _stem().alias("stem"), nfc("value").alias("text")).where(strip(F.col("text")) != "")
+    parsed = meta.select(_category().alias("category"), _stem().alias("stem"), F.from_json("value", metadata_schema).alias("m"))
+    parsed = parsed.select("category", "stem", "m.*")
+    joined = found.join(parsed, ["category", "stem"], "left")
+    named = F.coalesce("document_id", "stem") if "document_id" in parsed.columns else F.col("stem")
     return joined.withColumn("document_id", named).drop("stem")
 
 
 def chunk_files(spark: SparkSession, glob: str) -> DataFrame:
-    """Chunks of all chunk files; unreadable files give no rows. The id is ``id`` or ``chunk_id``; ``doc_id`` goes before the metadata's document id."""
-    rows = spark.read.schema(CHUNK).json(glob, multiLine=True, mode="DROPMALFORMED")
-    return rows.select(F.coalesce("id", "chunk_id").alias("chunk_id"), F.coalesce("doc_id", F.col("metadata")["document_id"]).alias("document_id"), "text", "metadata", "start_char_idx", "end_char_idx")
+    return chunk_rows(whole_files(spark, glob))
+
+
+def chunk_rows(rows: DataFrame) -> DataFrame:
+    """Chunks of chunk files (value: a JSON array); unreadable files give no rows. The id is ``id`` or ``chunk_id``; ``doc_id`` goes before the metadata's document id."""
+    chunks = rows.select(F.explode(F.from_json("value", f"array<struct<{CHUNK}>>")).alias("c")).where("c is not null").select("c.*")
+    return chunks.select(F.coalesce("id", "chunk_id").alias("chunk_id"), F.coalesce("doc_id", F.col("metadata")["document_id"]).alias("document_id"), "text", "metadata", "start_char_idx", "end_char_idx")
 
 
 def test_sets(spark: SparkSession, glob: str) -> DataFrame:
-    """Items of all matching files with their file's name; bad files give no rows."""
-    return spark.read.schema(ITEM).json(glob, multiLine=True, mode="DROPMALFORMED").withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+    return item_rows(whole_files(spark, glob))
+
+
+def item_rows(rows: DataFrame) -> DataFrame:
+    """Items of test set files (path, value: a JSON array) with their file's name; bad files give no rows."""
+    named = rows.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.explode(F.from_json("value", f"array<struct<{ITEM}>>")).alias("i"))
+    return named.where("i is not null").select("i.*", "file")
 
 
 def acronyms(path: str) -> dict[str, str]:

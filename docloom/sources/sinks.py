@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions.quality import rejection, stats
 from docloom.functions.urls import folder_name
@@ -56,6 +57,20 @@ def clear(df: DataFrame) -> DataFrame:
     return df.limit(0)
 
 
-def flat_metadata(metadata: dict[str, Column]) -> Column:
-    """Metadata as strings: arrays joined by commas, structs as JSON, others as they print."""
-    return F.map_from_arrays(F.array(*map(F.lit, metadata)), F.array(*metadata.values()))
+def flat_metadata(df: DataFrame, nested: str = "json") -> DataFrame:
+    """Columns as an index takes them: texts, numbers and booleans stay, arrays are joined by commas, others are as they print.
+
+    Structs and maps become JSON; ``nested="drop"`` leaves them out.
+    """
+    out = []
+    for field in df.schema:
+        kind, c = field.dataType, F.col(f"`{field.name}`")
+        if isinstance(kind, (T.StringType, T.NumericType, T.BooleanType)):
+            out.append(c)
+        elif isinstance(kind, T.ArrayType):
+            out.append(F.array_join(F.transform(c, lambda x: x.cast("string")), ", ").alias(field.name))
+        elif not isinstance(kind, (T.StructType, T.MapType)):
+            out.append(c.cast("string").alias(field.name))
+        elif nested == "json":
+            out.append(F.to_json(c).alias(field.name))
+    return df.select(*out)
