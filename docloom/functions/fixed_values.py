@@ -74,3 +74,11 @@ PROGRAM_KEYWORDS = {
 # Files of a document by preference.
 RAW_EXTENSIONS = [".pdf", ".docx", ".doc", ".html", ".txt"]
 STAGES = ["parse", "clean", "normalize", "filter", "fix-markdown", "flatten-table", "metadata", "chunk", "embed-index"]
+
+# Codes, dates, years, semesters and student ids in names and texts.
+NAME_CODE = r"(\d+)[-_]([a-z]+)-([a-zÀ-ỹ]+(?:-[a-zÀ-ỹ]+)?)"
+TEXT_CODE = r"(?iu)(\d+/Q[ĐD]-[A-ZÀ-ỹ]+(?:-[A-ZÀ-ỹ]+)?)"
+NAME_DATE = r"[-_]?(\d{1,2})-(\d{1,2})-(\d{2,4})(?:_|$)"
+INTAKE_YEAR, ANY_YEAR = r"khoa-(?:\d{2}-)?(\d{4})", r"\b(20\d{2})\b"
+SEMESTER = r"(?iuU)(?:HK|Học\s*kỳ)\s*(\d+)\s*-\s*(?:Năm\s*học\s*|Năm\s*)?(\d{4})\s*-\s*(\d{4})"
+NAMED_STUDENT, BARE_STUDENT = r"(?iuU)(?:MSSV|Mã\s+SV)[:\s]*(\d{8})\b", r"\b([12]\d{7})\b"

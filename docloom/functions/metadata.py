@@ -5,28 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docloom.functions.fixed_values import MAJOR_CODES
+from docloom.functions.fixed_values import ANY_YEAR, BARE_STUDENT, INTAKE_YEAR, MAJOR_CODES, NAME_CODE, NAME_DATE, NAMED_STUDENT, SEMESTER, TEXT_CODE
 from docloom.functions.text import strip
 
-_ORG = r"[a-zÀ-ỹ]+(?:-[a-zÀ-ỹ]+)?"
-
 
 def regulation_code_of_name(c: Column) -> Column:
     """``n/TYPE-ORG`` after ``__``, or at the start of a name without ``__``; else null."""
-    after, start = rf"(?i)__(\d+)[-_]([a-z]+)-({_ORG})", rf"(?i)^(\d+)[-_]([a-z]+)-({_ORG})"
+    after, start = f"(?i)__{NAME_CODE}", f"(?i)^{NAME_CODE}"
     has_after, has_start = c.rlike(after), (F.instr(c, "__") == 0) & c.rlike(start)
     part = lambda k: F.when(has_after, F.regexp_extract(c, after, k)).otherwise(F.regexp_extract(c, start, k))
     return F.when(has_after | has_start, F.concat(part(1), F.lit("/"), F.upper(part(2)), F.lit("-"), F.upper(part(3))))
 
 
 def regulation_code_of_text(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(c, r"(?iu)(\d+/Q[ĐD]-[A-ZÀ-ỹ]+(?:-[A-ZÀ-ỹ]+)?)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(c, TEXT_CODE, 1), F.lit(""))
 
 
 def date_of_name(c: Column) -> Column:
     """``YYYY-MM-DD`` of a day-month-year in a name; not checked against a calendar."""
-    pattern = r"[-_]?(\d{1,2})-(\d{1,2})-(\d{2,4})(?:_|$)"
-    day, month, year = (F.regexp_extract(c, pattern, k) for k in (1, 2, 3))
+    day, month, year = (F.regexp_extract(c, NAME_DATE, k) for k in (1, 2, 3))
     full = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
     return F.when(day != "", F.concat_ws("-", full, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
 
@@ -37,8 +34,7 @@ def year_of_name(c: Column) -> Column:
 
 def curriculum_year(name: Column, text: Column) -> Column:
     """Year of an intake from the file name, else the first such in the text's first 8000 characters."""
-    pattern = r"khoa-(?:\d{2}-)?(\d{4})"
-    return F.coalesce(*[F.nullif(F.regexp_extract(x, p, 1), F.lit("")).cast("int") for x, p in ((name, pattern), (F.substring(text, 1, 8000), r"\b(20\d{2})\b"))])
+    return F.coalesce(*[F.nullif(F.regexp_extract(x, p, 1), F.lit("")).cast("int") for x, p in ((name, INTAKE_YEAR), (F.substring(text, 1, 8000), ANY_YEAR))])
 
 
 def major_code(c: Column) -> Column:
@@ -51,13 +47,12 @@ def document_type(c: Column) -> Column:
 
 
 def semester(c: Column) -> Column:
-    pattern = r"(?iuU)(?:HK|Học\s*kỳ)\s*(\d+)\s*-\s*(?:Năm\s*học\s*|Năm\s*)?(\d{4})\s*-\s*(\d{4})"
-    n, first, last = (F.regexp_extract(strip(c), pattern, k) for k in (1, 2, 3))
+    n, first, last = (F.regexp_extract(strip(c), SEMESTER, k) for k in (1, 2, 3))
     return F.when(n != "", F.concat(F.lit("HK"), n, F.lit(" năm học "), first, F.lit("-"), last))
 
 
 def student_id(c: Column) -> Column:
-    named, bare = F.regexp_extract(c, r"(?iuU)(?:MSSV|Mã\s+SV)[:\s]*(\d{8})\b", 1), F.regexp_extract(c, r"\b([12]\d{7})\b", 1)
+    named, bare = F.regexp_extract(c, NAMED_STUDENT, 1), F.regexp_extract(c, BARE_STUDENT, 1)
     return F.coalesce(F.nullif(named, F.lit("")), F.nullif(bare, F.lit("")))
 
 

@@ -6,6 +6,8 @@ running maxima for each level tell; the last one alive is the chunk's own header
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,16 +151,17 @@ def row_chunks(chunks: DataFrame, keys: list[str], most: int = 15) -> DataFrame:
     return small.unionByName(large)
 
 
-def sub_chunks(docs: DataFrame, keys: list[str], text: str = "text", limit: int = 8000, size: int = 1024, overlap: int = 200) -> DataFrame:
-    """Texts over ``limit`` words in overlapping parts of ``size`` words, each after the context before the first rule line.
+def sub_chunks(docs: DataFrame, keys: list[str], text: str = "text", limit: int = 8000, size: int = 1024, overlap: int = 200, split: Callable[[Column], Column] = words) -> DataFrame:
+    """Texts over ``limit`` tokens in overlapping parts of ``size`` tokens, each after the context before the first rule line.
 
-    Columns: keys, sub_no, sub_total, tokens, text. Tokens are words between white space.
+    Columns: keys, sub_no, sub_total, tokens, text. Tokens are what ``split`` makes of a text (an array of strings), words between white
+    space unless told otherwise; the tokens of a part are joined by blanks.
     """
-    whole = docs.select(*keys, F.col(text).alias("__t"), words(F.col(text)).alias("w"))
+    whole = docs.select(*keys, F.col(text).alias("__t"), split(F.col(text)).alias("w"))
     small = whole.where(F.size("w") <= limit).select(*keys, F.lit(0).alias("sub_no"), F.lit(1).alias("sub_total"), F.size("w").alias("tokens"), F.col("__t").alias("text"))
     at = F.instr("__t", "\n---\n")
     large = whole.where(F.size("w") > limit).select(
-        *keys, F.when(at > 0, F.substring(F.col("__t"), F.lit(1), at - 1)).alias("context"), words(F.when(at > 0, F.substring(F.col("__t"), at + 5, F.length("__t"))).otherwise(F.col("__t"))).alias("w")
+        *keys, F.when(at > 0, F.substring(F.col("__t"), F.lit(1), at - 1)).alias("context"), split(F.when(at > 0, F.substring(F.col("__t"), at + 5, F.length("__t"))).otherwise(F.col("__t"))).alias("w")
     )
     step = size - overlap
     count = F.greatest(F.lit(1), F.ceil((F.size("w") - overlap) / step).cast("int"))

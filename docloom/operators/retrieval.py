@@ -70,14 +70,14 @@ def postings(corpus: DataFrame, key: str = "chunk_id", text: str = "text") -> Da
     return listed.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(qid, chunk_id, score, rank) from queries (qid, query) and a corpus.
+def bm25(queries: DataFrame, corpus: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, key: str = "chunk_id", text: str = "text", split: Callable[[Column], Column] = terms) -> DataFrame:
+    """(qid, chunk_id, score, rank) from queries (qid, query) and a corpus; ``split`` makes terms of both, and may stem them or leave some out.
 
     Only the corpus words that some query has are exploded further: they are joined to the query terms first. Statistics cover the whole corpus.
     Scores are rounded to six places, so that equal texts rank by key however their terms were summed.
     """
-    asked = queries.select("qid", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    listed = corpus.select(key, terms(F.col(text)).alias("w"))
+    asked = queries.select("qid", F.explode(F.array_distinct(split(F.col("query")))).alias("term"))
+    listed = corpus.select(key, split(F.col(text)).alias("w"))
     size = listed.agg(F.count("*").alias("docs"), F.avg(F.size("w")).alias("avgdl"))  # one row
     wanted = asked.select("term").distinct()
     found = listed.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).join(sized(wanted), "term").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))

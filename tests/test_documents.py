@@ -189,3 +189,20 @@ def test_crawl(spark):
 def test_portal_session(spark):
     pages = spark.createDataFrame([("<a>Đăng xuất</a>", "x"), ("<input id='edit-name'>", "user/login")], "html string, url string")
     assert [(r.logged_in, r.expired) for r in files.fetched(pages).collect()] == [(True, False), (False, True)]
+
+
+def test_flat_metadata_by_kind_of_column(spark):
+    df = spark.sql("select 'a' s, 2 n, array('x', 'y') l, named_struct('k', 1) d, date'2024-01-31' day, true b")
+    assert sinks.flat_metadata(df).first().asDict() == {"s": "a", "n": 2, "l": "x, y", "d": '{"k":1}', "day": "2024-01-31", "b": True}
+    assert "d" not in sinks.flat_metadata(df, nested="drop").columns
+
+
+def test_broken_files_of_chunks_and_items_give_no_rows(spark):
+    rows = spark.createDataFrame([("/a/x.json", "[{"), ("/a/y.json", ""), ("/a/z.json", None), ("/a/q.json", '[{"id": "1", "question": "w"}]')], "path string, value string")
+    assert [(r.file, r.id) for r in files.item_rows(rows).collect()] == [("q.json", "1")]
+    assert [r.chunk_id for r in files.chunk_rows(rows).collect()] == ["1"]
+
+
+def test_sub_chunks_by_tokens_of_the_caller(spark):
+    parts = chunking.sub_chunks(docs(spark, "abcdefg"), ["doc_id"], limit=3, size=4, overlap=1, split=lambda c: F.split(c, "")).orderBy("sub_no").collect()
+    assert [r.text for r in parts] == ["a b c d", "d e f g"]
