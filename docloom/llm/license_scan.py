@@ -2,8 +2,9 @@
 
 Paragraphs are blocks between blank lines, or else their lines, or else the sentences of those. Sparse word n-gram logistic regressions, one for each licence family, are
 trained on the families' notices with words dropped or added, against paragraphs of the corpus. Scores are calibrated to
-probabilities on paragraphs kept out of training; where no family is likely enough the class is unknown. A
-prediction counts if the paragraph also shares most of its words with one of the family's notices, or holds most of a long one.
+probabilities on paragraphs kept out of training. A prediction counts if the paragraph also shares most of its words with one
+of the family's notices, or holds most of a long one. What is no family's, but names a licence and is one by a regression over
+all families together, has the class unknown; that one is calibrated on families that its training didn't have.
 """
 
 from __future__ import annotations
@@ -57,13 +58,17 @@ MAX_DOCUMENTS, MAX_PARAGRAPHS = 1500, 20_000
 VARIANTS = 60
 #: Least calibrated probability of a family, and least share of words with a notice.
 KNOWN_FROM, CONFIRM_FROM = 0.5, 0.6
+#: The class of licences of no family, its least calibrated probability and least words (counted at hyphens too), and in how many parts families are kept out to calibrate it.
+UNKNOWN, UNKNOWN_FROM, UNKNOWN_WORDS, FOLDS = "unknown", 0.9, 3, 3
 NGRAM = 3
 #: Words from which on a notice is long: a paragraph that has most of its trigrams holds it.
 LONG_NOTICE = 10
 
 _WORD = re.compile(r"\w+(?:[.-]\w+)*").findall
 _BLANK_LINES = re.compile(r"\n[^\S\n]*\n\s*")
-_SENTENCE = re.compile(r"(?<=[.!?;])\s+")
+_SENTENCE = re.compile(r"(?<=[.!?;])(?<!\bv\.)\s+")
+#: A text of unknown licence names one.
+_NAMES_LICENCE = re.compile(r"\blicen[cs]es?\b|\blicen[cs]ed under\b|\bspdx-license", re.IGNORECASE).search
 
 
 def paragraphs(text: str | None) -> list[list[str]]:
@@ -88,6 +93,8 @@ class Model:
     bias: np.ndarray
     slope: np.ndarray
     offset: np.ndarray
+    #: The regression over all families together: weights, bias, slope, offset.
+    any_family: tuple[np.ndarray, float, float, float]
 
     def numbers(self, ws: list[str]) -> list[int]:
         """The known n-grams. A longer one is known only if its words are."""
@@ -107,6 +114,12 @@ class Model:
         raw = self.weights[found].sum(0) / np.sqrt(max(1, len(ws))) + self.bias
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.offset, -40, 40)))
 
+    def licence(self, ws: list[str]) -> float:
+        """The probability that these are words of a licence notice, of whatever family."""
+        weights, bias, slope, offset = self.any_family
+        raw = weights[self.numbers(ws)].sum() / np.sqrt(max(1, len(ws))) + bias
+        return float(1 / (1 + np.exp(-np.clip(slope * raw + offset, -40, 40))))
+
 
 def _logistic(x: Sparse, scale: np.ndarray, y: np.ndarray, features: int, ridge: float, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Logistic regression by Adam steps; row i's features have the value ``scale[i]``."""
@@ -122,6 +135,23 @@ def _logistic(x: Sparse, scale: np.ndarray, y: np.ndarray, features: int, ridge:
     return theta[:-1], float(theta[-1])
 
 
+def _calibrated(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of probabilities: a regression of one feature, the raw score."""
+    slope, offset = _logistic(Sparse(np.arange(len(raw) + 1), np.zeros(len(raw), np.int64)), raw, y, 1, 1e-3)
+    return float(slope[0]), offset
+
+
+def _any_family(found: list[list[int]], scale: np.ndarray, label: np.ndarray, features: int) -> tuple[np.ndarray, float, float, float]:
+    """Licence or not, calibrated on families and other paragraphs that the training for it didn't have."""
+    of = lambda rows: Sparse.of([found[i] for i in np.flatnonzero(rows)])
+    part = np.where(label >= 0, label, np.arange(len(label))) % FOLDS
+    raw = np.zeros(len(label))
+    for k in range(FOLDS):
+        w, b = _logistic(of(part != k), scale[part != k], label[part != k] >= 0, features, 1e-4)
+        raw[part == k] = of(part == k).dot(w) * scale[part == k] + b
+    return *_logistic(Sparse.of(found), scale, label >= 0, features, 1e-4), *_calibrated(raw, label >= 0)
+
+
 def train(corpus_paragraphs: list[str], seed: int = 7) -> Model:
     """Fit on variants of the notices against corpus paragraphs; a third of both is kept out for calibration."""
     rng = random.Random(seed)
@@ -145,7 +175,7 @@ def train(corpus_paragraphs: list[str], seed: int = 7) -> Model:
                 rows.append((kept[:at] + extra + kept[at:], f))
             # Parts of a notice that other texts have too are no licence.
             rows += [(ws[i : i + 2], -1) for i in range(len(ws) - 1) if len(ws) > 6]
-    model = Model(names, np.zeros((len(names), len(FAMILIES))), np.zeros(len(FAMILIES)), np.ones(len(FAMILIES)), np.zeros(len(FAMILIES)))
+    model = Model(names, np.zeros((len(names), len(FAMILIES))), np.zeros(len(FAMILIES)), np.ones(len(FAMILIES)), np.zeros(len(FAMILIES)), (np.zeros(len(names)), -40.0, 1.0, 0.0))
     rng.shuffle(rows)
     found = [model.numbers(ws) for ws, _ in rows]
     scale = np.array([1 / np.sqrt(max(1, len(ws))) for ws, _ in rows])
@@ -156,10 +186,9 @@ def train(corpus_paragraphs: list[str], seed: int = 7) -> Model:
     for f in range(len(FAMILIES)):
         w, b = _logistic(x, scale[~out], label[~out] == f, len(names), 1e-4)
         raw = held.dot(w) * scale[out] + b
-        # Calibration on the part kept out: one feature, the raw score.
-        one = Sparse(np.arange(len(raw) + 1), np.zeros(len(raw), np.int64))
-        slope, offset = _logistic(one, raw, label[out] == f, 1, 1e-3)
-        model.weights[:, f], model.bias[f], model.slope[f], model.offset[f] = w, b, slope[0], offset
+        model.weights[:, f], model.bias[f] = w, b
+        model.slope[f], model.offset[f] = _calibrated(raw, label[out] == f)
+    model.any_family = _any_family(found, scale, label, len(names))
     return model
 
 
@@ -227,8 +256,23 @@ def _judge(model: Model, paragraph: str) -> tuple[str, str, float, float] | None
     return paragraph, FAMILIES[best], float(chances[best]), sure
 
 
+def _unknown(model: Model, text: str) -> list[tuple[str, str, float, float]]:
+    """The sentences that are licence notices, but of no family."""
+    out = []
+    for sentence in _SENTENCE.split(text) if _NAMES_LICENCE(text) else ():
+        ws = words(sentence)
+        if not _NAMES_LICENCE(sentence) or sum(1 + w.count("-") for w in ws) < UNKNOWN_WORDS:
+            continue
+        if (chance := model.licence(ws)) >= UNKNOWN_FROM:
+            out.append((sentence, UNKNOWN, chance, max(confirmation(ws, f) for f in FAMILIES)))
+    return out
+
+
 def classify(model: Model, text: str | None) -> list[tuple[str, str, float, float]]:
-    """(paragraph, family, probability, confirmation) of the paragraphs that are licence notices, or else of their lines, or else of their sentences that are."""
+    """(paragraph, family, probability, confirmation) of the paragraphs that are licence notices, or else of their lines, or else of their sentences that are.
+
+    Where a paragraph has no family's notice, its sentences, and else those of its lines without one, may be of the class unknown.
+    """
     out = []
     if not text or not _may_be_notice(text):
         return out
@@ -239,11 +283,14 @@ def classify(model: Model, text: str | None) -> list[tuple[str, str, float, floa
         if len(lines) > 1 and (found := _judge(model, " ".join(block.split()))):
             out.append(found)
             continue
+        judged = []
         for line, *sentences in lines:
-            if found := _judge(model, line):
-                out.append(found)
-            else:
-                out += filter(None, (_judge(model, s) for s in sentences))
+            whole = _judge(model, line)
+            judged.append([whole] if whole else [*filter(None, (_judge(model, s) for s in sentences))])
+        if any(judged):
+            out += [r for (line, *_), found in zip(lines, judged) for r in found or _unknown(model, line)]
+        else:
+            out += _unknown(model, " ".join(block.split()) if len(lines) > 1 else block)
     return out
 
 
@@ -269,6 +316,7 @@ def training_paragraphs(docs: DataFrame) -> list[str]:
 def scan_licenses(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, families (sorted, comma-joined), n_notices and notices (paragraph, family, probability, confirmation) for each row.
 
+    A notice of no family that the model knows has the family ``unknown``.
     Null and empty texts have none. Whole texts are read, every paragraph of any length; repeated rows are scanned
     alike; an empty table gives an empty result; other columns are not read.
     """

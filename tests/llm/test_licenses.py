@@ -29,6 +29,31 @@ def test_held_out_variants_and_unknowns(model):
         assert license_scan.classify(model, text) == []
 
 
+UNKNOWN = [
+    "Licensed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: Zlib", "Released under the Artistic License 2.0.", "Licensed under the European Union Public Licence v. 1.2", "Licensed under EUPL 1.2.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0", "This font is licensed under the SIL Open Font License, Version 1.1.",
+]
+NO_LICENCE = ["Licensed driver wanted under 40", "A fishing license is required in this county.", "The driver lost his license after the accident.", "License plates are sold here.", "A license", "My licence and the car"]
+
+
+def test_licences_of_no_family_are_unknown(model):
+    for text in UNKNOWN:
+        assert [(f[0], f[1]) for f in license_scan.classify(model, f"some words before\n\n{text}\n\nand after")] == [(text, "unknown")], text
+    for text in NO_LICENCE:
+        assert license_scan.classify(model, f"some words before.\n{text}") == [], text
+    both = license_scan.classify(model, f"Released under the MIT License.\nmore words. {UNKNOWN[0]} and after")
+    assert [f[1] for f in both] == ["MIT", "unknown"]
+    wrapped = license_scan.classify(model, "some words before\n\n" + UNKNOWN[0].replace(" Software", "\nSoftware"))
+    assert [(f[0], f[1]) for f in wrapped] == [(UNKNOWN[0], "unknown")]
+
+
+@pytest.mark.parametrize("left_out", license_scan.FAMILIES)
+def test_notices_without_their_templates_are_of_no_other_family(model, left_out, monkeypatch):
+    monkeypatch.setattr(license_scan, "_TEMPLATES", license_scan._TEMPLATES | {left_out: []})
+    for notice in license_scan.NOTICES[left_out]:
+        assert {f[1] for f in license_scan.classify(model, notice)} <= {"unknown"}, notice
+
+
 def test_operator(spark, model):
     notice = "Licensed under CC BY-NC 4.0."
     rows = [(1, f"a b c\n{notice}", "x"), (2, f"The words. {notice} More words here.", "x"), (3, None, "x"), (4, "", "x"), (5, "the of " * 30_000, "x"), (None, "Released under the MIT License.", "x"), (1, f"a b c\n{notice}", "x")]
