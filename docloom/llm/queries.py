@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontamination, html_extract, license_scan, media, packing, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from docloom.llm import decontamination, html_extract, license_scan, media, merkle, packing, simhash, suffix_dedup, token_counts, toxicity, url_filter
 from docloom.llm.bpe import default_tokenizer
 
 #: Host and path rules of the URL query.
@@ -68,9 +68,14 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *passages)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), F.translate("text", "\n", ""), tampered)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        op1_html_extraction, op2_decontamination, op3_packing, op4_token_counts, op5_toxicity, op6_license_scan, op7_media_columns, op8_url_filter, op9_simhash_near_dedup, op10_suffix_array_dedup,
+        op1_html_extraction, op2_decontamination, op3_packing, op4_token_counts, op5_toxicity, op6_license_scan, op7_media_columns, op8_url_filter, op9_simhash_near_dedup, op10_suffix_array_dedup, op11_merkle_manifest,
     )
     return {q.__name__: q for q in own}
 
