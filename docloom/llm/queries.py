@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontamination, html_extract, license_scan, media, merkle, packing, simhash, suffix_dedup, token_counts, toxicity, url_filter, whitening
+from docloom.llm import best_fit, decontamination, html_extract, license_scan, media, merkle, packing, simhash, suffix_dedup, token_counts, toxicity, url_filter, whitening
 from docloom.llm.bpe import default_tokenizer
 
 #: Host and path rules of the URL query.
@@ -73,6 +73,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), F.translate("text", "\n", ""), tampered)
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_best_fit(table(spark, sf_dir, "documents"), default_tokenizer(), 1024, 2)
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(table(spark, sf_dir, "embeddings"), 16)
     return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
@@ -80,7 +84,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        op1_html_extraction, op2_decontamination, op3_packing, op4_token_counts, op5_toxicity, op6_license_scan, op7_media_columns, op8_url_filter, op9_simhash_near_dedup, op10_suffix_array_dedup, op11_merkle_manifest, op13_embedding_whitening,
+        op1_html_extraction, op2_decontamination, op3_packing, op4_token_counts, op5_toxicity, op6_license_scan, op7_media_columns, op8_url_filter, op9_simhash_near_dedup, op10_suffix_array_dedup, op11_merkle_manifest, op12_best_fit_packing, op13_embedding_whitening,
     )
     return {q.__name__: q for q in own}
 
