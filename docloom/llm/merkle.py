@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.plans.stored import stored
+from docloom.plans.stored import drop_stored, stored
 
 FANOUT = 3
 NODE = "group string, idx long, n long, digest string"
@@ -47,44 +47,53 @@ def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     return ranked.select(*rows.columns, (F.col("row") + F.col("shift")).alias("idx"), "n")
 
 
-def _climb(nodes: DataFrame, fanout: int, carry: tuple[str, ...] = ()) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Levels of runs (group, idx, n, children, digest), lowest first, and for each level, the top one included, its nodes that are alone in their group.
+def _climb(nodes: DataFrame, fanout: int, carry: tuple[str, ...] = ()) -> tuple[list[DataFrame], DataFrame]:
+    """Levels of runs (group, idx, n, children, digest), lowest first, and the groups' roots (group, level, digest), a node's level being 0 for the lowest ones.
 
     A run's ``idx`` and ``n`` are those of the parent that it makes. ``carry`` names columns of the lowest nodes that go along in their runs.
     """
-    levels, alone, names = [], [], carry
+    levels, roots = [], None
     most = nodes.agg(F.max("n")).first()[0] or 0
     while most:
-        alone.append(nodes.where("n = 1"))
+        alone = nodes.where("n = 1").select("group", F.lit(len(levels)).alias("level"), "digest")
+        roots = alone if roots is None else roots.unionAll(alone)
         if most == 1:
             break
-        child = F.struct("idx", "digest", *names)
-        parent = (F.floor(F.col("idx") / fanout)).cast("long")
+        child = F.struct("idx", "digest", *(carry if not levels else ()))
+        parent = F.floor(F.col("idx") / fanout).cast("long")
         runs = nodes.where("n > 1").groupBy("group", parent.alias("idx"), F.floor((F.col("n") + fanout - 1) / fanout).cast("long").alias("n")).agg(F.sort_array(F.collect_list(child)).alias("children"))
         levels.append(stored(runs.withColumn("digest", F.sha2(F.array_join("children.digest", "").cast("binary"), 256)), "merkle-level"))
-        nodes, names, most = levels[-1].select("group", "idx", "n", "digest"), (), -(-most // fanout)
-    return levels, alone
+        nodes, most = levels[-1].select("group", "idx", "n", "digest"), -(-most // fanout)
+    return levels, roots
 
 
-def _descend(levels: list[DataFrame], alone: list[DataFrame], tops: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """The lowest nodes with ``path``: for each level upwards the digests left and right of the way to the root. ``tops`` (group, top, path) has the groups' roots."""
-    keys = ["group", "idx"]
+def _descend(nodes: DataFrame, levels: list[DataFrame], roots: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The lowest ``nodes`` (digest, ``carry``) with their group's root as ``top`` and their ``path``: for each level upwards the digests left and right of the way.
+
+    ``roots`` (group, level, digest, path) has the groups' roots and their own paths. Each level's paths are written down, so no plan has more than one join;
+    only those of the lowest nodes are left to the caller.
+    """
     paths = None
-    for level in range(len(alone) - 1, -1, -1):
-        own = carry if level == 0 else ()
-        lone = alone[level].select("group", "idx", "digest", *own).join(tops, "group")
-        here = lone.select(*keys, "digest", *own, "top", "path")
+    for level in range(len(levels), 0, -1):
+        here = roots.where(F.col("level") == level).select("group", F.lit(0).cast("long").alias("idx"), F.col("digest").alias("top"), "path")
+        if paths is not None:
+            here = here.unionAll(_beside(levels[level], paths).select("group", "c.idx", "top", "path"))
+        here = stored(here, "merkle-paths")
         if paths is not None:
-            met = levels[level].select(*keys, "children").join(paths.select(*keys, "top", "path"), keys)
-            opened = met.select("group", "top", "path", "children", F.posexplode("children").alias("at", "c"))
-            beside = F.struct(
-                F.array_join(F.slice("children.digest", F.lit(1), F.col("at")), "").alias("left"),
-                F.array_join(F.slice("children.digest", F.col("at") + 2, F.size("children")), "").alias("right"),
-            )
-            step = opened.select("group", "c.idx", "c.digest", *[f"c.{x}" for x in own], "top", F.concat(F.array(beside), "path").alias("path"))
-            here = here.unionAll(step)
+            drop_stored(paths, levels[level])
         paths = here
-    return paths
+    lone = nodes.where("n = 1").join(roots.where("level = 0").select("group", "path"), "group").select("digest", *carry, F.col("digest").alias("top"), "path")
+    return lone if paths is None else lone.unionAll(_beside(levels[0], paths).select("c.digest", *[f"c.{x}" for x in carry], "top", "path"))
+
+
+def _beside(runs: DataFrame, paths: DataFrame) -> DataFrame:
+    """Each child ``c`` of the runs, with the path of its parent after its own siblings."""
+    met = runs.select("group", "idx", "children").join(paths, ["group", "idx"]).select("group", "top", "path", "children", F.posexplode("children").alias("at", "c"))
+    siblings = F.struct(
+        F.array_join(F.slice("children.digest", F.lit(1), F.col("at")), "").alias("left"),
+        F.array_join(F.slice("children.digest", F.col("at") + 2, F.size("children")), "").alias("right"),
+    )
+    return met.select("group", "c", "top", F.concat(F.array(siblings), "path").alias("path"))
 
 
 def manifest(docs: DataFrame, tampered_text: Column, tampered: Column, fanout: int = FANOUT) -> DataFrame:
@@ -103,22 +112,23 @@ def manifest(docs: DataFrame, tampered_text: Column, tampered: Column, fanout: i
     leaves = stored(fields.select(group.alias("group"), "doc_id", leaf_digest().alias("digest"), changed.alias("changed"), F.monotonically_increasing_id().alias("uid")), "merkle-leaves")
     kept = ("doc_id", "changed")
     nodes = stored(_numbered(leaves, ["doc_id", "digest", "uid"]).select("group", "idx", "n", "digest", *kept), "merkle-nodes")
-    levels, alone = _climb(nodes, fanout, kept)
-    if not alone:
+    drop_stored(leaves)
+    levels, subroots = _climb(nodes, fanout, kept)
+    if subroots is None:
         return spark.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
-    subroots = alone[0].select("group", "digest")
-    for more in alone[1:]:
-        subroots = subroots.unionAll(more.select("group", "digest"))
     # The second tree: the sources' roots as the nodes of one group.
-    named = stored(subroots.select(F.col("group").alias("source"), F.col("digest"), F.lit("").alias("group")), "merkle-subroots")
-    second = stored(_numbered(named, ["source"]).select("group", "idx", "n", "digest", "source"), "merkle-nodes")
-    upper, lone = _climb(second, fanout, ("source",))
-    root = lone[-1].select("digest").first()[0]
+    named = stored(subroots.select(F.lit("").alias("group"), F.col("group").alias("source"), "level", "digest"), "merkle-subroots")
+    second = stored(_numbered(named, ["source"]), "merkle-nodes")
+    drop_stored(named)
+    of = ("source", "level")
+    upper, root = _climb(second, fanout, of)
+    top = root.first()
     none = F.array().cast("array<struct<left:string,right:string>>")
-    start = spark.range(1).select(F.lit("").alias("group"), F.lit(root).alias("top"), none.alias("path"))
-    tops = _descend(upper, lone, start, ("source",)).select(F.col("source").alias("group"), F.col("digest").alias("top"), "path")
-    found = _descend(levels, alone, stored(tops, "merkle-tops"), kept)
+    start = spark.range(1).select(F.lit("").alias("group"), F.lit(top.level).alias("level"), F.lit(top.digest).alias("digest"), none.alias("path"))
+    tops = stored(_descend(second, upper, start, of).select(F.col("source").alias("group"), "level", "digest", "path"), "merkle-tops")
+    found = _descend(nodes, levels, tops, kept)
+    root = F.lit(top.digest)
     proof = F.array_join(F.flatten(F.transform("path", lambda s: F.array(s.left, s.right))), "")
     folded = F.aggregate("path", F.coalesce("changed", "digest"), lambda acc, s: F.sha2(F.concat(s.left, acc, s.right).cast("binary"), 256))
-    out = found.select("doc_id", F.col("digest").alias("leaf"), F.col("top").alias("subroot"), F.lit(root).alias("root"), F.sha2(proof.cast("binary"), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    out = found.select("doc_id", F.col("digest").alias("leaf"), F.col("top").alias("subroot"), root.alias("root"), F.sha2(proof.cast("binary"), 256).alias("proof_sha256"), folded.alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
