@@ -7,14 +7,14 @@ have plug-in points with offline stand-ins that are named as such.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.fixed_values import PROGRAM_KEYWORDS, UNIVERSITY_NAMES
-from docloom.functions.text import strip_metadata
-from docloom.plans.stored import sized, stored
+from docloom.functions.text import let, strip_metadata
+from docloom.operators import vector_index
+from docloom.plans.stored import sized
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,27 +36,13 @@ def top_k(scored: DataFrame, k: int, group: str = "qid", score: str = "score", k
     return scored.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
 
 
-#: So many queries at most, on average, go to all tasks at once; more take more scans of the vectors.
-BLOCK_QUERIES = 10_000
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, min_score: float = 0.15, metric: str = "cosine") -> DataFrame:
+    """(qid, chunk_id, score, rank) from queries (qid, query_vector) and vectors (chunk_id, embedding), by an index built for this call.
 
-
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, min_score: float = 0.15, metric: str = "cosine", block: int = BLOCK_QUERIES) -> DataFrame:
-    """(qid, chunk_id, score, rank) from queries (qid, query_vector) and vectors (chunk_id, embedding).
-
-    Scores are rounded to six places, so that the order of equal ones doesn't hang on the order of summing.
-    Every query is scored against every vector. The queries are the side that goes to all tasks, in blocks by the hash of their
-    qid: a block has all rows of a qid, so its ranks are final. Rows under ``min_score`` go after the ranks are given. Spark keeps
-    the best k of each task before the shuffle.
+    The rows are those of scoring every query against every vector, with scores rounded to six places; see :mod:`vector_index`, whose index can be
+    kept for further searches. Rows under ``min_score`` go after the ranks are given.
     """
-    blocks = max(1, -(-queries.count() // block))
-    if blocks > 1:
-        queries = stored(queries, "queries")
-    found = []
-    for part in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == part) if blocks > 1 else queries
-        scored = vectors.join(F.broadcast(own)).select("qid", "chunk_id", F.round(similarity(F.col("query_vector"), F.col("embedding"), metric), 6).alias("score"))
-        found.append(top_k(scored, k).where(F.col("score") >= min_score))
-    return reduce(DataFrame.unionAll, found)
+    return vector_index.search(vector_index.build_index(vectors, metric), queries, k, min_score)[0]
 
 
 def terms(text: Column) -> Column:
@@ -114,8 +100,7 @@ def delivery_filter(rows: DataFrame, query: str = "query", title: str = "title",
 
 def lexical_score(query: Column, text: Column) -> Column:
     """Offline stand-in for a reranking model: share of the query's terms that the text has, 0 to 1."""
-    asked = F.array_distinct(terms(query))
-    return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, terms(text))) / F.size(asked)).otherwise(0.0)
+    return let(F.array_distinct(terms(query)), lambda asked: F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, terms(text))) / F.size(asked)).otherwise(0.0))
 
 
 def rerank(rows: DataFrame, threshold: float = 0.1, scorer: Callable[[Column, Column], Column] = lexical_score, query: str = "query", text: str = "text", order: str = "position") -> DataFrame:
@@ -193,19 +178,25 @@ def distil(rows: DataFrame, least: int = 3, shorter: float = 0.1) -> DataFrame:
     Fewer than ``least`` chunks, or a result not at least ``shorter`` shorter than the raw context, give the raw context.
     """
     raw = raw_context(rows)
-    sentences = F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda s: F.arrays_overlap(terms(s), terms(F.col("query"))))
+    asked = rows.withColumn("asked", terms(F.col("query")))
+    sentences = F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda s: F.arrays_overlap(terms(s), F.col("asked")))
     listed = F.array_sort(F.collect_list(F.struct("rank", F.array_join(sentences, " ").alias("said"))))
-    short = rows.groupBy("qid").agg(F.count("*").alias("n"), F.array_join(F.filter(F.transform(listed, lambda x: x["said"]), lambda s: s != ""), "\n").alias("short"))
+    short = asked.groupBy("qid").agg(F.count("*").alias("n"), F.array_join(F.filter(F.transform(listed, lambda x: x["said"]), lambda s: s != ""), "\n").alias("short"))
     good = (F.col("n") >= least) & (F.length("short") > 0) & (F.length("short") <= (1 - shorter) * F.length("context"))
     return raw.join(short, "qid").select("qid", F.when(good, F.col("short")).otherwise(F.col("context")).alias("context"), good.alias("distilled"))
 
 
-def hashing_embedding(text: Column, size: int = 64) -> Column:
-    """Offline stand-in for an embedding model: counts of terms in ``size`` hash buckets, of unit length."""
-    buckets = F.transform(terms(text), lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(buckets, lambda b: b == k)).cast("double"))
-    norm = F.sqrt(dot(counts, counts))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+def hashing_embeddings(texts: DataFrame, key: str, text: str = "text", size: int = 64) -> DataFrame:
+    """(key, embedding): offline stand-in for an embedding model, counts of terms in ``size`` hash buckets, of unit length; zeros for a text without terms.
+
+    ``key`` names a text. Counts are summed by key and bucket, partly before the shuffle, so a text costs by its words and a row by its buckets.
+    """
+    bucket = F.conv(F.substring(F.md5(F.encode("term", "utf-8")), 1, 8), 16, 10).cast("long") % size
+    words = texts.select(key, F.explode_outer(terms(F.col(text))).alias("term"))
+    counted = words.groupBy(key, F.when(F.col("term").isNotNull(), bucket).alias("bucket")).agg(F.count("term").alias("n"))
+    listed = counted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "n")))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    entry = lambda k: F.when(F.col("norm") > 0, F.coalesce(F.get(F.map_values(F.map_filter("m", lambda b, _: b == k)), F.lit(0)), F.lit(0)) / F.col("norm")).otherwise(0.0)
+    return listed.select(key, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")), entry).alias("embedding"))
 
 
 def embedding_cost(chunks: Column, tokens: int = 200, price: float = 0.02) -> Column:

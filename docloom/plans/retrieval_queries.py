@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.fixed_values import PROGRAM_KEYWORDS, UNIVERSITY_NAMES
-from docloom.operators import retrieval
+from docloom.operators import retrieval, vector_index
 from docloom.plans.query import Query, read
 
 
@@ -206,9 +206,23 @@ def distilled_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embedding_index(spark: SparkSession, d: str) -> DataFrame:
-    """Rows only: hashed term vectors and the cost of embedding by document."""
-    docs = read(spark, d, "documents")
-    return docs.select("doc_id", retrieval.hashing_embedding(F.col("text"), 16).alias("embedding"), retrieval.embedding_cost(F.lit(1)).alias("cost"))
+    """Hashed term vectors in millionths, and the cost of embedding, by document."""
+    found = retrieval.hashing_embeddings(read(spark, d, "documents"), "doc_id", "text", 16)
+    listed = F.array_join(F.transform("embedding", lambda x: F.round(x * 1_000_000).cast("long").cast("string")), ",")
+    return found.select("doc_id", listed.alias("embedding_e6"), retrieval.embedding_cost(F.lit(1)).alias("cost"))
+
+
+EMBEDDING = f"""WITH w AS (SELECT doc_id, unnest({TERMS.format("text")}) AS term FROM documents), c AS (SELECT doc_id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 16 AS bucket, count(*) AS n FROM w GROUP BY ALL),
+s AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY 1), e AS (SELECT d.doc_id, b.k, CASE WHEN norm > 0 THEN coalesce(n, 0) / norm ELSE 0 END AS x FROM documents d CROSS JOIN (SELECT unnest(range(16)) AS k) b LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id AND c.bucket = b.k)
+SELECT doc_id, string_agg(CAST(CAST(round(x * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY k) AS embedding_e6, 200 / CAST(1000000 AS DOUBLE) * CAST(0.02 AS DOUBLE) AS cost FROM e GROUP BY 1"""
+
+
+def vector_index_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """What the searches of dense_topk cost: pairs scored by the index, of all there are. Rows only: it depends on the cells."""
+    vectors = _vectors(spark, d)
+    asked = vectors.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("query_vector"))
+    index = vector_index.build_index(vectors)
+    return vector_index.search(index, asked, 10, 0.15)[1].withColumn("all_pairs", F.lit(int(index.counts.sum())))
 
 
 def corpus_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -232,6 +246,7 @@ QUERIES = {
     "retrieve_structured": Query(retrieve_structured, STRUCTURED),
     "raw_context": Query(raw_context, CONTEXT),
     "distilled_context": Query(distilled_context),
-    "embedding_index": Query(embedding_index),
+    "embedding_index": Query(embedding_index, EMBEDDING),
+    "vector_index_pairs": Query(vector_index_pairs),
     "corpus_terms": Query(corpus_terms, TERM_COUNTS),
 }

@@ -1,9 +1,14 @@
 """Retrieval algebra, stage log, store, evaluation and streaming on small fixtures."""
 
+import hashlib
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions.fixed_values import STAGES
-from docloom.operators import evalset, retrieval, stage_log, store
+from docloom.operators import evalset, retrieval, stage_log, store, vector_index
 from docloom.streaming import events
 
 
@@ -25,8 +30,6 @@ def test_results_and_distilling(spark):
     assert r.distilled and r.context == "One q word.\nOne q word.\nOne q word."
     assert retrieval.raw_context(rows.where("rank < 3")).first().context == "[Nguồn 1: Unknown]\nOne q word. Other 1 sentence here is long enough.\n\n---\n\n[Nguồn 2: Unknown]\nOne q word. Other 2 sentence here is long enough."
     assert not retrieval.distil(rows.where("rank < 3")).first().distilled
-    vec = spark.createDataFrame([("a b b",)], "t string").select(retrieval.hashing_embedding(F.col("t"), 8).alias("v")).first().v
-    assert abs(sum(x * x for x in vec) - 1) < 1e-6
 
 
 def test_skip_decisions(spark):
@@ -90,8 +93,57 @@ def test_streams_match_batches(spark, tmp_path):
     assert events.run_available(sent, "routed", "append", f"{tmp_path}/c3").select("client_id").distinct().collect()[0][0] == 11
 
 
-def test_queries_beyond_one_block_are_all_scored(spark):
-    rows = [(k, [float(k % 7), float(k % 5) + 1, float(k % 3)]) for k in range(60)]
-    asked, vectors = spark.createDataFrame(rows[:23], "qid long, query_vector array<float>"), spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
-    whole, cut = (sorted(map(tuple, retrieval.dense_top_k(asked, vectors, 4, block=n).collect())) for n in (100, 5))
-    assert whole == cut and len({r[0] for r in cut}) == 23
+def all_pairs(asked, rows, k, least, metric):
+    """The best k of every query over all rows, by plain Python."""
+    out = []
+    for qid, q in asked:
+        scored = []
+        for chunk, x in rows:
+            if x is None or None in x or not all(map(math.isfinite, x)) or (metric == "cosine" and not any(x)):
+                continue
+            if metric == "cosine":
+                s = sum(a * b for a, b in zip(q, x)) / math.sqrt(sum(a * a for a in q)) / math.sqrt(sum(b * b for b in x))
+            else:
+                s = math.exp(-sum((a - b) ** 2 for a, b in zip(q, x)))
+            scored.append((-math.floor(s * 1e6 + 0.5), chunk))
+        out += [(qid, chunk, -s, n) for n, (s, chunk) in enumerate(sorted(scored)[:k], 1) if -s >= least * 1e6]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2_exp"])
+@pytest.mark.parametrize("part, block", [(4096, 4096), (7, 3)])
+def test_index_finds_what_all_pairs_find(spark, monkeypatch, metric, part, block):
+    monkeypatch.setattr(vector_index, "PART_ROWS", part)
+    monkeypatch.setattr(vector_index, "BLOCK_QUERIES", block)
+    rng = random.Random(7)
+    centres = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(12)]
+    rows = [(i, [c + rng.gauss(0, 0.05) for c in centres[i % 12]]) for i in range(600)]
+    rows += [(1000 + i, rows[0][1]) for i in range(300)]  # a third are copies
+    rows += [(2000, None), (2001, [None] * 5), (2002, [float("nan")] * 5), (2003, [0.0] * 5)]
+    asked = [(i, x) for i, x in rows[:600:40]]
+    vectors, queries = spark.createDataFrame(rows, "chunk_id long, embedding array<double>"), spark.createDataFrame([*asked, (-1, None)], "qid long, query_vector array<double>")
+    found, pairs = vector_index.search(vector_index.build_index(vectors, metric), queries, 6, 0.2)
+    got = sorted((r.qid, r.chunk_id, round(r.score * 1e6), r["rank"]) for r in found.collect())
+    assert got == all_pairs(asked, rows, 6, 0.2, metric)
+    scored = sum(r.pairs for r in pairs.collect())
+    assert scored < 0.5 * len(asked) * 900  # few cells are read
+
+
+def test_index_of_nothing(spark):
+    none = spark.createDataFrame([(1, None)], "chunk_id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0])], "qid long, query_vector array<float>")
+    assert retrieval.dense_top_k(asked, none).count() == 0
+    one = spark.createDataFrame([(1, [2.0])], "chunk_id long, embedding array<float>")
+    assert [tuple(r) for r in retrieval.dense_top_k(asked, one).collect()] == [(1, 1, 1.0, 1)]
+    assert retrieval.dense_top_k(asked.limit(0), one).count() == 0
+
+
+def test_hashed_vectors(spark):
+    texts = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "...")], "id int, t string")
+    got = {r.id: r.embedding for r in retrieval.hashing_embeddings(texts, "id", "t", 8).collect()}
+    place = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 8
+    counts = [0.0] * 8
+    for w in ("b", "a", "b"):
+        counts[place(w)] += 1
+    norm = math.sqrt(sum(c * c for c in counts))
+    assert got[1] == pytest.approx([c / norm for c in counts]) and got[2] == got[3] == got[4] == [0.0] * 8
