@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.fixed_values import GROUP_ROWS, SECTION_MARKERS, SPECIAL_SECTIONS, TABLE_TYPES
-from docloom.functions.text import strip, truncate_header, words
+from docloom.functions.text import let, strip, truncate_header, words
 from docloom.operators.markdown import line_table, preprocess
 
 LEVELS = 6
@@ -170,6 +170,69 @@ def sub_chunks(docs: DataFrame, keys: list[str], text: str = "text", limit: int
     return small.unionByName(parts.select(*keys, "sub_no", "sub_total", F.size(part).alias("tokens"), F.concat_ws("\n", "context", F.array_join(part, " ")).alias("text")))
 
 
+#: A sentence ends after its last mark and the white space there, or at a blank line; U+001E marks the ends.
+SENTENCE_END = r"([.!?\u2026]+[\"'\u201d\u2019)\]]*[ \t\r\n]+|\n[ \t\r]*\n[ \t\r\n]*)"
+
+
+def sentences(text: Column) -> Column:
+    """The sentences of a text, each with the white space after it, so that they join to the text again (but for U+001E, which ends one)."""
+    return F.filter(F.split(F.regexp_replace(text, SENTENCE_END, "$1\u001e"), "\u001e"), lambda s: s != "")
+
+
+def _pieces(text: Column, size: int, split: Callable[[Column], Column]) -> Column:
+    """Sentences as (n tokens, text); one of more than ``size`` tokens is cut into parts of that many, joined by blanks."""
+
+    def cut(s: Column) -> Column:
+        part = lambda w: lambda k: F.struct(F.size(F.slice(w, k * size + 1, F.lit(size))).alias("n"), F.concat(F.array_join(F.slice(w, k * size + 1, F.lit(size)), " "), F.lit(" ")).alias("s"))
+        return let(split(s), lambda w: F.when(F.size(w) > size, F.transform(F.sequence(F.lit(0), F.ceil(F.size(w) / size).cast("int") - 1), part(w))).otherwise(F.array(F.struct(F.size(w).alias("n"), s.alias("s")))))
+
+    return F.flatten(F.transform(sentences(text), cut))
+
+
+def _spans(counts: Column, size: int, overlap: int) -> Column:
+    """(start, stop, tokens) of greedy chunks over token counts: a fold that keeps the counts of the open chunk.
+
+    A count that doesn't fit closes the chunk; the next one starts with as many of its last counts as ``overlap`` and the new count leave room for.
+    """
+    span = "array<struct<start:int,stop:int,tokens:int>>"
+    zero = F.struct(F.array().cast(span).alias("out"), F.lit(0).alias("start"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("open"), F.lit(0).alias("used"))
+
+    def step(acc: Column, t: Column) -> Column:
+        fits = (acc["used"] + t <= size) | (acc["i"] == acc["start"])
+        room = F.least(F.lit(overlap), F.lit(size) - t)
+        # From the front of the open chunk goes what is more than there is room for.
+        kept = F.aggregate(acc["open"], F.struct(acc["used"].alias("left"), F.lit(0).alias("gone")), lambda a, x: F.when(a["left"] > room, F.struct((a["left"] - x).alias("left"), (a["gone"] + 1).alias("gone"))).otherwise(a))
+        more = F.struct(acc["out"].alias("out"), acc["start"].alias("start"), (acc["i"] + 1).alias("i"), F.concat(acc["open"], F.array(t)).alias("open"), (acc["used"] + t).alias("used"))
+        closed = F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["i"].alias("stop"), acc["used"].alias("tokens"))))
+        new = let(
+            kept,
+            lambda k: F.struct(closed.alias("out"), (acc["start"] + k["gone"]).alias("start"), (acc["i"] + 1).alias("i"), F.concat(F.slice(acc["open"], k["gone"] + 1, F.size(acc["open"])), F.array(t)).alias("open"), (k["left"] + t).alias("used")),
+        )
+        return F.when(fits, more).otherwise(new)
+
+    last = lambda acc: F.when(acc["i"] > acc["start"], F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["i"].alias("stop"), acc["used"].alias("tokens"))))).otherwise(acc["out"])
+    return F.aggregate(counts, zero, step, last)
+
+
+def sentence_chunks(docs: DataFrame, keys: list[str], text: str = "text", limit: int = 8000, size: int = 1024, overlap: int = 200, split: Callable[[Column], Column] = words) -> DataFrame:
+    """Texts over ``limit`` tokens in chunks of whole sentences, each after the context before the first rule line.
+
+    Columns: keys, sub_no, sub_total, tokens, text. Sentences are packed greedily up to ``size`` tokens, and a chunk starts with the sentences at the end of the
+    one before that have ``overlap`` tokens at most. A sentence over ``size`` is cut at tokens. Tokens are what ``split`` makes of a text. A text without
+    tokens after its rule line is one chunk; a null one is none. A text is one row all the way, so its chunks cost by its own length.
+    """
+    whole = docs.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("t"), F.size(split(F.col(text))).alias("n"))
+    small = whole.where(F.col("n") <= limit).select(*keys, F.lit(0).alias("sub_no"), F.lit(1).alias("sub_total"), F.col("n").alias("tokens"), F.col("t").alias("text"))
+    at = F.instr("t", "\n---\n")
+    large = whole.where(F.col("n") > limit).select(*keys, F.when(at > 0, F.substring(F.col("t"), F.lit(1), at - 1)).alias("context"), F.when(at > 0, F.substring(F.col("t"), at + 5, F.length("t"))).otherwise(F.col("t")).alias("body"))
+    cut = large.select(*keys, "context", _pieces(F.col("body"), size, split).alias("p")).withColumn("spans", _spans(F.col("p.n"), size, overlap))
+    none = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit(0).alias("tokens")))
+    spans = F.when(F.size("spans") > 0, F.col("spans")).otherwise(none)
+    parts = cut.select(*keys, "context", "p", F.size(spans).alias("sub_total"), F.posexplode(spans).alias("sub_no", "c"))
+    body = strip(F.array_join(F.slice(F.col("p.s"), F.col("c.start") + 1, F.col("c.stop") - F.col("c.start")), ""))
+    return small.unionByName(parts.select(*keys, "sub_no", "sub_total", F.col("c.tokens").alias("tokens"), F.concat_ws("\n", "context", body).alias("text")))
+
+
 def chunk_id(document_id: Column, chunk_no: Column, sub_no: Column) -> Column:
     return F.sha2(F.concat_ws("|", document_id.cast("string"), chunk_no.cast("string"), F.coalesce(sub_no, F.lit(-1)).cast("string")), 256)
 

@@ -124,6 +124,27 @@ SELECT doc_id, CAST(0 AS INT) AS sub_no, CAST(1 AS INT) AS sub_total, CAST(n AS
 UNION ALL SELECT doc_id, CAST(k AS INT), CAST(total AS INT), CAST(len(ws[k * 80 + 1:k * 80 + 100]) AS INT), md5(concat_ws(chr(10), context, array_to_string(ws[k * 80 + 1:k * 80 + 100], ' '))) FROM e"""
 
 
+def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("source"), F.lit("\n---\n"), F.col("text"))).otherwise(F.col("text")).alias("text"))
+    return chunking.sentence_chunks(docs, ["doc_id"], limit=200, size=60, overlap=15).select("doc_id", "sub_no", "sub_total", "tokens", F.md5("text").alias("text_md5"))
+
+
+#: Chunk ends by prefix sums, one chunk a step.
+SENTENCES = r"""WITH RECURSIVE t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source || chr(10) || '---' || chr(10) || text ELSE text END AS t FROM documents WHERE text IS NOT NULL),
+n AS (SELECT *, len(list_filter(string_split_regex(t, '\s+'), lambda w: w <> '')) AS n, instr(t, chr(10) || '---' || chr(10)) AS pos FROM t),
+b AS (SELECT doc_id, CASE WHEN pos > 0 THEN t[1:pos - 1] END AS context, CASE WHEN pos > 0 THEN t[pos + 5:] ELSE t END AS body FROM n WHERE n > 200),
+s AS (SELECT doc_id, context, list_filter(string_split(regexp_replace(body, '([.!?\x{2026}]+["''\x{201d}\x{2019})\]]*[ \t\r\n]+|\n[ \t\r]*\n[ \t\r\n]*)', '\1' || chr(30), 'g'), chr(30)), lambda x: x <> '') AS s FROM b),
+w AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM s), v AS (SELECT *, list_filter(string_split_regex(x, '\s+'), lambda y: y <> '') AS ws FROM w),
+p AS (SELECT doc_id, i, k, CASE WHEN len(ws) > 60 THEN array_to_string(ws[k * 60 + 1:k * 60 + 60], ' ') || ' ' ELSE x END AS x, CASE WHEN len(ws) > 60 THEN len(ws[k * 60 + 1:k * 60 + 60]) ELSE len(ws) END AS n
+  FROM (SELECT *, unnest(range(0, greatest(1, CAST(ceil(len(ws) / 60) AS INT)))) AS k FROM v)),
+l AS (SELECT doc_id, list(x ORDER BY i, k) AS x, list_prepend(0, list(c ORDER BY i, k)) AS c FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY i, k) AS INT) AS c FROM p) GROUP BY 1),
+walk AS (SELECT doc_id, 0 AS no, 0 AS start, CAST(greatest(1, len(list_filter(c, lambda y: y <= 60)) - 1) AS INT) AS stop FROM l
+  UNION ALL SELECT doc_id, no + 1, a, CAST(greatest(a + 1, len(list_filter(c, lambda y: y <= c[a + 1] + 60)) - 1) AS INT) FROM
+  (SELECT walk.doc_id, no, c, CAST(start + len(list_filter(c[start + 1:stop], lambda y: c[stop + 1] - y > least(15, 60 - (c[stop + 2] - c[stop + 1])))) AS INT) AS a FROM walk JOIN l ON l.doc_id = walk.doc_id WHERE stop < len(x)))
+SELECT doc_id, CAST(0 AS INT) AS sub_no, CAST(1 AS INT) AS sub_total, CAST(n AS INT) AS tokens, md5(t) AS text_md5 FROM n WHERE n <= 200
+UNION ALL SELECT l.doc_id, no, CAST(count(*) OVER (PARTITION BY l.doc_id) AS INT), CAST(c[stop + 1] - c[start + 1] AS INT), md5(concat_ws(chr(10), context, regexp_replace(array_to_string(x[start + 1:stop], ''), '^\s+|\s+$', '', 'g'))) FROM walk JOIN l ON l.doc_id = walk.doc_id JOIN s ON s.doc_id = l.doc_id"""
+
+
 def markdown_repair(spark: SparkSession, d: str) -> DataFrame:
     """Rows only: header levels, chapter titles and tidying over derived markdown; each rule has fixture tests."""
     table = markdown.line_table(read(spark, d, "documents").select("doc_id", _md().alias("text")))
@@ -154,6 +175,7 @@ QUERIES = {
     "table_row_chunks": Query(table_row_chunks, ROWS),
     "table_group_chunks": Query(table_group_chunks, GROUPS),
     "sub_chunks": Query(sub_chunks, SUBS),
+    "sentence_chunks": Query(sentence_chunks, SENTENCES),
     "markdown_repair": Query(markdown_repair),
     "blank_before_tables": Query(blank_before_tables, BLANKS),
     "flatten_table_rows": Query(flatten_table_rows, FLAT),

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions import quality, text
+from docloom.functions import quality, text, urls
 from docloom.functions.fixed_values import RAW_EXTENSIONS
-from docloom.operators import chunking, evalset, markdown, stage_log
+from docloom.operators import chunking, evalset, markdown, portal, stage_log
 from docloom.plans.chunk_queries import MD, _md
 from docloom.plans.log_queries import LOG, REINDEX, TYPES, _log
 from docloom.plans.query import Query, read
 from docloom.plans.stored import new_path
 from docloom.plans.text_queries import STRIP_SQL, sql_list
-from docloom.sources import files, sinks
+from docloom.sources import best_first, files, sinks
 
 ACCENT = "é"  # two code points that NFC makes one
 
@@ -178,6 +178,35 @@ def insert_many(spark: SparkSession, d: str) -> DataFrame:
 INSERT = "SELECT doc_id, CAST(NULL AS TIMESTAMP) AS created_at FROM documents UNION ALL SELECT doc_id, TIMESTAMP '2024-02-01' FROM labels"
 
 
+#: The crawl's rules on the driver's URLs: what is important, what is not, and the weights of paths.
+PATHS = [("/en/", 50), ("/de/", 40), ("/fr/", 30)]
+
+
+def crawl_frontier(spark: SparkSession, d: str) -> DataFrame:
+    """A best-first crawl over the pages: links go to the pages that their hrefs' checksums name, under two domains, to depth 4 and 60 pages."""
+    pages = read(spark, d, "pages").select("page_id", "url")
+    hrefs = portal.html_links(read(spark, d, "pages")).select("page_id", (F.conv(F.substring(F.md5(F.col("href").cast("binary")), 1, 6), 16, 10).cast("long") % pages.count()).alias("to"))
+    links = hrefs.join(pages, "page_id").join(pages.select(F.col("page_id").alias("to"), F.col("url").alias("href")), "to").select("url", "href")
+    score = lambda u: urls.priority(u, PATHS, [("ref=", 5)]) / 100
+    keep = lambda u: urls.is_important(u, ["/en/", "/de/", "/fr/"], [r"\?page=\d+"], [r"\d"]) & ~urls.is_node(u)
+    return best_first.crawl_best_first(pages.where("page_id < 5").select("url"), links, score, 4, 60, 10, best_first.in_domains("example.com", "example.net"), keep)
+
+
+#: One row a step: what was taken, and the frontier as a list.
+FRONTIER = r"""WITH RECURSIVE e AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages),
+l AS (SELECT DISTINCT p.url, t.url AS href FROM (SELECT page_id, CAST('0x' || substr(md5(href), 1, 6) AS BIGINT) % (SELECT count(*) FROM pages) AS k FROM e) x JOIN pages p USING (page_id) JOIN pages t ON t.page_id = k
+  WHERE regexp_matches(t.url, '^[A-Za-z]+://([^/?#]*\.)?example\.(com|net)(:\d+)?([/?#]|$)')),
+r AS (SELECT url, greatest(0, least(100, CASE WHEN contains(url, '/en/') THEN 50 WHEN contains(url, '/de/') THEN 40 WHEN contains(url, '/fr/') THEN 30 ELSE 0 END + CASE WHEN contains(url, 'ref=') THEN 5 ELSE 0 END - CASE WHEN length(url) > 150 THEN 20 ELSE 0 END)) / 100 AS priority FROM pages),
+n AS (SELECT url, priority FROM (SELECT DISTINCT * FROM r)), a AS (SELECT l.url, list(struct_pack(p := -priority, u := href)) AS out FROM l JOIN n ON n.url = href GROUP BY 1),
+w AS (SELECT 0 AS step, [struct_pack(p := CAST(NULL AS DOUBLE), d := 0, u := 'x')][1:0] AS taken, list(DISTINCT struct_pack(p := -priority, d := 0, u := pages.url)) AS front FROM pages JOIN n USING (url) WHERE page_id < 5
+  UNION ALL SELECT step + 1, taken || list_sort(front)[1:least(10, 60 - len(taken))], (SELECT coalesce(list(struct_pack(p := p, d := d, u := u)), [struct_pack(p := CAST(NULL AS DOUBLE), d := 0, u := 'x')][1:0]) FROM
+    (SELECT p, min(d) AS d, u FROM (SELECT unnest(list_sort(front)[least(10, 60 - len(taken)) + 1:], recursive := true) UNION ALL SELECT o.p, o.d, o.u FROM (SELECT unnest(a.out).p AS p, x.d + 1 AS d, unnest(a.out).u AS u FROM (SELECT unnest(list_sort(front)[1:least(10, 60 - len(taken))], recursive := true)) x JOIN a ON a.url = x.u WHERE x.d < 4) o) z
+      WHERE NOT list_contains(list_transform(taken || list_sort(front)[1:least(10, 60 - len(taken))], lambda y: y.u), u) GROUP BY p, u))
+  FROM w WHERE len(taken) < 60 AND len(front) > 0),
+o AS (SELECT unnest(taken) AS t, generate_subscripts(taken, 1) - 1 AS seq FROM w WHERE step = (SELECT max(step) FROM w))
+SELECT t.u AS url, CAST(t.d AS INT) AS depth, -t.p AS priority, CAST(seq AS INT) AS seq, true AS fetched, NOT regexp_matches(t.u, '\?page=\d+') AND regexp_matches(t.u, '/(en|de|fr)/') AND NOT regexp_matches(t.u, '/node/\d+') AS kept FROM o"""
+
+
 def crawled_pages(spark: SparkSession, d: str) -> DataFrame:
     pages = read(spark, d, "pages").select("url", F.col("html").alias("text"), F.concat(F.lit("Page "), F.col("page_id")).alias("title"))
     return sinks.crawled_pages(pages, F.lit("2024-02-01").cast("timestamp_ntz")).select("folder", F.md5("text").alias("text_md5"), "metadata.original_url", "metadata.title", "metadata.crawled_at")
@@ -234,6 +263,7 @@ QUERIES = {
     "index_upsert": Query(index_upsert, REINDEX),
     "insert_many": Query(insert_many, INSERT),
     "crawled_pages": Query(crawled_pages, CRAWLED),
+    "crawl_frontier": Query(crawl_frontier, FRONTIER),
     "evaluation_json": Query(evaluation_json, EVALUATION),
     "stage_range_rows": Query(stage_range_rows, RANGE),
     "document_gates": Query(document_gates, GATES),

@@ -1,13 +1,16 @@
 """Markdown, chunks, tables and portal pages on small fixtures."""
 
+import heapq
 import io
+import random
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import quality
 from docloom.operators import chunking, markdown, portal
-from docloom.sources import files, sinks
+from docloom.sources import best_first, files, sinks
 
 
 def docs(spark, *texts):
@@ -206,3 +209,92 @@ def test_broken_files_of_chunks_and_items_give_no_rows(spark):
 def test_sub_chunks_by_tokens_of_the_caller(spark):
     parts = chunking.sub_chunks(docs(spark, "abcdefg"), ["doc_id"], limit=3, size=4, overlap=1, split=lambda c: F.split(c, "")).orderBy("sub_no").collect()
     assert [r.text for r in parts] == ["a b c d", "d e f g"]
+
+
+def heap_crawl(seeds, links, score, depth, most, batch, pages=None):
+    """The plain way: a heap, from which batches are taken."""
+    heap = [(-score(u), 0, u) for u in set(seeds)]
+    heapq.heapify(heap)
+    seen, out, fetched = set(), [], 0
+    while heap and fetched < most:
+        taken = []
+        while heap and len(taken) < min(batch, most - fetched):
+            p, d, u = heapq.heappop(heap)
+            if u not in seen:
+                seen.add(u)
+                taken.append((u, d))
+        for u, d in taken:
+            ok = pages is None or u in pages
+            fetched += ok
+            out.append((u, d, ok))
+            if ok and d < depth:
+                for v in links.get(u, ()):
+                    if v not in seen:
+                        heapq.heappush(heap, (-score(v), d + 1, v))
+    return out
+
+
+@pytest.mark.parametrize("batch, most, some", [(1, 12, False), (4, 15, True), (50, 1000, False)])
+def test_best_first_crawl_takes_what_a_heap_takes(spark, batch, most, some):
+    rng = random.Random(batch)
+    names = [f"https://{'a.' if k % 5 else ''}{'x.org' if k % 7 else 'y.net'}/p{k}" for k in range(60)]
+    edges = [(rng.choice(names), rng.choice(names)) for _ in range(200)] + [(names[1], None), (None, names[2]), (names[1], names[1])]
+    inside = lambda u: "x.org" in u
+    graph = {}
+    for a, b in edges:
+        if a and b and inside(b):
+            graph.setdefault(a, []).append(b)
+    score = lambda u: len(u) % 3
+    pages = set(names[::2]) | set(names[:6]) if some else None
+    expected = heap_crawl(names[1:4], graph, score, 3, most, batch, pages)
+    got = best_first.crawl_best_first(
+        spark.createDataFrame([(u,) for u in [*names[1:4], names[1], None]], "url string"), spark.createDataFrame(edges, "url string, href string"), lambda u: F.length(u) % 3, 3, most, batch,
+        best_first.in_domains("x.org"), lambda u: F.endswith(u, F.lit("1")), pages and spark.createDataFrame([(u,) for u in pages], "url string"),
+    ).orderBy("seq").collect()
+    assert [(r.url, r.depth, r.fetched) for r in got] == expected
+    assert all(r.kept == (r.fetched and r.url.endswith("1")) for r in got)
+    assert best_first.crawl_best_first(spark.createDataFrame([], "url string"), spark.createDataFrame(edges, "url string, href string"), lambda u: F.length(u)).count() == 0
+
+
+def greedy_sentences(pieces, size, overlap):
+    """Chunks of (text, tokens) pieces by plain loops."""
+    out, start = [], 0
+    while start < len(pieces):
+        stop, used = start, 0
+        while stop < len(pieces) and (stop == start or used + pieces[stop][1] <= size):
+            used += pieces[stop][1]
+            stop += 1
+        out.append(("".join(p for p, _ in pieces[start:stop]).strip(), used))
+        if stop == len(pieces):
+            break
+        room, back, kept = min(overlap, size - pieces[stop][1]), stop, 0
+        while back - 1 > start and kept + pieces[back - 1][1] <= room:
+            back -= 1
+            kept += pieces[back][1]
+        start = back
+    return out
+
+
+def test_sentence_chunks_are_whole_sentences(spark):
+    rng = random.Random(3)
+    say = lambda n: " ".join("w" * rng.randint(1, 6) for _ in range(n))
+    ends = [". ", "!\n", "? ", '." ', "\n\n", "...  "]
+    texts = []
+    for _ in range(12):
+        parts = [(say(rng.randint(1, 12)) + rng.choice(ends)) for _ in range(rng.randint(3, 40))]
+        texts.append(parts)
+    df = spark.createDataFrame([(i, "".join(p)) for i, p in enumerate(texts)], "doc_id int, text string")
+    got = chunking.sentence_chunks(df, ["doc_id"], limit=5, size=20, overlap=7).orderBy("doc_id", "sub_no").collect()
+    for i, parts in enumerate(texts):
+        whole = "".join(parts)
+        expected = greedy_sentences([(p, len(p.split())) for p in parts], 20, 7) if len(whole.split()) > 5 else [(whole, len(whole.split()))]
+        assert [(r.text, r.tokens) for r in got if r.doc_id == i] == expected
+
+
+def test_sentence_chunks_of_odd_texts(spark):
+    rows = [(1, ""), (2, None), (3, "one two three four five six seven eight nine ten"), (4, "head\n---\n" + "a b. " * 4), (5, "a b c d e f\n---\n  ")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {}
+    for r in chunking.sentence_chunks(df, ["doc_id"], limit=4, size=4, overlap=2).orderBy("doc_id", "sub_no").collect():
+        got.setdefault(r.doc_id, []).append((r.text, r.tokens, r.sub_total))
+    assert got == {1: [("", 0, 1)], 3: [("one two three four", 4, 3), ("five six seven eight", 4, 3), ("nine ten", 2, 3)], 4: [("head\na b. a b.", 4, 3)] * 3, 5: [("a b c d e f\n", 0, 1)]}
