@@ -45,6 +45,7 @@ DOWNLOADS = r"(?i)\.(pdf|docx?|xlsx?)$"
 # Regulation and curriculum structure.
 SECTION_MARKERS = [r"^CHƯƠNG\s+[IVXLCDM0-9]+", r"^##?\s*Chương\s+\d+", r"^\*?\*?Điều\s+\d+\."]
 SPECIAL_SECTIONS = ["MỤC LỤC", "DANH MỤC TỪ VIẾT TẮT", "QUYẾT ĐỊNH"]
+PREAMBLE, TABLE_CAPTION = ["Căn cứ", "Xét đề nghị", "QUYẾT ĐỊNH"], "Bảng"
 GROUP_ROWS = {"plo": r"(?i)^\*\*(?:PLO|LO|CĐR)\s*\d+", "study_plan": r"(?i)^\*\*Học kỳ\s+\d+\*\*"}
 TABLE_TYPES = [("CHUẨN ĐẦU RA", "plo"), ("KẾ HOẠCH GIẢNG DẠY", "study_plan"), ("KẾ HOẠCH HỌC TẬP", "study_plan")]
 DOCUMENT_TYPES = {"original": "Văn bản gốc", "update": "Văn bản sửa đổi", "supplement": "Văn bản bổ sung"}
@@ -82,3 +83,10 @@ NAME_DATE = r"[-_]?(\d{1,2})-(\d{1,2})-(\d{2,4})(?:_|$)"
 INTAKE_YEAR, ANY_YEAR = r"khoa-(?:\d{2}-)?(\d{4})", r"\b(20\d{2})\b"
 SEMESTER = r"(?iuU)(?:HK|Học\s*kỳ)\s*(\d+)\s*-\s*(?:Năm\s*học\s*|Năm\s*)?(\d{4})\s*-\s*(\d{4})"
 NAMED_STUDENT, BARE_STUDENT = r"(?iuU)(?:MSSV|Mã\s+SV)[:\s]*(\d{8})\b", r"\b([12]\d{7})\b"
+
+# The student table of a portal's grade page: its attributes, and for each field the row, the cell, and the cells that the row has at least.
+STUDENT_TABLE = {"cellpadding": "0", "cellspacing": "0", "border": "0", "bordercolor": "FFFFFF", "width": "100%"}
+STUDENT_FIELDS = {
+    "name": (0, 1, 6), "dob": (0, 3, 6), "gender": (0, 5, 6), "student_id": (1, 1, 6), "class_name": (1, 3, 6), "faculty": (1, 5, 6),
+    "degree": (2, 1, 4), "training_system": (2, 3, 4),
+}

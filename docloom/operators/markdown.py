@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.fixed_values import CONTENT_END, CONTENT_START, LETTERHEAD
+from docloom.functions.fixed_values import CONTENT_END, CONTENT_START, LETTERHEAD, PREAMBLE, TABLE_CAPTION
 from docloom.functions.text import let, lines, strip
 
 
@@ -113,6 +113,34 @@ def heading_levels(table: DataFrame, key: str = "doc_id") -> DataFrame:
     return marked.withColumn("line", line).drop("s", "article_no", "clause_no")
 
 
+def table_levels(table: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Captions of tables as headers by their place: level 4 after a clause, 3 after an article, 2 where neither is open. Blank lines go.
+
+    A caption is the line right above a run of table lines that starts with the word for tables. Articles and clauses are those that
+    :func:`heading_levels` has marked; a chapter or another header of the first two levels closes them. Before the first article or chapter, the first
+    line of each run of preamble lines of one kind becomes a header of level 2.
+    """
+    own = Window.partitionBy(key).orderBy("ln")
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
+    s = strip(F.col("line"))
+    filled = table.withColumn("s", s).where(F.col("s") != "")
+    bar = F.startswith("s", F.lit("|")) | F.startswith(F.lower("s"), F.lit("<table"))
+    article, chapter = F.col("s").rlike(r"(?U)^##\s+Điều\s+\d+"), F.col("s").rlike(r"(?U)^#\s+CHƯƠNG\s")
+    opened = F.when(article, 3).when(F.col("s").rlike(r"^###\s+\d+\.\s|^####\s+[a-zđ][.)]\s"), 4).when(F.col("s").rlike(r"^##?\s"), 2)
+    plain = ~F.startswith("s", F.lit("#")) & ~bar
+    kind = F.when(plain, F.regexp_extract("s", rf"^(?:\*\*)?({'|'.join(PREAMBLE)})", 1))
+    marked = filled.withColumns({
+        "caption": ~bar & F.col("s").rlike(rf"(?U)^(#+\s*)?(\*\*)?{TABLE_CAPTION}(\s|$)") & F.coalesce(F.lead(bar).over(own), F.lit(False)),
+        "open": opened, "kind": F.nullif(kind, F.lit("")), "body": F.max((article | chapter).cast("int")).over(so_far) == 1,
+    })
+    # A caption that is a header already doesn't close what it belongs to.
+    level = F.coalesce(F.last(F.when(~F.col("caption"), F.col("open")), ignorenulls=True).over(so_far), F.lit(2))
+    first = F.col("kind").isNotNull() & ~F.col("kind").eqNullSafe(F.lag("kind").over(own)) & ~F.col("body")
+    bare = F.regexp_replace(F.regexp_replace("s", r"^#+\s*", ""), r"\*\*", "")
+    line = F.when(F.col("caption"), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), bare)).when(first, F.concat(F.lit("## "), bare)).otherwise(F.col("line"))
+    return marked.withColumn("line", line).drop("s", "caption", "open", "kind", "body")
+
+
 def chapter_titles(table: DataFrame, key: str = "doc_id") -> DataFrame:
     """A chapter header and the header right after it in one, upper-cased."""
     own = Window.partitionBy(key).orderBy("ln")

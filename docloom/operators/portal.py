@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.fixed_values import STUDENT_FIELDS, STUDENT_TABLE
 from docloom.functions.metadata import semester
 from docloom.functions.text import collapse, parse_float, parse_int
 
@@ -37,7 +38,7 @@ class _Tables(HTMLParser):
             if not self.open[-1]["rows"]:
                 self.open[-1]["rows"].append([])
             span = lambda k: int(a[k]) if a.get(k, "").isdigit() else 1
-            self.open[-1]["rows"][-1].append({"text": [], "rowspan": span("rowspan"), "colspan": span("colspan")})
+            self.open[-1]["rows"][-1].append({"tag": tag, "text": [], "rowspan": span("rowspan"), "colspan": span("colspan")})
 
     def handle_endtag(self, tag):
         if tag == "table" and self.open:
@@ -62,6 +63,11 @@ def find_table(page: str | None, keywords: list[str]) -> dict | None:
     return next((t for t in tables_of(page) if all(k.lower() in "".join(t["text"]).lower() for k in keywords)), None)
 
 
+def find_table_by_attributes(page: str | None, attributes: dict[str, str]) -> dict | None:
+    """The first table that has all of ``attributes`` with just these values."""
+    return next((t for t in tables_of(page) if all(t["attrs"].get(k) == v for k, v in attributes.items())), None)
+
+
 def table_rows(table: dict | None) -> list[list[str]]:
     """Cell texts by row; the first row goes if there are several; rows without cells go."""
     rows = table["rows"] if table else []
@@ -245,9 +251,20 @@ def schedule_rows(pages: DataFrame, key: str = "page_id", page: str = "html") ->
     )
 
 
+def student_fields(page: str | None) -> dict[str, str | None]:
+    """The fields of a page's student table by their places; a field whose row has too few data cells, or whose cell is empty, is null."""
+    table = find_table_by_attributes(page, STUDENT_TABLE)
+    rows = [[" ".join("".join(c["text"]).split()) or None for c in r if c["tag"] == "td"] for r in (table["rows"] if table else [])]
+    return {name: rows[y][x] if y < len(rows) and len(rows[y]) >= least else None for name, (y, x, least) in STUDENT_FIELDS.items()}
+
+
+def _students(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [student_fields(p.as_py()) for p in b.column(1)]
+        yield pa.record_batch([b.column(0), *[pa.array([f[name] for f in found], pa.string()) for name in STUDENT_FIELDS]], names=[b.schema.names[0], *STUDENT_FIELDS])
+
+
 def student_info(pages: DataFrame, key: str = "page_id", page: str = "html") -> DataFrame:
-    """Name, id, class and so on from the cells after their labels in a page's student table."""
-    rows = html_table_rows(pages, ["sinh viên"], key, page)
-    labels = {"name": r"Họ\s*(?:và\s*)?tên", "student_id": r"Mã\s*SV|MSSV", "dob": r"Ngày\s*sinh", "gender": r"Giới\s*tính", "class_name": r"Lớp", "faculty": r"Khoa", "degree": r"Bậc", "training_system": r"Hệ"}
-    pairs = rows.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("cells") - 2, F.lit(0))), lambda i: F.struct(F.get("cells", i).alias("label"), F.get("cells", i + 1).alias("value")))).alias("p"))
-    return pairs.groupBy(key).agg(*[F.first(F.when(F.col("p.label").rlike(f"(?iu)^({pattern})"), F.col("p.value")), ignorenulls=True).alias(name) for name, pattern in labels.items()])
+    """The eight fields of each page's student table, one row a page; a page without the table, or a null one, has nulls."""
+    kind = pages.schema[key].dataType.simpleString()
+    return pages.select(key, page).mapInArrow(_students, f"{key} {kind}, " + ", ".join(f"{name} string" for name in STUDENT_FIELDS))

@@ -20,11 +20,34 @@ def stage_order(stage: Column, stages: list[str] = STAGES) -> Column:
     return out
 
 
+def merged_maps(rows: DataFrame, by: list[str], column: str, order: list[str]) -> DataFrame:
+    """(by, column): the maps of a group merged in order, so that each name has its last value; groups without entries have none.
+
+    Entries are aggregated by name, partly before the shuffle, so a group with very many rows costs by its different names.
+    """
+    entries = rows.select(*by, *order, F.explode(column).alias("name", "value"))
+    last = entries.groupBy(*by, "name").agg(F.max_by(F.struct("value"), F.struct(*order)).alias("v"))
+    return last.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.col("v.value").alias("value"))))).alias(column))
+
+
 def current_state(log: DataFrame, key: str = "document_id") -> DataFrame:
-    """The state of each document and stage: last status, time and cost; last output and hash that aren't empty; metadata merged if there is any."""
+    """The state of each document and stage: last status, time and cost; last output and hash that aren't empty; where the log has maps ``metadata``, these merged."""
     given = lambda c: F.max_by(c, F.when((F.col(c).isNotNull()) & (F.col(c) != ""), F.struct("ts", "seq")))
     last = lambda c: F.max_by(c, F.struct("ts", "seq"))
-    return log.groupBy(key, "stage").agg(last("status").alias("status"), F.max("ts").alias("ts"), last("cost").alias("cost"), given("input_hash").alias("input_hash"), given("output").alias("output"), last("manually_edited").alias("manually_edited"))
+    state = log.groupBy(key, "stage").agg(last("status").alias("status"), F.max("ts").alias("ts"), last("cost").alias("cost"), given("input_hash").alias("input_hash"), given("output").alias("output"), last("manually_edited").alias("manually_edited"))
+    if "metadata" not in log.columns:
+        return state
+    merged = merged_maps(log, [key, "stage"], "metadata", ["ts", "seq"])
+    same = (F.col(f"s.{key}").eqNullSafe(F.col(f"m.{key}"))) & (F.col("s.stage").eqNullSafe(F.col("m.stage")))
+    return state.alias("s").join(merged.alias("m"), same, "left").select("s.*", "m.metadata")
+
+
+def document_state(log: DataFrame, key: str = "document_id") -> DataFrame:
+    """(key, current_stage, final_output): the stage that was completed last, and the last output that a completed stage gave."""
+    done = F.col("status") == "completed"
+    order = F.struct("ts", "seq")
+    out = F.max_by("output", F.when(done & (F.coalesce("output", F.lit("")) != ""), order))
+    return log.groupBy(key).agg(F.max_by("stage", F.when(done, order)).alias("current_stage"), out.alias("final_output"))
 
 
 def skip_decision(status: Column, locked: Column, same_input: Column, force: Column) -> Column:

@@ -145,13 +145,47 @@ SELECT doc_id, CAST(0 AS INT) AS sub_no, CAST(1 AS INT) AS sub_total, CAST(n AS
 UNION ALL SELECT l.doc_id, no, CAST(count(*) OVER (PARTITION BY l.doc_id) AS INT), CAST(c[stop + 1] - c[start + 1] AS INT), md5(concat_ws(chr(10), context, regexp_replace(array_to_string(x[start + 1:stop], ''), '^\s+|\s+$', '', 'g'))) FROM walk JOIN l ON l.doc_id = walk.doc_id JOIN s ON s.doc_id = l.doc_id"""
 
 
+def _regulation() -> Column:
+    """Markdown with chapters, articles, clauses, a preamble and tables at places that vary by document."""
+    k, n = F.col("doc_id") % 7, "\n"
+    head = F.concat(F.lit("QUYẾT ĐỊNH\nCăn cứ luật "), "source", F.lit("\nCăn cứ nghị định\n\nXét đề nghị của khoa\n"))
+    grid = F.concat(F.lit("\nBảng "), F.col("doc_id"), F.lit(". số liệu\n| a | b |\n|---|---|\n| 1 | "), "lang", F.lit(" |\n"))
+    articles = F.concat(F.lit("CHƯƠNG I\n## Quy định chung\n**Điều 1. "), "source", F.lit("**\n1. ngắn thôi"), F.when(k > 3, " " + "từ " * 9).otherwise(""), F.lit("\n2. hai\na) chữ\n"), grid, F.lit("##\n---\n---\nĐiều 2. tiếp\n"))
+    return (
+        F.when(k == 0, F.concat(head, articles, grid, F.col("text"))).when(k == 1, F.concat(articles, F.col("text"), grid, F.lit("# Phụ lục\n"), grid, F.lit("Căn cứ sau")))
+        .when(k < 5, F.concat(F.lit("## "), "lang", grid, head, articles, F.lit(n), F.lit("#### **Bảng 9**\n<table><tr></tr></table>\n"), F.col("text"))).otherwise(F.concat(head, F.col("text"), F.lit(n), articles))
+    )
+
+
 def markdown_repair(spark: SparkSession, d: str) -> DataFrame:
-    """Rows only: header levels, chapter titles and tidying over derived markdown; each rule has fixture tests."""
-    table = markdown.line_table(read(spark, d, "documents").select("doc_id", _md().alias("text")))
-    fixed = markdown.tidy(markdown.chapter_titles(markdown.heading_levels(table)))
+    """Header levels, tables' levels, chapter titles and tidying."""
+    table = markdown.line_table(read(spark, d, "documents").select("doc_id", _regulation().alias("text")))
+    fixed = markdown.tidy(markdown.chapter_titles(markdown.table_levels(markdown.heading_levels(table))))
     return markdown.join_lines(fixed).select("doc_id", F.md5("text").alias("text_md5"))
 
 
+REPAIR = r"""WITH md AS (SELECT doc_id, CASE WHEN k = 0 THEN head || articles || grid || text WHEN k = 1 THEN articles || text || grid || '# Phụ lục' || chr(10) || grid || 'Căn cứ sau'
+  WHEN k < 5 THEN '## ' || lang || grid || head || articles || chr(10) || '#### **Bảng 9**' || chr(10) || '<table><tr></tr></table>' || chr(10) || text ELSE head || text || chr(10) || articles END AS md FROM
+  (SELECT *, replace('CHƯƠNG I~## Quy định chung~**Điều 1. ' || source || '**~1. ngắn thôi' || CASE WHEN k > 3 THEN ' ' || repeat('từ ', 9) ELSE '' END || '~2. hai~a) chữ~', '~', chr(10)) || grid || replace('##~---~---~Điều 2. tiếp~', '~', chr(10)) AS articles FROM
+  (SELECT *, doc_id % 7 AS k, replace('QUYẾT ĐỊNH~Căn cứ luật ' || source || '~Căn cứ nghị định~~Xét đề nghị của khoa~', '~', chr(10)) AS head, replace('~Bảng ' || doc_id || '. số liệu~| a | b |~|---|---|~| 1 | ' || lang || ' |~', '~', chr(10)) AS grid FROM documents))),
+raw AS (SELECT doc_id, unnest(string_split(md, chr(10))) AS line, generate_subscripts(string_split(md, chr(10)), 1) AS ln FROM md), t AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s FROM raw),
+a AS (SELECT *, NOT starts_with(s, '#') AS plain, regexp_matches(s, '^(?:#+\s*)?(?:\*\*)?Điều\s+\d+') AS article, NOT starts_with(s, '#') AND regexp_matches(s, '^\d+\.\s') AS number, NOT starts_with(s, '#') AND regexp_matches(s, '^[a-zđ][.)]\s') AS letter, len(string_split_regex(s, '\s+')) >= 10 AS many FROM t),
+b AS (SELECT *, sum(CAST(article AS INT)) OVER w AS an, sum(CAST(article OR number AS INT)) OVER w AS cn FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY ln)),
+c AS (SELECT *, bool_or(number AND many) OVER (PARTITION BY doc_id, an) AS ln_, bool_or(letter AND many) OVER (PARTITION BY doc_id, an, cn) AS ll FROM b),
+h AS (SELECT doc_id, ln, CASE WHEN plain AND regexp_matches(s, '^CHƯƠNG\s+[IVXLCDM0-9]+') THEN '# ' || s WHEN plain AND article THEN '## ' || replace(s, '**', '') WHEN number AND ln_ THEN '### ' || s WHEN letter AND ll THEN '#### ' || s ELSE line END AS line FROM c),
+f AS (SELECT *, starts_with(s, '|') OR starts_with(lower(s), '<table') AS bar FROM (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s FROM h) WHERE s <> ''),
+g AS (SELECT *, NOT bar AND regexp_matches(s, '^(#+\s*)?(\*\*)?Bảng(\s|$)') AND coalesce(lead(bar) OVER w, false) AS caption, CASE WHEN regexp_matches(s, '^##\s+Điều\s+\d+') THEN 3 WHEN regexp_matches(s, '^###\s+\d+\.\s|^####\s+[a-zđ][.)]\s') THEN 4 WHEN regexp_matches(s, '^##?\s') THEN 2 END AS opened,
+  CASE WHEN NOT starts_with(s, '#') AND NOT bar THEN nullif(regexp_extract(s, '^(?:\*\*)?(Căn cứ|Xét đề nghị|QUYẾT ĐỊNH)', 1), '') END AS kind, bool_or(regexp_matches(s, '^##\s+Điều\s+\d+|^#\s+CHƯƠNG\s')) OVER w AS body FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY ln)),
+l AS (SELECT doc_id, ln, CASE WHEN caption THEN repeat('#', coalesce(last_value(CASE WHEN NOT caption THEN opened END IGNORE NULLS) OVER w, 2)) || ' ' || bare WHEN kind IS NOT NULL AND kind IS DISTINCT FROM lag(kind) OVER w AND NOT body THEN '## ' || bare ELSE line END AS line
+  FROM (SELECT *, replace(regexp_replace(s, '^#+\s*', ''), '**', '') AS bare FROM g) WINDOW w AS (PARTITION BY doc_id ORDER BY ln)),
+n AS (SELECT *, lead(line) OVER w AS after, lag(line) OVER w AS before FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY ln)),
+j AS (SELECT doc_id, ln, CASE WHEN regexp_matches(line, '^#\s*CHƯƠNG\s+[IVXLCDM0-9]+\s*$') AND regexp_matches(after, '^#{1,2}\s') AND NOT regexp_matches(after, '^#+\s*(CHƯƠNG|Điều)\s') THEN upper(line || ' - ' || regexp_replace(after, '^#+\s*', ''))
+  WHEN regexp_matches(line, '^#{1,2}\s') AND NOT regexp_matches(line, '^#+\s*(CHƯƠNG|Điều)\s') AND coalesce(regexp_matches(before, '^#\s*CHƯƠNG\s+[IVXLCDM0-9]+\s*$'), false) THEN NULL ELSE line END AS line FROM n),
+k AS (SELECT *, regexp_matches(line, '^\s*---+\s*$') AS rule FROM j WHERE line IS NOT NULL AND NOT regexp_matches(line, '^#{1,6}\s*$') AND regexp_replace(line, '^\s+|\s+$', '', 'g') <> ''),
+z AS (SELECT *, rule AND coalesce(lag(rule) OVER (PARTITION BY doc_id ORDER BY ln), false) AS again FROM k)
+SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY ln)) AS text_md5 FROM z WHERE NOT again GROUP BY 1"""
+
+
 def blank_before_tables(spark: SparkSession, d: str) -> DataFrame:
     tables = _tables(spark, d, False).withColumnRenamed("table_no", "doc_id")
     fixed = markdown.join_lines(markdown.blank_before_tables(markdown.line_table(tables)))
@@ -176,7 +210,7 @@ QUERIES = {
     "table_group_chunks": Query(table_group_chunks, GROUPS),
     "sub_chunks": Query(sub_chunks, SUBS),
     "sentence_chunks": Query(sentence_chunks, SENTENCES),
-    "markdown_repair": Query(markdown_repair),
+    "markdown_repair": Query(markdown_repair, REPAIR),
     "blank_before_tables": Query(blank_before_tables, BLANKS),
     "flatten_table_rows": Query(flatten_table_rows, FLAT),
 }

@@ -26,7 +26,23 @@ state AS (SELECT document_id, stage, arg_max(status, (ts, seq)) AS status, max(t
 
 
 def stage_state_upsert(spark: SparkSession, d: str) -> DataFrame:
-    return stage_log.current_state(_log(spark, d))
+    """States with their merged metadata as ``name=value`` in order of name."""
+    n = F.col("seq").cast("string")
+    meta = F.when(F.col("seq") % 4 != 0, F.create_map(F.lit("last"), n, F.concat(F.lit("k"), (F.col("seq") % 5).cast("string")), F.concat(F.lit("v"), n)))
+    state = stage_log.current_state(_log(spark, d).withColumn("metadata", meta))
+    return state.withColumn("metadata", F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","))
+
+
+UPSERT = f"""WITH {LOG}, e AS (SELECT document_id, stage, ts, seq, 'last' AS name, CAST(seq AS VARCHAR) AS v FROM log WHERE seq % 4 <> 0 UNION ALL SELECT document_id, stage, ts, seq, 'k' || seq % 5, 'v' || seq FROM log WHERE seq % 4 <> 0),
+m AS (SELECT document_id, stage, string_agg(name || '=' || v, ',' ORDER BY name) AS metadata FROM (SELECT document_id, stage, name, arg_max(v, (ts, seq)) AS v FROM e GROUP BY ALL) GROUP BY ALL)
+SELECT state.*, metadata FROM state LEFT JOIN m USING (document_id, stage)"""
+
+
+def document_state(spark: SparkSession, d: str) -> DataFrame:
+    return stage_log.document_state(_log(spark, d))
+
+
+DOCUMENT_STATE = f"""WITH {LOG} SELECT document_id, arg_max(stage, (ts, seq)) FILTER (status = 'completed') AS current_stage, arg_max(output, (ts, seq)) FILTER (status = 'completed' AND output <> '') AS final_output FROM log GROUP BY 1"""
 
 
 def stage_skip_decision(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +156,8 @@ def migrate_layout(spark: SparkSession, d: str) -> DataFrame:
 MIGRATE = "SELECT doc_id AS document_id, unnest(['parse', 'clean']) AS stage, 'completed' AS status FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
 
 QUERIES = {
-    "stage_state_upsert": Query(stage_state_upsert, f"WITH {LOG} SELECT * FROM state"),
+    "stage_state_upsert": Query(stage_state_upsert, UPSERT),
+    "document_state": Query(document_state, DOCUMENT_STATE),
     "stage_skip_decision": Query(stage_skip_decision, SKIP),
     "stage_status_line": Query(stage_status_line, STATUS),
     "stage_input": Query(stage_input, INPUT),

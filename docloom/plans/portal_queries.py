@@ -35,11 +35,66 @@ SELECT {by}, total_registered_credits, gpa_credits, CAST(t AS BIGINT) AS gpa_10_
 
 
 def html_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Rows only: the driver's pages have lists but no tables; cells are read from a table made around each page's links."""
-    pages = read(spark, d, "pages")
-    made = pages.select("page_id", F.concat(F.lit("<table><tr><th>Mã HP</th><th>n</th></tr><tr><td>"), F.regexp_extract("html", "<h1>(.*?)</h1>", 1), F.lit("</td><td>1</td></tr></table>")).alias("html"))
-    rows = portal.html_table_rows(made, ["mã hp"])
-    return rows.select("page_id", "rn", F.size("cells").alias("cells"), F.length(F.get("cells", F.lit(0))).alias("n_chars"))
+    """The driver's pages have lists but no tables: each page's address, with character references, goes into a table of one around it."""
+    url = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    table = F.concat(F.lit("<table><tr><th>Mã HP</th><th>n</th></tr><tr><td> "), url, F.lit("</td><td>"), F.col("page_id"), F.lit("</td></tr><tr></tr><tr><td><b>a</b>&lt;b</td></tr></table>"))
+    made = read(spark, d, "pages").select("page_id", F.concat(F.lit("<table><tr><td>other</td></tr></table>"), "html", F.when(F.col("page_id") % 3 != 0, table).otherwise("")).alias("html"))
+    return portal.html_table_rows(made, ["mã hp"]).select("page_id", "rn", F.array_join("cells", "|").alias("cells"))
+
+
+TABLES = "SELECT page_id, CAST(n AS INT) AS rn, CASE n WHEN 0 THEN url || '|' || page_id ELSE 'a<b' END AS cells FROM pages, range(2) t(n) WHERE page_id % 3 <> 0"
+
+
+def _grade_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Grade pages of twenty customers each: a student table, and courses under the terms that market segments stand for."""
+    k = F.col("c_custkey")
+    cell = lambda *xs: F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), F.lit(x) if isinstance(x, str) else x.cast("string"), F.lit("</td>")) for x in xs], F.lit("</tr>"))
+    c = read(spark, d, "customer").withColumn("page_id", F.floor(k / 20).cast("long")).withColumn("term", F.ascii("c_mktsegment") % 3)
+    mark = F.when(k % 7 == 0, "-").otherwise((k % 100 / 10).cast("decimal(4,1)").cast("string"))
+    course = cell(k, F.concat(F.lit("IT"), k), F.col("c_name"), k % 5, mark, "8.0", "", mark, F.when(k % 9 == 0, " Miễn ").otherwise(mark), "")
+    head = F.concat(F.lit("<tr><td colspan='10'>Học kỳ "), F.col("term") + 1, F.lit(" - Năm học 2020-2021</td></tr>"))
+    rows = c.select("page_id", "term", k.alias("n"), course.alias("row")).unionAll(c.select("page_id", "term", F.lit(-1).cast("long"), head).distinct())
+    rows = rows.unionAll(c.select("page_id", "term", F.lit(1 << 40).cast("long"), F.lit("<tr><td>Trung bình học kỳ</td><td></td></tr>")).distinct())
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("term", "n", "row"))), lambda s: s["row"]), "\n")
+    student = F.concat(
+        F.lit('<table width="100%" border="0" cellspacing="0" cellpadding="0" bordercolor="FFFFFF"><tr><td>Họ và tên:</td><td> S '), F.col("page_id"), F.lit("</td><td>Ngày sinh</td><td>01/02/2003</td><td>Giới tính</td><td>Nam &amp;  nữ</td></tr><tr><td>Mã SV</td><td>"),
+        F.col("page_id") + 20520000, F.lit("</td><td>Lớp</td><td>"), F.when(F.col("page_id") % 2 == 0, "KHMT").otherwise(""), F.lit("</td><td>Khoa</td>"), F.when(F.col("page_id") % 5 != 0, "<td>KH MT</td>").otherwise(""),
+        F.lit("</tr><tr><td>Bậc</td><td>Đại học</td><td>Hệ</td><td>CQ</td></tr></table>"),
+    )
+    body = F.concat(F.lit("<table><tr><th>STT</th><th>Mã HP</th><th>Tên học phần</th></tr>"), listed, F.lit("</table>"))
+    return rows.groupBy("page_id").agg(body.alias("b")).select("page_id", F.concat(F.lit('<table width="100%"><tr><td>menu</td></tr></table>'), student, "b").alias("html"))
+
+
+def student_info(spark: SparkSession, d: str) -> DataFrame:
+    return portal.student_info(_grade_pages(spark, d))
+
+
+STUDENTS = """SELECT p AS page_id, 'S ' || p AS name, '01/02/2003' AS dob, 'Nam & nữ' AS gender, CASE WHEN p % 5 <> 0 THEN CAST(p + 20520000 AS VARCHAR) END AS student_id, CASE WHEN p % 5 <> 0 AND p % 2 = 0 THEN 'KHMT' END AS class_name, CASE WHEN p % 5 <> 0 THEN 'KH MT' END AS faculty,
+'Đại học' AS degree, 'CQ' AS training_system FROM (SELECT DISTINCT c_custkey // 20 AS p FROM customer)"""
+
+
+def grade_courses(spark: SparkSession, d: str) -> DataFrame:
+    return portal.grade_courses(portal.html_table_rows(_grade_pages(spark, d), ["Mã HP", "Tên học phần"])).drop("rn")
+
+
+GRADES = """SELECT k // 20 AS page_id, 'HK' || (ascii(c_mktsegment) % 3 + 1) || ' năm học 2020-2021' AS semester, CAST(k AS INT) AS stt, 'IT' || k AS course_code, c_name AS course_name, CAST(k % 5 AS INT) AS credits, CASE WHEN k % 9 <> 0 AND k % 7 <> 0 THEN m END AS attendance_score,
+CASE WHEN k % 9 <> 0 THEN CAST(8 AS DOUBLE) END AS midterm_score, CAST(NULL AS DOUBLE) AS practice_score, CASE WHEN k % 9 <> 0 AND k % 7 <> 0 THEN m END AS final_score, CASE WHEN k % 9 <> 0 AND k % 7 <> 0 THEN m END AS average_score, k % 9 = 0 AS is_exempt
+FROM (SELECT c_custkey AS k, c_name, c_mktsegment, CAST(CAST(c_custkey % 100 / 10 AS DECIMAL(4,1)) AS DOUBLE) AS m FROM customer)"""
+
+
+def exam_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Exam tables of thirty customers each; some rows have no number, no course and date, or too few cells."""
+    k = F.col("c_custkey")
+    cells = [F.when(k % 11 == 0, "x").otherwise(k.cast("string")), F.when(k % 4 == 0, "-").otherwise(F.concat(F.lit("IT"), k)), F.col("c_mktsegment"), F.lit("1"), F.lit("Thứ 2"), F.when(k % 8 == 0, "").otherwise("05/06/2024"), F.col("c_nationkey").cast("string"), F.lit(" ")]
+    whole = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), x, F.lit("</td>")) for x in cells], F.lit("</tr>"))
+    row = F.when(k % 13 == 0, F.concat(F.lit("<tr><td>"), k, F.lit("</td><td>IT</td></tr>"))).otherwise(whole)
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("row")))), lambda s: s["row"]), "")
+    pages = read(spark, d, "customer").groupBy(F.floor(k / 30).cast("long").alias("page_id")).agg(F.concat(F.lit("<table><tr><th>STT</th><th>Mã MH</th></tr>"), listed, F.lit("</table>")).alias("html"))
+    return portal.exam_rows(portal.html_table_rows(pages, ["Mã MH"])).drop("rn")
+
+
+EXAMS = """SELECT k // 30 AS page_id, CAST(k AS INT) AS stt, code AS course_code, code AS course_name, c_mktsegment AS class_code, '1' AS exam_period, 'Thứ 2' AS day_of_week, day AS exam_date, CAST(c_nationkey AS VARCHAR) AS room, CAST(NULL AS VARCHAR) AS exam_form
+FROM (SELECT *, c_custkey AS k, CASE WHEN c_custkey % 4 <> 0 THEN 'IT' || c_custkey END AS code, CASE WHEN c_custkey % 8 <> 0 THEN '05/06/2024' END AS day FROM customer) WHERE k % 11 <> 0 AND k % 13 <> 0 AND (code IS NOT NULL OR day IS NOT NULL)"""
 
 
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +160,10 @@ ANSWERS = "SELECT item_id AS index, md5(b.text) AS question, coalesce(md5(d.text
 QUERIES = {
     "gpa_by_term": Query(gpa_by_term, _gpa_sql("student_id, term")),
     "gpa_overall": Query(gpa_overall, _gpa_sql("student_id")),
-    "html_tables": Query(html_tables),
+    "html_tables": Query(html_tables, TABLES),
+    "student_info": Query(student_info, STUDENTS),
+    "grade_courses": Query(grade_courses, GRADES),
+    "exam_rows": Query(exam_rows, EXAMS),
     "stratified_sample": Query(stratified_sample, SAMPLE),
     "whitelist_filter": Query(whitelist_filter, WHITELIST),
     "value_counts": Query(value_counts, VALUES),
