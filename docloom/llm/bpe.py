@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 from array import array
 
 #: The character classes of the byte-level BPE pattern within U+0000-U+024F and common punctuation.
@@ -20,7 +21,8 @@ CERTAIN = "\x00-\x1b\x20-\x84\x86-\u024f\u2010-\u2027\u2030-\u203e\u20ac"
 
 #: The fast way is checked against this pre-tokenizer only; other files always go to the library.
 BYTE_LEVEL = "ByteLevel"
-CACHE_WORDS = 500_000
+#: A worker keeps so many words of so many characters at most, twice: those met last and those before them.
+CACHE_WORDS, CACHED_CHARS = 400_000, 64
 
 
 class WordEncoder:
@@ -53,36 +55,48 @@ class WordEncoder:
         visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         hidden = (b for b in range(256) if b not in visible)
         self.spelling = {b: 0x100 + k for k, b in enumerate(hidden)}
+        self.space = chr(self.spelling[0x20])
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words by the library's model, each spelt in its characters for bytes."""
-        tokenize, known = self.tokenizer.model.tokenize, self.known
-        for w in words:
-            if w not in known:
-                spelt = w.encode().decode("latin-1").translate(self.spelling)
-                known[w] = _packed([t.id for t in tokenize(spelt)])
+    def _single(self, word: str) -> bytes:
+        """A word's ids by the library's model, the word being spelt in its characters for bytes."""
+        if word.isascii() and word.isprintable():
+            spelt = word.replace(" ", self.space)
+        else:
+            spelt = word.encode().decode("latin-1").translate(self.spelling)
+        return _packed([t.id for t in self.tokenizer.model.tokenize(spelt)])
+
+    def _missing(self, words: list[str]) -> dict[str, bytes]:
+        """Learn the words that aren't known; long ones are returned, but not kept."""
+        new = []
+        for w in {w for w in words if w not in self.known}:
+            if w in self.before:
+                self.known[w] = self.before[w]
+            else:
+                new.append(w)
+        learnt = {w: self._single(w) for w in new}
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.before = {}, self.known
+        self.known.update((w, ids) for w, ids in learnt.items() if len(w) <= CACHED_CHARS)
+        return learnt
 
     def ids(self, text: str) -> bytes:
         if not self.by_words or self.uncertain(text):
             return self._whole(text)
         words = self.words(text)
-        known = self.known
         try:
-            return b"".join(map(known.__getitem__, words))
+            return b"".join(map(self.known.__getitem__, words))
         except KeyError:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            self._learn([w for w in words if w not in known])
-            return b"".join(map(known.__getitem__, words))
+            learnt = self._missing(words)
+            known, before = self.known, self.before
+            return b"".join([known.get(w) or learnt.get(w) or before[w] for w in words])
 
 
 def _packed(ids: list[int]) -> bytes:
-    import sys
-
     a = array("I", ids)
     if sys.byteorder == "big":
         a.byteswap()

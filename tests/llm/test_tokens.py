@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from docloom.llm import packing, token_counts
+from docloom.llm import bpe, packing, token_counts
 from docloom.llm.bpe import WordEncoder, default_tokenizer
 
 ODD = [
@@ -96,3 +96,13 @@ def test_a_filled_cache_leaves_only_new_texts(spark, tmp_path, monkeypatch):
         assert got == {i: len(exact(t)) for i, t in enumerate(texts)}
     stored = [r.digest for r in token_counts.read_cache(spark, cache).collect()]
     assert len(stored) == len(set(stored)) == len(set(ODD)) + 2
+
+
+def test_full_caches_and_long_words(monkeypatch):
+    """Words go from one generation to the next, and long ones aren't kept; the ids stay those of the library."""
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
+    monkeypatch.setattr(bpe, "CACHED_CHARS", 6)
+    fast = WordEncoder(default_tokenizer())
+    for text in ["one two three four five six", "one six", "abcdefghijkl one\tabcdefghijkl", "seven eight one two", *ODD, *ODD]:
+        assert np.frombuffer(fast.ids(text), "<u4").tolist() == exact(text)
+        assert all(len(w) <= 6 for w in [*fast.known, *fast.before])
