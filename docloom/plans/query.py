@@ -8,11 +8,25 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables of long texts, whose few rows cost most.
+WIDE = ("documents", "pages")
+
+
 @dataclass(frozen=True)
 class Query:
     run: Callable[[SparkSession, str], DataFrame]
     sql: str | None = None
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if its files have fewer parts than there are cores, as one small file would keep all but one idle.
+
+    What is dealt is bounded by the cores times the size of a file part; tables of more parts are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in WIDE else df
