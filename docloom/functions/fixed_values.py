@@ -90,3 +90,20 @@ STUDENT_FIELDS = {
     "name": (0, 1, 6), "dob": (0, 3, 6), "gender": (0, 5, 6), "student_id": (1, 1, 6), "class_name": (1, 3, 6), "faculty": (1, 5, 6),
     "degree": (2, 1, 4), "training_system": (2, 3, 4),
 }
+
+# Suffix rules of the Porter2 stemmer of English, and the stop words that go with it in lexical search.
+STEM_SPECIAL = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
+STEM_INVARIANT = ["sky", "news", "howe", "atlas", "cosmos", "bias", "andes"]
+STEM_KEPT_ING = ["inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"]
+STEM_PREFIXES, STEM_ENDINGS = ["gener", "commun", "arsen"], "cdeghkmnrt"
+STEM_R1 = [
+    {
+        "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al",
+        "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og", "fulli": "ful", "lessli": "less", "li": "",
+    },
+    {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""},
+]
+STEM_R2 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion"]
+ENGLISH_STOP = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with",
+]

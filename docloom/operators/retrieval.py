@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.fixed_values import PROGRAM_KEYWORDS, UNIVERSITY_NAMES
+from docloom.functions.fixed_values import ENGLISH_STOP, PROGRAM_KEYWORDS, UNIVERSITY_NAMES
 from docloom.functions.text import let, strip_metadata
 from docloom.operators import vector_index
-from docloom.plans.stored import sized
+from docloom.plans.stored import sized, stored
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -56,21 +56,37 @@ def postings(corpus: DataFrame, key: str = "chunk_id", text: str = "text") -> Da
     return listed.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, key: str = "chunk_id", text: str = "text", split: Callable[[Column], Column] = terms) -> DataFrame:
-    """(qid, chunk_id, score, rank) from queries (qid, query) and a corpus; ``split`` makes terms of both, and may stem them or leave some out.
+def english_terms(text: Column) -> Column:
+    """Terms of two characters or more that are no stop words."""
+    return F.filter(terms(text), lambda w: (F.length(w) > 1) & ~w.isin(ENGLISH_STOP))
 
-    Only the corpus words that some query has are exploded further: they are joined to the query terms first. Statistics cover the whole corpus.
-    Scores are rounded to six places, so that equal texts rank by key however their terms were summed.
+
+def bm25(
+    queries: DataFrame, corpus: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, key: str = "chunk_id", text: str = "text", split: Callable[[Column], Column] = terms, stem: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """(qid, chunk_id, score, rank) from queries (qid, query) and a corpus; ``split`` makes words of both, and ``stem`` terms of words.
+
+    Stems are made of the corpus's distinct words, once each. Only words that some query asks for are counted by chunk, and all later steps keep the partitioning by
+    chunk, so that a chunk's scores are summed where its words are; what is shuffled for the ranks is the best k of each task. Statistics cover the
+    whole corpus. Scores are rounded to six places, so that equal texts rank by key however their terms were summed.
     """
-    asked = queries.select("qid", F.explode(F.array_distinct(split(F.col("query")))).alias("term"))
+    termed = stem or (lambda w: w)
+    asked = queries.select("qid", F.explode(split(F.col("query"))).alias("word")).distinct().select("qid", termed(F.col("word")).alias("term")).distinct()
     listed = corpus.select(key, split(F.col(text)).alias("w"))
     size = listed.agg(F.count("*").alias("docs"), F.avg(F.size("w")).alias("avgdl"))  # one row
     wanted = asked.select("term").distinct()
-    found = listed.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).join(sized(wanted), "term").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    if stem:
+        vocabulary = stored(listed.select(F.explode("w").alias("word")).distinct().select("word", stem(F.col("word")).alias("term")), "vocabulary")
+        words = stored(vocabulary.join(sized(wanted), "term", "left_semi"), "wanted-words")
+    else:
+        words = wanted.select(F.col("term").alias("word"), "term")
+    exploded = listed.select(key, F.size("w").alias("dl"), F.explode("w").alias("word")).join(sized(words), "word")
+    found = stored(exploded.groupBy(key, "dl", "term").agg(F.count("*").alias("tf")), "found")
     often = found.groupBy("term").agg(F.count("*").alias("df"))
     weighed = often.crossJoin(F.broadcast(size)).select("term", "avgdl", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = asked.join(found.join(weighed, "term"), "term").groupBy("qid", F.col(key).alias("chunk_id")).agg(F.round(F.sum(part), 6).alias("score"))
+    scores = stored(asked.join(weighed, "term"), "asked")
+    scored = found.repartition(F.col(key)).join(sized(scores), "term").groupBy("qid", F.col(key).alias("chunk_id")).agg(F.round(F.sum(part), 6).alias("score"))
     return top_k(scored, k)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.fixed_values import PROGRAM_KEYWORDS, UNIVERSITY_NAMES
+from docloom.functions import stemming
 from docloom.operators import retrieval, vector_index
 from docloom.plans.query import Query, read
 
@@ -67,6 +68,11 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 BM25 = f"WITH {BM25_CTE} SELECT qid, chunk_id, CAST(rank AS INT) AS rank, CAST(round(score * 1000000) AS BIGINT) AS score_e6 FROM sparse WHERE rank <= 10"
 
 
+def bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    """English stems without stop words. Rows only here: tests hold it against a plain stemmer and plain sums."""
+    return retrieval.bm25(_questions(spark, d), _corpus(spark, d), 10, split=retrieval.english_terms, stem=stemming.stem).select("qid", "chunk_id", "rank", _micro("score"))
+
+
 def _hybrid_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     vectors = _vectors(spark, d)
     asked = _questions(spark, d).join(vectors.select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("query_vector")), "qid", "left")
@@ -236,6 +242,7 @@ QUERIES = {
     "dense_topk": Query(dense_topk, DENSE),
     "dense_topk_l2": Query(dense_topk_l2, DENSE_L2),
     "bm25_topk": Query(bm25_topk, BM25),
+    "bm25_stemmed": Query(bm25_stemmed),
     "blend_union": Query(blend_union, BLEND),
     "rerank_threshold": Query(rerank_threshold, RERANK),
     "fallback_order": Query(fallback_order, FALLBACK),
