@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docloom.llm import bpe, packing, token_counts
@@ -106,3 +107,12 @@ def test_full_caches_and_long_words(monkeypatch):
     for text in ["one two three four five six", "one six", "abcdefghijkl one\tabcdefghijkl", "seven eight one two", *ODD, *ODD]:
         assert np.frombuffer(fast.ids(text), "<u4").tolist() == exact(text)
         assert all(len(w) <= 6 for w in [*fast.known, *fast.before])
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["__n", "__digest", "digest", "n", "body", "row", "key", "rows", "version", "bytes", "tokenizer"]
+    df = frame(spark, ["a b", "a b", None, "c"])
+    for name in names:
+        df = df.withColumn(name, F.concat(F.lit(name), F.col("doc_id")))
+    got = token_counts.count_tokens(df, default_tokenizer()).collect()
+    assert sorted((r.doc_id, r.n_tokens, *(r[n] for n in names)) for r in got) == [(i, k, *(f"{n}{i}" for n in names)) for i, k in enumerate([2, 2, 0, 1])]
