@@ -156,7 +156,7 @@ def train(corpus_paragraphs: list[str], seed: int = 7) -> Model:
     """Fit on variants of the notices against corpus paragraphs; a third of both is kept out for calibration."""
     rng = random.Random(seed)
     other = [ws for p in corpus_paragraphs if (ws := words(p)) and not _like_notice(ws)]
-    plain = sorted({w for ws in other for w in ws})[:2000] or ["x"]
+    plain = sorted({w for ws in other for w in ws}) or ["x"]
     names: dict[tuple[str, ...], int] = {}
     for notices in NOTICES.values():
         for notice in notices:
@@ -196,20 +196,64 @@ def _grams(ws: list[str]) -> frozenset[tuple[str, ...]]:
     return frozenset(zip(ws, ws[1:], ws[2:]))
 
 
-_TEMPLATES = {f: [(frozenset(ws), _grams(ws) if len(ws) >= LONG_NOTICE else None) for ws in map(words, NOTICES[f])] for f in FAMILIES}
+def _name(notice: str) -> tuple[frozenset[tuple[str, ...]], frozenset[str]]:
+    """What names the licence in a notice: the words and pairs of words of its capitalised runs, and the words with digits among them.
+
+    The first word of a sentence isn't a name for its capital alone, nor are words that sentences of licences begin with.
+    """
+    runs: list[list[str]] = [[]]
+    for k, raw in enumerate(re.findall(r"[\w.-]+|[:;,()]", notice)):
+        ws = words(raw)
+        if ws and (raw[0].isupper() and (k or raw.isupper()) or raw[0].isdigit() or any(c.isdigit() for c in raw)) and ws[0] not in _COMMON:
+            runs[-1] += ws
+        elif raw not in "(),":
+            runs.append([])
+    parts = {tuple(r[i : i + n]) for r in runs for n in (1, 2) for i in range(len(r) - n + 1)}
+    return frozenset(p for p in parts if not any(c.isdigit() for w in p for c in w)), frozenset(w for r in runs for w in r if any(c.isdigit() for c in w))
+
+
+#: Words with capitals in notices that don't name a licence.
+_COMMON = frozenset(["license", "licence", "licensed", "version", "v", "this", "permission", "redistribution", "all", "no", "confidential", "released", "spdx-license-identifier", "source", "code", "form", "international"])
+
+
+def _templates() -> dict[str, list[tuple]]:
+    """For each notice its words, the trigrams of a long one, the parts of its name that no other family's notices have, and its version."""
+    named = {f: [_name(n) for n in NOTICES[f]] for f in FAMILIES}
+    out = {}
+    for f in FAMILIES:
+        others = frozenset().union(*(parts for g in FAMILIES if g != f for parts, _ in named[g]))
+        rows = []
+        for notice, (parts, version) in zip(NOTICES[f], named[f]):
+            ws = words(notice)
+            rows.append((frozenset(ws), _grams(ws) if len(ws) >= LONG_NOTICE else None, parts - others, version))
+        out[f] = rows
+    return out
+
+
+_TEMPLATES = _templates()
+
+
+def _same_name(ws: list[str], own: frozenset[str], name: frozenset[tuple[str, ...]], version: frozenset[str]) -> bool:
+    """Whether the paragraph has what names the notice's licence, and no other version in place of its version."""
+    if name:
+        pairs = {*zip(ws, ws[1:])}
+        if not all(p[0] in own if len(p) == 1 else p in pairs for p in name):
+            return False
+    return not version or bool(version & own) or not any(c.isdigit() for w in own for c in w)
 
 
 def confirmation(ws: list[str], family: str) -> float:
-    """The best match with one of the family's notices.
+    """The best match with one of the family's notices whose distinctive name the paragraph has.
 
     That is the share of words that both have or, as a paragraph may go on after a notice, the share of a long notice's
-    word trigrams that the paragraph has.
+    word trigrams that the paragraph has. What has another name, or another version, is no match however many of the other words it has.
     """
     own, grams = frozenset(ws), None
     best = 0.0
-    for template, parts in _TEMPLATES[family]:
-        if own:
-            best = max(best, len(own & template) / len(own | template))
+    for template, parts, name, version in _TEMPLATES[family]:
+        if not own or not _same_name(ws, own, name, version):
+            continue
+        best = max(best, len(own & template) / len(own | template))
         if parts and len(ws) > len(template):
             grams = _grams(ws) if grams is None else grams
             best = max(best, len(grams & parts) / len(parts))

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -106,3 +107,53 @@ def test_cues_lose_no_notice(model, monkeypatch):
     with_cues = [license_scan.classify(model, t) for t in texts]
     monkeypatch.setattr(license_scan, "_may_be_notice", lambda text: True)
     assert with_cues == [license_scan.classify(model, t) for t in texts] and sum(map(bool, with_cues)) > 300
+
+
+#: Sentences of licences of no family, whose other words are those of a family's notices.
+OTHER_NAMES = {
+    "EPL": ["Licensed under the Eclipse Public License 2.0.", "Licensed under the Eclipse Public License, version 2.0"],
+    "ISC": ["Released under the ISC License.", "Licensed under the ISC license."],
+    "Zlib": ["Released under the Zlib License.", "Licensed under the zlib license."],
+    "AGPL": ["This work is licensed under the GNU Affero General Public License, version 3.", "Licensed under the AGPL v3."],
+    "Artistic": ["This project is distributed under the Artistic 2.0 license."],
+    "MPL-1.1": ["Licensed under the Mozilla Public License 1.1."],
+    "Apache-1.1": ["Licensed under the Apache License, Version 1.1."],
+    "CC-BY-ND": ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Licensed under CC BY-ND 4.0."],
+}
+
+
+@pytest.mark.parametrize("name", OTHER_NAMES)
+def test_other_names_are_of_no_family(model, name):
+    """The confusion of held-out names: all of them come out unknown, none as the family that they share words with."""
+    for text in OTHER_NAMES[name]:
+        assert [f[1] for f in license_scan.classify(model, text)] == ["unknown"], text
+
+
+def plain_families(model, text):
+    """Families by trying every block, line and sentence against every template, without cues or an order of tries that saves work."""
+    found = set()
+    for block in re.split(r"\n[^\S\n]*\n\s*", text or ""):
+        tries = [[" ".join(block.split())]] if "\n" in block else []
+        for candidates in [*tries, *[[line, *license_scan._SENTENCE.split(line)] for line in block.split("\n")]]:
+            for c in candidates:
+                ws = license_scan.words(c)
+                if len(ws) < 2 or not any((w,) in model.names for w in ws):
+                    continue
+                chances = dict(zip(license_scan.FAMILIES, model.probabilities(ws)))
+                best = max(chances, key=chances.get)
+                if chances[best] >= license_scan.KNOWN_FROM and license_scan.confirmation(ws, best) >= license_scan.CONFIRM_FROM:
+                    found.add(best)
+                    break
+            else:
+                continue
+            if candidates in tries:
+                break
+    return found
+
+
+def test_families_are_those_of_the_plain_way(spark, model):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    found = {r.doc_id: r.families for r in license_scan.scan_licenses(spark.createDataFrame(docs), model).collect()}
+    for r in docs:
+        assert {f for f in found[r.doc_id].split(",") if f and f != "unknown"} == plain_families(model, r.text), r.doc_id
+    assert sum(bool(f) for f in found.values()) > 2
