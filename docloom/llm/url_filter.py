@@ -33,13 +33,13 @@ def _suffixes(host: Column) -> Column:
 def tokens(url: Column, host: Column, path: Column) -> Column:
     """What of a URL can be shared with others: domains, labels, path segments by place, extension, query keys, fragment."""
     labels = F.split(host, r"\.", -1)
-    segments = F.filter(F.split(path, "/"), lambda s: (s != "") & ~s.rlike("[0-9]"))
+    segments = F.filter(F.split(path, "/"), lambda s: s != "")
     query = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
     parts = (
         F.transform(F.filter(_suffixes(host), lambda s: s != ""), lambda s: F.concat(F.lit("domain:"), s)),
         F.array(F.concat(F.lit("first:"), F.element_at(labels, 1))),
         F.transform(segments, lambda s, i: F.concat(F.lit("path"), i.cast("string"), F.lit(":"), s)),
-        F.array(F.concat(F.lit("ext:"), F.regexp_extract(path, r"\.([A-Za-z]{1,5})$", 1))),
+        F.array(F.concat(F.lit("ext:"), F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1))),
         F.transform(F.filter(F.split(query, "&"), lambda s: s != ""), lambda s: F.concat(F.lit("key:"), F.substring_index(s, "=", 1))),
         F.array(F.when(F.instr(url, "#") > 0, "fragment:").otherwise("fragment:none")),
         F.array(F.concat(F.lit("scheme:"), F.substring_index(url, "://", 1))),

@@ -5,9 +5,11 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docloom.llm import toxicity
+from docloom.llm import best_fit, decontamination, license_scan, media, merkle, packing, simhash, suffix_dedup, toxicity
+from docloom.llm.bpe import default_tokenizer
 from docloom.llm.simhash import fingerprint
 from docloom.llm.suffix_dedup import PASSAGE
 from tests.llm.test_suffix_dedup import brute_runs
@@ -113,3 +115,32 @@ def test_repeated_rows_and_empty_tables(spark, folder):
 
 def test_hashes_are_the_contracts():
     assert fingerprint("one") == xxhash.xxh64_intdigest(b"one", 42)
+
+
+def test_stages_keep_columns_of_any_name(spark, folder):
+    sf_dir, _, _ = folder
+    base, names = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 200"), ["version", "__n", "__digest", "key", "rows", "row", "digest", "component", "d", "k", "node", "rest", "n_hit"]
+    docs = base.withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir).cache()
+        assert docs.columns == [*base.columns, *names], name
+        for r in docs.collect():
+            assert all(r[n] == f"{n}{r.doc_id}" for n in names), name
+    assert corpus_pipeline.pack(spark, docs, sf_dir).count() >= docs.count()
+
+
+def test_operators_take_columns_of_any_name(spark, folder):
+    """Every operator over documents gives the same rows with columns that are named like those inside it."""
+    sf_dir, _, _ = folder
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    odd = base.withColumns({n: F.lit("x") for n in ["version", "__n", "__digest", "key", "rows", "digest", "uid", "part", "length", "token", "node", "component", "fingerprint", "n_bytes", "grade", "w", "pos"]})
+    bench, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("benchmark", "labels"))
+    model = toxicity.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels)
+    licences = license_scan.train(["some words of the corpus", "and other lines"])
+    path = default_tokenizer()
+    for run in (
+        lambda d: decontamination.contaminated_words(d, bench, 10), lambda d: packing.pack_documents(d, path, 64).select("doc_id", "start", "length"), lambda d: best_fit.pack_best_fit(d, path, 64).select("doc_id", "start", "length"),
+        lambda d: toxicity.score_toxicity(d, model), lambda d: license_scan.scan_licenses(d, licences).select("doc_id", "families"), lambda d: simhash.near_duplicates(d), lambda d: media.media_digests(d).select("doc_id", "payload_sha256"),
+        lambda d: suffix_dedup.remove_repeats(d, length=60).select("doc_id", "n_removed"), lambda d: merkle.manifest(d, F.col("text"), F.lit(False)),
+    ):
+        assert sorted(map(str, run(odd).collect())) == sorted(map(str, run(base).collect()))
