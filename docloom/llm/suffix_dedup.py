@@ -32,7 +32,8 @@ from docloom.plans.stored import drop_stored, free_shuffles, sized, small, store
 class Repeat:
     """Bytes covered by strings of ``length`` bytes that start twice or more, if ``across`` in two documents or more.
 
-    Runs of such bytes count only if they hold ``words`` whole words (between white space) or more.
+    Runs of such bytes count only if they hold ``words`` whole words (between white space) or more. With ``words``, so many whole words in a row
+    that come again count however short they are, so that such a rule finds all repeated passages of that many words.
     """
 
     length: int = 400
@@ -41,7 +42,7 @@ class Repeat:
 
 
 LENGTH = 400
-#: A passage of over 50 words that several documents have. 51 words are 200 bytes or more where words have three letters in the mean.
+#: A passage of over 50 words that several documents have. Where 51 words are 200 bytes or more, the bytes find it; windows of shorter words are found by themselves.
 PASSAGE = Repeat(200, across=True, words=51)
 #: The most bytes of a k-gram.
 GRAM = 128
@@ -366,6 +367,57 @@ def whole_words(data: bytes, start: int, stop: int) -> int:
     return max(0, len(data[start:stop].split()) - sum(split))
 
 
+SHORT = "doc_id long, version long, rule int, start long, stop long, high long, low long"
+
+
+def word_windows(data: np.ndarray, words: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows of ``words`` whole words that are shorter than ``length`` bytes start and stop."""
+    space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
+    starts, stops = edges[::2], edges[1::2]
+    if len(starts) < words:
+        return starts[:0], stops[:0]
+    starts, stops = starts[: len(starts) - words + 1], stops[words - 1 :]
+    narrow = stops - starts < length
+    return starts[narrow], stops[narrow]
+
+
+def _short(rules: list[Repeat]):
+    """Windows of words that are too short for the byte strings of their rule, by the 128-bit digest of their bytes."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_intdigest
+        for b in batches:
+            for doc, version, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                data = (text.as_py() or "").encode()
+                for k, rule in enumerate(rules):
+                    if not rule.words:
+                        continue
+                    starts, stops = word_windows(np.frombuffer(data, np.uint8), rule.words, rule.length)
+                    for at in range(0, len(starts), 1 << 16):
+                        own = [digest(data[i:j]) for i, j in zip(starts[at : at + (1 << 16)].tolist(), stops[at : at + (1 << 16)].tolist())]
+                        n = len(own)
+                        yield pa.record_batch(
+                            [
+                                pa.array([doc] * n, pa.int64()), pa.array([version] * n, pa.int64()), pa.array([k] * n, pa.int32()), pa.array(starts[at : at + n]), pa.array(stops[at : at + n]),
+                                _signed([x >> 64 for x in own]), _signed([x & (1 << 64) - 1 for x in own]),
+                            ],
+                            names=[x.split()[0] for x in SHORT.split(", ")],
+                        )
+
+    return run
+
+
+def _short_ranges(whole: DataFrame, rules: list[Repeat], key) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, version, range) of the short windows that come again, and the stored table that they are read from."""
+    windows = stored(whole.select("doc_id", "version", "text").mapInArrow(_short(rules), SHORT), "short-windows")
+    across = F.element_at(F.array(*[F.lit(r.across) for r in rules]), F.col("rule") + 1)
+    digests = windows.groupBy("rule", "high", "low").agg(F.min(key).alias("least"), F.max(key).alias("most"), F.count("*").alias("times"))
+    again = digests.where((F.col("times") > 1) & (~across | (F.col("least") != F.col("most")))).select("rule", "high", "low")
+    return windows.join(again, ["rule", "high", "low"]).select("doc_id", "version", F.struct("rule", "start", "stop").alias("range")), windows
+
+
 def _cut(rules: list[Repeat], keep_text: bool):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
@@ -407,7 +459,7 @@ def remove_repeats(
     What ``rule`` finds, by default all strings of ``length`` bytes that start twice, is removed. ``spans`` are the removed runs of
     bytes; ``kept_text`` is what is left, without characters that a cut split (null with ``keep_text`` off). ``reported`` are the
     runs of a second rule, which are not removed (null without one). ``rest`` holds the columns named in ``carry``. Null and empty texts,
-    and such shorter than a rule's length, are kept whole. A repeated row is a document
+    and such shorter than a rule's length and words, are kept whole. A repeated row is a document
     of its own, so both it and its copy go; only for a rule that asks for two documents rows of one id and text are one. Null ids are
     kept. An empty table gives an empty result; other columns are not read. ``gram`` has to be a power of two and under the shortest length.
     """
@@ -456,6 +508,9 @@ def remove_repeats(
     lengths = F.element_at(F.array(*[F.lit(r.length) for r in rules]), F.col("s.rule") + 1)
     each = repeated.join(covered, ["token", "digest"]).select("doc_id", "version", "at", F.explode("spans").alias("s"))
     ranges = each.select("doc_id", "version", F.struct("s.rule", (F.col("at") - F.col("s.b")).alias("start"), (F.col("at") - F.col("s.a") + lengths).alias("stop")).alias("range"))
+    if any(r.words for r in rules):
+        short_ranges, windows = _short_ranges(whole, rules, key)
+        ranges, done = ranges.unionAll(short_ranges), [*done, windows]
     places = ranges.groupBy(key.alias("key"), "doc_id", "version").agg(F.collect_list("range").alias("covered"))
     places = stored(places, "places")
     drop_stored(covered, *done)

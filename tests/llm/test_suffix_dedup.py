@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -80,6 +81,12 @@ def test_a_long_text_is_read_in_parts(spark, monkeypatch):
         assert (rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans, rows[i].kept_sha256) == want
 
 
+def word_runs(data, words):
+    """Where each ``words`` words in a row start and stop; none for no words."""
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    return [(spans[k][0], spans[k + words - 1][1]) for k in range(len(spans) - words + 1)] if words else []
+
+
 def brute_runs(texts, rule):
     """Runs of bytes that ``rule`` finds, document by document."""
     data = [(t or "").encode() for t in texts]
@@ -87,6 +94,10 @@ def brute_runs(texts, rule):
     for i, d in enumerate(data):
         for k in range(len(d) - rule.length + 1):
             seen.setdefault(d[k : k + rule.length], []).append(i)
+    spoken = {}
+    for i, d in enumerate(data):
+        for start, stop in word_runs(d, rule.words):
+            spoken.setdefault(d[start:stop], []).append(i)
     out = []
     for d in data:
         gone = np.zeros(len(d) + 2, int)
@@ -94,6 +105,10 @@ def brute_runs(texts, rule):
             places = seen[d[k : k + rule.length]]
             if len(set(places) if rule.across else places) > 1:
                 gone[k + 1 : k + 1 + rule.length] = 1
+        for start, stop in word_runs(d, rule.words):
+            places = spoken[d[start:stop]]
+            if len(set(places) if rule.across else places) > 1:
+                gone[start + 1 : stop + 1] = 1
         edges = np.flatnonzero(np.diff(gone)).tolist()
         out.append([r for r in zip(edges[::2], edges[1::2]) if not rule.words or whole_words(d, *r) >= rule.words])
     return out
@@ -130,3 +145,17 @@ def test_passages_of_over_50_words_are_found_and_clean_texts_are_not(spark):
     for i, passage in enumerate(passages):
         assert passage not in rows[i].kept_text and len(passage) <= rows[i].n_removed <= len(passage) + 6, i
     assert all(rows[i].kept_text == texts[i] for i in range(len(passages), len(texts)))
+
+
+def test_passages_of_short_words_are_found_by_their_words(spark):
+    """Seven words in a row that another document has are covered though they are shorter than the bytes of the rule; six, or parts of words, are not."""
+    rng = random.Random(2)
+    some = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 9)) for _ in range(n))
+    seven, six = some(7), some(6)
+    texts = [f"{some(9)}\n{seven} {some(4)}", f"{seven}", f"x{seven} {some(3)}", f"{some(2)} {six} {some(3)}", f"{some(3)} {six}x {some(5)}", f"{some(1)}  {seven}\t{some(30)}", seven.replace(" ", "  "), None, "", " \n ", "a " * 40]
+    rule = Repeat(60, across=True, words=7)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in remove_repeats(docs, rule=rule).collect()}
+    expected = brute_runs(texts, rule)
+    assert [[tuple(x) for x in rows[i].spans] for i in range(len(texts))] == expected
+    assert [bool(e) for e in expected] == [True, True, False, False, False, True, False, False, False, False, False]
