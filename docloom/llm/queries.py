@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import best_fit, decontamination, html_extract, license_scan, media, merkle, packing, simhash, suffix_dedup, token_counts, toxicity, url_filter, whitening
 from docloom.llm.bpe import default_tokenizer
+from docloom.plans.query import read
 
 #: Host and path rules of the URL query.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -17,7 +18,7 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # Arrow batches of few rows keep Python workers small when texts are long.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read(spark, sf_dir, name)
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in own}
 
 
-#: Windows of item words in documents by joins of joined words; the other operators can't be had in SQL.
+#: Windows of item words in documents by joins of joined words.
 DECONTAMINATION_SQL = r"""
 WITH item AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 sized AS (SELECT item_id, w, least(10, len(w)) AS size FROM item WHERE len(w) > 0),
@@ -103,5 +104,32 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+def _framed(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || {value}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_framed(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: Both trees level by level, each document's way through them as (step, left, right), and the fold a step at a time. An unsigned CRC-32 is even if the register's last bit is one.
+MERKLE_SQL = f"""WITH RECURSIVE crc AS (SELECT *, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) % 2 = 1 AS even FROM documents),
+doc AS (SELECT *, CASE WHEN even THEN changed ELSE leaf END AS start, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY key) AS n, row_number() OVER () AS r
+  FROM (SELECT doc_id, coalesce('=' || source, '') AS key, even, {_leaf("text")} AS leaf, {_leaf("replace(text, chr(10), '')")} AS changed FROM crc)),
+node AS (SELECT 0 AS level, key, idx, n, leaf AS digest FROM doc UNION ALL SELECT level + 1, key, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM node WHERE n > 1 GROUP BY level, key, idx // 3, n),
+sub AS (SELECT key, level AS height, digest, row_number() OVER (ORDER BY key) - 1 AS idx, count(*) OVER () AS n FROM node WHERE n = 1),
+top AS (SELECT 0 AS level, idx, n, digest FROM sub UNION ALL SELECT level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY level, idx // 3, n),
+root AS (SELECT level AS height, digest FROM top WHERE n = 1),
+run AS (SELECT level, key, idx // 3 AS run, list(digest ORDER BY idx) AS c FROM node GROUP BY ALL), toprun AS (SELECT level, idx // 3 AS run, list(digest ORDER BY idx) AS c FROM top GROUP BY ALL),
+low AS (SELECT r, doc.key, height, unnest(range(height)) AS level, doc.idx FROM doc JOIN sub USING (key)), high AS (SELECT r, sub.height, unnest(range(root.height)) AS level, sub.idx FROM doc JOIN sub USING (key), root),
+way AS (SELECT r, low.level AS step, c, CAST(low.idx // CAST(pow(3, low.level) AS BIGINT) % 3 AS INT) AS p FROM low JOIN run ON run.level = low.level AND run.key = low.key AND run.run = low.idx // CAST(pow(3, low.level + 1) AS BIGINT)
+  UNION ALL SELECT r, high.height + high.level, c, CAST(high.idx // CAST(pow(3, high.level) AS BIGINT) % 3 AS INT) FROM high JOIN toprun ON toprun.level = high.level AND toprun.run = high.idx // CAST(pow(3, high.level + 1) AS BIGINT)),
+path AS (SELECT r, step, array_to_string(c[1:p], '') AS l, array_to_string(c[p + 2:], '') AS g FROM way),
+fold AS (SELECT r, 0 AS step, start AS acc FROM doc UNION ALL SELECT fold.r, fold.step + 1, sha256(l || acc || g) FROM fold JOIN path ON path.r = fold.r AND path.step = fold.step),
+folded AS (SELECT r, arg_max(acc, step) AS folded_root FROM fold GROUP BY 1), proof AS (SELECT r, sha256(string_agg(l || g, '' ORDER BY step)) AS proof_sha256 FROM path GROUP BY 1)
+SELECT doc_id, leaf, sub.digest AS subroot, root.digest AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root.digest AS verified FROM doc JOIN sub USING (key) JOIN folded USING (r) LEFT JOIN proof USING (r), root"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": DECONTAMINATION_SQL}
+    return {"op2_decontamination": DECONTAMINATION_SQL, "op11_merkle_manifest": MERKLE_SQL}
