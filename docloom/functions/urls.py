@@ -28,8 +28,9 @@ def priority(url: Column, weights: list[tuple[str, int]] = URL_WEIGHTS, bonus: l
     return F.greatest(F.lit(0), F.least(F.lit(100), base + extra - F.when(F.length(url) > long, 20).otherwise(0)))
 
 
-def crawl_score(url: Column, **kw) -> Column:
-    return F.when(is_important(url, **kw), priority(url) / 100).otherwise(0.0)
+def crawl_score(url: Column, weights: list[tuple[str, int]] = URL_WEIGHTS, bonus: list[tuple[str, int]] = URL_YEAR_BONUS, **rules) -> Column:
+    """The priority as a share of one; none for what isn't important by ``rules``."""
+    return F.when(is_important(url, **rules), priority(url, weights, bonus) / 100).otherwise(0.0)
 
 
 def is_node(url: Column) -> Column:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import chunk_queries, log_queries, portal_queries, retrieval_queries, source_queries, store_queries, text_queries
+from docloom.plans import chunk_queries, field_queries, log_queries, portal_queries, retrieval_queries, source_queries, store_queries, text_queries
 
 FLAGSHIP = "hybrid_search"
-QUERIES = {k: v for m in (text_queries, source_queries, chunk_queries, retrieval_queries, log_queries, store_queries, portal_queries) for k, v in m.QUERIES.items()}
+QUERIES = {k: v for m in (text_queries, field_queries, source_queries, chunk_queries, retrieval_queries, log_queries, store_queries, portal_queries) for k, v in m.QUERIES.items()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -329,11 +329,11 @@ OWNED = "SELECT o_orderkey AS id FROM orders WHERE o_custkey = 7 AND o_totalpric
 
 
 def missing_collections(spark: SparkSession, d: str) -> DataFrame:
-    held = read(spark, d, "supplier").select(F.col("s_nationkey").alias("name"))
+    held = read(spark, d, "supplier").where("s_nationkey % 3 <> 0").select(F.col("s_nationkey").alias("name"))
     return store.missing_collections(read(spark, d, "nation").select(F.col("n_nationkey").alias("name")), held)
 
 
-MISSING = "SELECT n_nationkey AS name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)"
+MISSING = "SELECT n_nationkey AS name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey % 3 <> 0)"
 
 
 def message_roles(spark: SparkSession, d: str) -> DataFrame:

@@ -165,55 +165,6 @@ def absolutize_links(spark: SparkSession, d: str) -> DataFrame:
 LINKS = r"""SELECT page_id, CAST(i - 1 AS INT) AS n, CASE WHEN starts_with(h, 'http') THEN h WHEN starts_with(h, '/') THEN 'https://' || host || h ELSE 'https://' || host || '/' || h END AS href, regexp_matches(h, '(?i)\.(pdf|docx?|xlsx?)$') AS download
 FROM (SELECT page_id, host, unnest(hs) AS h, generate_subscripts(hs, 1) AS i FROM (SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host, regexp_extract_all(html, 'href="([^"]*)"', 1) AS hs FROM pages))"""
 
-NAMES = [
-    ("01-quyet-dinh-ve-viec", "regulation"), ("thongbao-quy-trinh-bao-nghi", "regulation"), ("thong-bao-lich-thi", "announcement"), ("content-cu-nhan-x", "curriculum"), ("De-An-Song-Nganh", "curriculum"), ("foo", "other"), ("a-01-b", "other"),
-]
-
-
-def folder_category(spark: SparkSession, d: str) -> DataFrame:
-    names = spark.createDataFrame([(n,) for n, _ in NAMES], "name string")
-    found = names.withColumn("category", urls.category(F.col("name"))).groupBy("category").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
-    every = spark.createDataFrame([(c,) for c in V.CATEGORIES + ["none"]], "category string")
-    return every.join(found, "category", "left").select("category", F.coalesce("names", F.lit("")).alias("names"))
-
-
-def _category_sql() -> str:
-    values = ", ".join(f"('{n}', '{c}')" for n, c in NAMES)
-    cats = ", ".join(f"('{c}')" for c in V.CATEGORIES + ["none"])
-    return f"SELECT c.category, coalesce(string_agg(n.name, ',' ORDER BY n.name), '') AS names FROM (VALUES {cats}) c(category) LEFT JOIN (VALUES {values}) n(name, category) USING (category) GROUP BY 1"
-
-
-FILES = [
-    ("828_qd-dhcntt_04-10-2022_x", "828/QD-DHCNTT", "2022-10-04"), ("108-qd-dhcntt15-3-2019_x", "108/QD-DHCNTT", "2019-03-15"), ("05-quy-dinh__790-qd-dhcntt_28-9-22_x", "790/QD-DHCNTT", "2022-09-28"), ("plain__name", None, None), ("x", None, None),
-]
-
-
-def file_metadata(spark: SparkSession, d: str) -> DataFrame:
-    names = spark.createDataFrame([(n,) for n, _, _ in FILES], "name string")
-    c = F.col("name")
-    return names.select("name", metadata.regulation_code_of_name(c).alias("code"), metadata.date_of_name(c).alias("date"), metadata.year_of_name(c).alias("year"))
-
-
-def _files_sql() -> str:
-    q = lambda x: "NULL" if x is None else f"'{x}'"
-    return "SELECT * FROM (VALUES " + ", ".join(f"({q(n)}, {q(c)}, {q(x)}, CAST({x[:4] if x else 'NULL'} AS INT))" for n, c, x in FILES) + ") t(name, code, date, year)"
-
-
-SAID = [
-    ("HK 1 NĂM 2025 - 2026", None, None), ("Học kỳ 2 - Năm học 2024-2025", "HK2 năm học 2024-2025", None), ("MSSV: 23520819", None, "23520819"), ("id 12345678 x", None, "12345678"), ("tel 0912345678", None, None),
-]
-
-
-def portal_fields(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(s,) for s, _, _ in SAID], "said string")
-    return rows.select("said", metadata.semester(F.col("said")).alias("semester"), metadata.student_id(F.col("said")).alias("student_id"))
-
-
-def _said_sql() -> str:
-    q = lambda x: "NULL" if x is None else f"'{x}'"
-    return "SELECT * FROM (VALUES " + ", ".join(f"({q(a)}, {q(b)}, {q(c)})" for a, b, c in SAID) + ") t(said, semester, student_id)"
-
-
 def number_parsing(spark: SparkSession, d: str) -> DataFrame:
     raw = F.concat(F.lit(" "), F.regexp_extract("url", r"([0-9.]*)(?:\.html|/)?(?:[?#].*)?$", 1), F.lit("\n"))
     pages = read(spark, d, "pages").select("page_id", raw.alias("raw"))
@@ -264,9 +215,6 @@ QUERIES = {
     "content_filter_summary": Query(content_filter_summary, _summary_sql()),
     "url_rules": Query(url_rules, _urls_sql()),
     "absolutize_links": Query(absolutize_links, LINKS),
-    "folder_category": Query(folder_category, _category_sql()),
-    "file_metadata": Query(file_metadata, _files_sql()),
-    "portal_fields": Query(portal_fields, _said_sql()),
     "number_parsing": Query(number_parsing, NUMBERS),
     "context_headers": Query(context_headers, CONTEXT),
     "acronym_expand": Query(acronym_expand),

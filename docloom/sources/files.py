@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.fixed_values import RAW_EXTENSIONS
 from docloom.functions.text import nfc, strip
+from docloom.functions.urls import category
 
 CHUNK = "id string, chunk_id string, doc_id string, text string, metadata map<string,string>, start_char_idx int, end_char_idx int"
 ITEM = "id string, question string, ground_truth string, metadata map<string,string>"
@@ -178,6 +179,12 @@ def categories(docs: DataFrame) -> DataFrame:
     return docs.select("category").distinct()
 
 
+def by_category(folders: DataFrame, categories: list[str], name: str = "name") -> DataFrame:
+    """(category, name): the folders of each of ``categories``, by the rules for names; a category without any has one row without a name."""
+    every = folders.sparkSession.createDataFrame([(c,) for c in categories], "category string")
+    return every.join(folders.select(F.col(name).alias("name"), category(F.col(name)).alias("category")), "category", "left").select("category", "name")
+
+
 def excel_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Rows of a workbook's first sheets by the XLSX reader above, cells in order; the first row names the columns and is left out."""
     files = spark.read.format("binaryFile").load(path).select("path", F.lit(".xlsx").alias("ext"), "content")
