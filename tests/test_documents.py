@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import quality
-from docloom.operators import chunking, markdown, portal
+from docloom.operators import chunking, markdown, portal, stage_log
 from docloom.sources import best_first, files, sinks
 
 
@@ -298,3 +298,51 @@ def test_sentence_chunks_of_odd_texts(spark):
     for r in chunking.sentence_chunks(df, ["doc_id"], limit=4, size=4, overlap=2).orderBy("doc_id", "sub_no").collect():
         got.setdefault(r.doc_id, []).append((r.text, r.tokens, r.sub_total))
     assert got == {1: [("", 0, 1)], 3: [("one two three four", 4, 3), ("five six seven eight", 4, 3), ("nine ten", 2, 3)], 4: [("head\na b. a b.", 4, 3)] * 3, 5: [("a b c d e f\n", 0, 1)]}
+
+
+def test_student_table_by_attributes_and_places(spark):
+    table = '<TABLE bordercolor="FFFFFF" border="0" cellpadding="0" cellspacing="0" width="100%" id="x">{}</TABLE>'
+    rows = [
+        "<tr><td>Họ và tên</td><td> Lê&nbsp;Văn\n A </td><td>Ngày sinh</td><td>01/02/2003</td><td>Giới tính</td><td><b>Nam</b></td></tr>",
+        "<tr><td>Mã SV</td><td>23520819</td><td>Lớp</td><td></td><td>Khoa</td><td>KHMT</td></tr>",
+        "<tr><td>Bậc</td><td>ĐH</td><td>Hệ</td><td>CQ</td></tr>",
+    ]
+    other = '<table width="100%" border="0"><tr><td>sinh viên</td></tr></table>'
+    pages = [
+        (1, other + table.format("".join(rows))), (2, table.format(rows[0])), (3, table.format("".join([rows[0].replace("<td>", "<th>").replace("</td>", "</th>"), rows[1].replace("<td>Khoa</td>", "")]))), (4, other), (5, None), (6, ""),
+    ]
+    got = {r.page_id: r for r in portal.student_info(spark.createDataFrame(pages, "page_id int, html string")).collect()}
+    assert tuple(got[1])[1:] == ("Lê Văn A", "01/02/2003", "Nam", "23520819", None, "KHMT", "ĐH", "CQ")
+    assert got[2].name == "Lê Văn A" and got[2].student_id is None and got[2].degree is None
+    assert all(v is None for v in tuple(got[3])[1:]) and all(all(v is None for v in tuple(got[k])[1:]) for k in (4, 5, 6))
+
+
+def test_levels_of_tables_and_preambles(spark):
+    text = "Căn cứ a\nCăn cứ b\nBảng 1\n| a |\nĐiều 1. x\nBảng 2: y\n\n| a |\n1. " + "từ " * 12 + "\n**Bảng 3**\n<table></table>\nBảng không có gì\n# Phụ lục\n### Bảng 4\n| a |\nCăn cứ sau"
+    lines = fixed(spark, text, markdown.heading_levels, markdown.table_levels).split("\n")
+    assert [x for x in lines if "Bảng" in x or "Căn" in x] == ["## Căn cứ a", "Căn cứ b", "## Bảng 1", "### Bảng 2: y", "#### Bảng 3", "Bảng không có gì", "## Bảng 4", "Căn cứ sau"]
+
+
+def test_workbooks_and_test_sets(spark, tmp_path):
+    sheet = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{}</sheetData></worksheet>'
+    cell = lambda v: f'<c t="inlineStr"><is><t>{v}</t></is></c>'
+    rows = [("id", "question"), ("1", "what"), ("2", "why")]
+    book = '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheets><sheet name="S" sheetId="1"/></sheets></workbook>'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", book)
+        z.writestr("xl/worksheets/sheet1.xml", sheet.format("".join(f"<row>{''.join(map(cell, r))}</row>" for r in rows)))
+    got = files.excel_rows(spark, f"file://{tmp_path}/b.xlsx", ["id", "question"]).orderBy("rn").collect()
+    assert [(r.id, r.question) for r in got] == rows[1:]
+    folder = tmp_path / "sets"
+    folder.mkdir()
+    (folder / "one.json").write_text('[{"id": "a", "question": "q", "ground_truth": "t", "metadata": {"k": "v"}}]')
+    (folder / "bad.json").write_text("[{")
+    items = files.test_sets(spark, f"file://{folder}").collect()
+    assert [(r.file, r.id, r.ground_truth, r.metadata) for r in items] == [("one.json", "a", "t", {"k": "v"})]
+
+
+def test_merged_maps_keep_the_last_value_of_each_name(spark):
+    rows = [(1, "p", 1, 1, {"a": "1", "b": "1"}), (1, "p", 2, 1, {"b": "2"}), (1, "p", 2, 2, None), (1, "p", 1, 2, {"c": None, "a": "3"}), (2, "p", 1, 1, {}), (None, "p", 1, 1, {"z": "9"})]
+    df = spark.createDataFrame(rows, "document_id int, stage string, ts int, seq int, metadata map<string,string>")
+    got = {r.document_id: r.metadata for r in stage_log.merged_maps(df, ["document_id", "stage"], "metadata", ["ts", "seq"]).collect()}
+    assert got == {1: {"a": "3", "b": "2", "c": None}, None: {"z": "9"}}
