@@ -11,7 +11,7 @@ import io
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,28 +100,52 @@ def grey(pixels: np.ndarray) -> np.ndarray:
     return pixels.astype(np.float64) if pixels.ndim == 2 else pixels.astype(np.float64) @ np.array([0.299, 0.587, 0.114])
 
 
-def _covered(n: int, m: int, sums: np.ndarray) -> np.ndarray:
-    """Sums along axis 0 over m equal parts of n rows; ``sums`` has n + 1 running sums."""
+#: Rows of an image whose sums are taken at once.
+STRIP = 4096
+
+
+def _integral_rows(image: np.ndarray, wanted: np.ndarray, convert: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The ``wanted`` (ascending) rows of the integral image, which has a row and a column of zeros before the sums.
+
+    Strips of the image are summed one after the other, each on top of the last row of the one before, so no more than a strip is held as numbers wider than its bytes.
+    """
+    out, carry = [], None
+    for start in range(0, image.shape[0], STRIP):
+        sums = convert(image[start : start + STRIP]).cumsum(0, dtype=np.float64).cumsum(1)
+        sums = np.concatenate((np.zeros_like(sums[:, :1]), sums), 1)
+        if carry is None:
+            out.append(np.zeros((int((wanted == 0).sum()), *sums.shape[1:])))
+        else:
+            sums += carry
+        own = wanted[(wanted > start) & (wanted <= start + len(sums))]
+        out.append(sums[own - start - 1])
+        carry = sums[-1]
+    return np.concatenate(out)
+
+
+def _covered(n: int, m: int, sums: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sums along axis 0 over m equal parts of n rows; ``sums`` gives rows of the n + 1 running sums by their places."""
     edges = np.arange(m + 1) * (n / m)
     low = np.minimum(edges.astype(int), n)
-    part = (edges - low).reshape(-1, *[1] * (sums.ndim - 1))
-    at = sums[low] + part * (sums[np.minimum(low + 1, n)] - sums[low])
+    high = np.minimum(low + 1, n)
+    places = np.unique(np.concatenate((low, high)))
+    rows = sums(places)
+    below, above = (rows[np.searchsorted(places, x)] for x in (low, high))
+    at = below + (edges - low).reshape(-1, *[1] * (rows.ndim - 1)) * (above - below)
     return at[1:] - at[:-1]
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of the source area under each target pixel, from one integral image; parts of pixels count by their share."""
+def area_resize(image: np.ndarray, height: int, width: int, convert: Callable[[np.ndarray], np.ndarray] = lambda strip: strip) -> np.ndarray:
+    """Mean of the source area under each target pixel, by integral images of strips that ``convert`` is applied to; parts of pixels count by their share."""
     h, w = image.shape[:2]
-    total = np.zeros((h + 1, w + 1, *image.shape[2:]))
-    total[1:, 1:] = image.cumsum(0, dtype=np.float64).cumsum(1)
-    rows = _covered(h, height, total)
-    both = _covered(w, width, rows.swapaxes(0, 1)).swapaxes(0, 1)
+    rows = _covered(h, height, lambda places: _integral_rows(image, places, convert)).swapaxes(0, 1)
+    both = _covered(w, width, lambda places: rows[places]).swapaxes(0, 1)
     return both / ((h / height) * (w / width))
 
 
-def difference_hash(image: np.ndarray, size: int = 8) -> str:
+def difference_hash(image: np.ndarray, size: int = 8, convert: Callable[[np.ndarray], np.ndarray] = lambda strip: strip) -> str:
     """Bits of whether a pixel is brighter than its right neighbour, after resizing to (size, size + 1); as hex."""
-    small = area_resize(image, size, size + 1)
+    small = area_resize(image, size, size + 1, convert)
     bits = small[:, :-1] > small[:, 1:] + 1e-9
     return np.packbits(bits.ravel()).tobytes().hex()
 
@@ -161,8 +185,7 @@ def _tile(edge: int):
             for data in b.columns[-1]:
                 try:
                     image = decode(data.as_py() or b"")
-                    light = grey(image)
-                    rows.append((*image.shape[:2], npy(np.rint(area_resize(light, edge, edge)).astype(np.uint8)), difference_hash(light), None))
+                    rows.append((*image.shape[:2], npy(np.rint(area_resize(image, edge, edge, grey)).astype(np.uint8)), difference_hash(image, convert=grey), None))
                 except (ValueError, struct.error, IndexError) as e:
                     rows.append((None, None, None, None, str(e)))
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
@@ -188,11 +211,10 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stored_form = data.as_py()
             image = decode(stored_form)
             payload = image.tobytes()
-            light = grey(image)
-            tile = npy(np.rint(area_resize(light, 32, 32)).astype(np.uint8))
+            tile = npy(np.rint(area_resize(image, 32, 32, grey)).astype(np.uint8))
             rows.append((
                 len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored_form),
-                hashlib.sha256(stored_form).hexdigest(), f"{difference_hash(light)}:{zlib.crc32(tile):08x}", tile,
+                hashlib.sha256(stored_form).hexdigest(), f"{difference_hash(image, convert=grey)}:{zlib.crc32(tile):08x}", tile,
             ))
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
         columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from docloom.llm.html_extract import blocks_of, classify, extract_main_text, main_text
@@ -67,3 +69,39 @@ def test_very_deep_markup_takes_linear_time():
     for page in ("<div>" * 100_000 + "<p>" + "the text of it is here and so on " * 9 + "</p>" + "</div>" * 100_000, "<div><b>" * 50_000 + "x", "<ul>" + "<li><p>y" * 50_000 + "</span>" * 50_000):
         assert main_text(page) is not None
     assert time.perf_counter() - began < 20
+
+
+STOP = "the of and to in is it was for that with as on at by this from they were be".split()
+
+
+def made_page(rng):
+    """A page around a known article, and the article's blocks."""
+    word = lambda: rng.choice(STOP) if rng.random() < 0.45 else "".join(rng.choices("abcdefghiklmnoprstu", k=rng.randint(2, 9)))
+    say = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    links = lambda n: "".join(f'<li><a href="/{k}">{say(rng.randint(1, 4))}</a></li>' for k in range(n))
+    blocks, body = [], []
+    for k in range(rng.randint(1, 12)):
+        kind = rng.choice(["p", "p", "p", "h2", "blockquote", "li"]) if k else "h1"
+        text = say(rng.randint(1, 6) if kind in ("h1", "h2") else rng.randint(2, 90))
+        blocks.append(text)
+        spaced = text.replace(" ", rng.choice([" ", "\n  ", " &#32;", "\t"])).replace("the", rng.choice(["the", "<b>the</b>", "t&#104;e"]))
+        own = f"<{kind}>{spaced}</{kind}>"
+        body.append(f"<ul>{own}</ul>" if kind == "li" else own)
+        if rng.random() < 0.3:
+            body.append(rng.choice(["<script>var p = '<p>x</p>';</script>", "<!-- <p>note</p> -->", "<style>p { top: 0 }</style>", f'<div class="advert">{say(20)}</div>', f"<form><label>{say(5)}</label><input></form>"]))
+    around = [
+        f"<header><a href=/>{say(3)}</a></header>", f"<nav><ul>{links(rng.randint(1, 9))}</ul></nav>", f'<aside class="sidebar"><p>{say(60)}</p></aside>', f'<div class="cookie-notice">{say(30)}</div>',
+    ]
+    after = [f'<section id="comments"><h3>Comments</h3><p>{say(70)}</p></section>', f"<footer><p>{say(40)}</p></footer>", f'<aside class="related"><ul>{links(5)}</ul></aside>']
+    rng.shuffle(around)
+    rng.shuffle(after)
+    return f"<html><head><title>{say(4)}</title></head><body>{''.join(around[: rng.randint(0, 4)])}<article>{''.join(body)}</article>{''.join(after[: rng.randint(0, 3)])}</body></html>", "\n".join(blocks)
+
+
+def test_known_articles_come_back_whole(spark):
+    rng = random.Random(12)
+    pages = [made_page(rng) for _ in range(150)]
+    df = spark.createDataFrame([(i, f"u{i}", page) for i, (page, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_chars) for r in extract_main_text(df).collect()}
+    wrong = [i for i, (_, text) in enumerate(pages) if got[i] != (text, len(text))]
+    assert wrong == [], (pages[wrong[0]], got[wrong[0]])

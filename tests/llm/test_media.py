@@ -53,3 +53,24 @@ def test_tiles_keep_broken_rows(spark):
     got = {r.k: r for r in media.tiles(spark.createDataFrame(rows, "k long, media binary"), "k").collect()}
     assert len(got) == 4 and got[1].error is None and np.load(io.BytesIO(got[1].tile)).shape == (32, 32)
     assert all(got[k].tile is None and got[k].error for k in (2, 3, 4))
+
+
+def test_strips_sum_to_the_whole_image(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    for shape, size in (((1, 64, 3), (32, 32)), ((7, 64, 3), (8, 9)), ((50, 5), (3, 4)), ((33, 64, 3), (32, 32))):
+        image = rng.integers(0, 256, shape, np.uint8)
+        whole = media.area_resize(image, *size, media.grey)
+        monkeypatch.setattr(media, "STRIP", 6)
+        assert np.allclose(media.area_resize(image, *size, media.grey), whole)
+        monkeypatch.setattr(media, "STRIP", 4096)
+        light = media.grey(image).astype(float)
+        fine = np.kron(light, np.ones(size))  # each pixel as size pixels, whose blocks of the shape are the areas
+        assert np.allclose(whole, fine.reshape(size[0], shape[0], size[1], shape[1]).mean((1, 3)))
+
+
+def test_a_very_long_text_is_whole(spark):
+    text = "long é text " * 200_000
+    r = media.media_digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    data = media.padded(text.encode())
+    assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(text.encode()), len(data), hashlib.sha256(data).hexdigest())
+    assert media.media_digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0

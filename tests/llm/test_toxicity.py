@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -48,3 +49,25 @@ def test_held_out_accuracy(spark):
     nothing = toxicity.train(docs, known.limit(0))
     assert not any(r.toxic for r in toxicity.score_toxicity(docs, nothing).collect())
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_scores_as_a_plain_version_says(spark):
+    """Severity and grades of every document of a table, from the model's weights by plain sums."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.score_toxicity(docs, model).collect():
+        score = sum(model.weights.get(f, 0.0) for f in set(toxicity.features(texts[r.doc_id])))
+        least = [1 / (1 + math.exp(min(700, t - score))) for t in model.thresholds]
+        assert math.isclose(r.severity, sum(least), rel_tol=1e-6, abs_tol=1e-9) and math.isclose(r.p_toxic, least[0], rel_tol=1e-6, abs_tol=1e-9)
+        assert r.grade == sum(p >= 0.5 for p in least) and r.toxic == (r.p_toxic >= toxicity.TOXIC_FROM)
+        assert least == sorted(least, reverse=True)  # thresholds are in order
+
+
+def test_accuracy_on_documents_that_training_did_not_have(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels.where("doc_id % 2 = 0"))
+    truth = {r.doc_id: r.toxic for r in labels.where("doc_id % 2 = 1").collect()}
+    found = [(truth[r.doc_id], r.toxic) for r in toxicity.score_toxicity(docs, model).collect() if r.doc_id in truth]
+    toxic, clean = [f for t, f in found if t], [f for t, f in found if not t]
+    assert sum(toxic) / len(toxic) > 0.9 and sum(clean) / len(clean) < 0.03, (sum(toxic), len(toxic), sum(clean), len(clean))
