@@ -244,6 +244,20 @@ def splitter_stats(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+def splitting_report(chunks: DataFrame, merged: DataFrame, nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The seven figures of splitting a document: total_chunks, large_chunks_split, final_nodes, title_chunks_merged, patterns_detected, tables_detected, table_chunks_created.
+
+    ``chunks`` are those by headers; ``merged`` has ``titles_merged`` (see :func:`merge_titles`); ``nodes`` are the final ones, with ``chunk_no``, ``sub_total`` and ``kind``
+    (``table`` for parts of tables). Patterns are sections that only their wording, not a header mark, told. Documents are those of ``chunks``.
+    """
+    bare = F.split_part("text", F.lit("\n"), F.lit(1)).rlike("(?U)" + "|".join(SECTION_MARKERS)) & ~F.startswith("text", F.lit("#"))
+    base = chunks.groupBy(key).agg(F.count("*").alias("total_chunks"), F.count_if(F.col("header").isNotNull() & bare).alias("patterns_detected"), F.count_if(has_table(F.col("text"))).alias("tables_detected"))
+    titles = merged.groupBy(key).agg(F.sum("titles_merged").cast("long").alias("title_chunks_merged"))
+    final = nodes.groupBy(key).agg(F.count("*").alias("final_nodes"), F.count_if(F.col("kind") == "table").alias("table_chunks_created"), F.count_distinct(F.when(F.col("sub_total") > 1, F.col("chunk_no"))).alias("large_chunks_split"))
+    names = ["total_chunks", "large_chunks_split", "final_nodes", "title_chunks_merged", "patterns_detected", "tables_detected", "table_chunks_created"]
+    return base.join(titles, key, "left").join(final, key, "left").select(key, *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in names])
+
+
 def flatten_html_tables(docs: DataFrame, render: Column | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every plain ``<table>`` of a text replaced by sentences of its rows, header cells before data cells.
 

@@ -78,6 +78,23 @@ STATS = rf"""WITH {CHUNKS} SELECT doc_id, count(*) AS total_chunks, count(header
 CAST(sum(CASE WHEN s = '' THEN 0 ELSE len(string_split_regex(s, '\s+')) END) AS BIGINT) AS words FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM chunks) GROUP BY doc_id"""
 
 
+def splitting_report(spark: SparkSession, d: str) -> DataFrame:
+    """Figures of splitting: chunks of over 150 words go into parts of 100, and those that hold a table count as table chunks."""
+    chunks = _chunks(spark, d)
+    parts = chunking.sub_chunks(chunks.select("doc_id", "chunk_no", "text"), ["doc_id", "chunk_no"], limit=150, size=100, overlap=0)
+    nodes = parts.withColumn("kind", F.when(chunking.has_table(F.col("text")), "table").otherwise("text"))
+    return chunking.splitting_report(chunks, chunking.merge_titles(chunks), nodes)
+
+
+REPORT = rf"""WITH {CHUNKS}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_no) - 1 AS idx, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '#')) AS plain FROM chunks),
+g AS (SELECT *, idx < 5 AND length(array_to_string(plain, chr(10))) < 150 AND len(plain) < 3 AND NOT regexp_matches(upper(coalesce(header, '')), 'MỤC LỤC|DANH MỤC TỪ VIẾT TẮT|QUYẾT ĐỊNH') AS fits FROM f),
+r AS (SELECT *, coalesce(min(CASE WHEN NOT fits THEN idx END) OVER (PARTITION BY doc_id), count(*) OVER (PARTITION BY doc_id)) AS run FROM g),
+st AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS st FROM r), sized AS (SELECT *, CASE WHEN st = '' THEN 0 ELSE len(string_split_regex(st, '\s+')) END AS n FROM st)
+SELECT doc_id, count(*) AS total_chunks, count(*) FILTER (n > 150 AND ceil(n / 100) > 1) AS large_chunks_split, CAST(sum(CASE WHEN n > 150 THEN ceil(n / 100) ELSE 1 END) AS BIGINT) AS final_nodes, CAST(CASE WHEN max(run) >= 2 THEN max(run) ELSE 0 END AS BIGINT) AS title_chunks_merged,
+count(*) FILTER (header IS NOT NULL AND NOT starts_with(text, '#') AND regexp_matches(string_split(text, chr(10))[1], '^CHƯƠNG\s+[IVXLCDM0-9]+|^##?\s*Chương\s+\d+|^\*?\*?Điều\s+\d+\.')) AS patterns_detected,
+count(*) FILTER (regexp_matches(text, '\|?\s*---+\s*\|')) AS tables_detected, CAST(0 AS BIGINT) AS table_chunks_created FROM sized GROUP BY 1"""
+
+
 def _tables(spark: SparkSession, d: str, group: bool) -> DataFrame:
     """Markdown tables of 9 and 31 customers, with a group row before every tenth."""
     k = F.col("c_custkey")
@@ -206,6 +223,7 @@ QUERIES = {
     "header_chunks": Query(header_chunks, HEADER),
     "title_merge": Query(title_merge, TITLES),
     "chunk_stats": Query(chunk_stats, STATS),
+    "splitting_report": Query(splitting_report, REPORT),
     "table_row_chunks": Query(table_row_chunks, ROWS),
     "table_group_chunks": Query(table_group_chunks, GROUPS),
     "sub_chunks": Query(sub_chunks, SUBS),

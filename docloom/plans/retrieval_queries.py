@@ -207,10 +207,17 @@ CONTEXT = f"""WITH {CANDIDATES} SELECT qid, md5(string_agg('[Nguồn ' || rank |
 
 
 def distilled_context(spark: SparkSession, d: str) -> DataFrame:
-    """Rows only: a stand-in for a model's summary."""
+    """A stand-in for a model's summary: the sentences that share a term with the question."""
     return retrieval.distil(_candidates(spark, d).withColumn("file_name", F.col("source"))).select("qid", "distilled", F.length("context").alias("n_chars"))
 
 
+DISTILLED = rf"""WITH {CANDIDATES}, raw AS (SELECT qid, count(*) AS n, string_agg('[Nguồn ' || rank || ': ' || source || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM cand GROUP BY 1),
+s AS (SELECT qid, rank, array_to_string(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(30), 'g'), chr(30)), lambda x: list_has_any({TERMS.format("x")}, {TERMS.format("query")})), ' ') AS said FROM cand),
+short AS (SELECT qid, coalesce(string_agg(said, chr(10) ORDER BY rank) FILTER (said <> ''), '') AS short FROM s GROUP BY 1),
+g AS (SELECT qid, context, short, n >= 3 AND length(short) > 0 AND length(short) <= 0.9 * length(context) AS good FROM raw JOIN short USING (qid))
+SELECT qid, good AS distilled, CAST(length(CASE WHEN good THEN short ELSE context END) AS INT) AS n_chars FROM g"""
+
+
 def embedding_index(spark: SparkSession, d: str) -> DataFrame:
     """Hashed term vectors in millionths, and the cost of embedding, by document."""
     found = retrieval.hashing_embeddings(read(spark, d, "documents"), "doc_id", "text", 16)
@@ -252,7 +259,7 @@ QUERIES = {
     "dedup_max_score": Query(dedup_max_score, DEDUP),
     "retrieve_structured": Query(retrieve_structured, STRUCTURED),
     "raw_context": Query(raw_context, CONTEXT),
-    "distilled_context": Query(distilled_context),
+    "distilled_context": Query(distilled_context, DISTILLED),
     "embedding_index": Query(embedding_index, EMBEDDING),
     "vector_index_pairs": Query(vector_index_pairs),
     "corpus_terms": Query(corpus_terms, TERM_COUNTS),
