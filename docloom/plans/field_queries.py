@@ -160,7 +160,20 @@ BY_TIME = """WITH e AS (SELECT *, sum(CASE WHEN event_type IN ('signup', 'error'
 c AS (SELECT user_id, g, event_type AS kind, 'c' || event_id % 5 AS client_id FROM e WHERE event_type IN ('signup', 'error'))
 SELECT e.user_id, event_id AS seq, c.client_id, event_type AS payload FROM e JOIN c ON c.user_id = e.user_id AND c.g = e.g WHERE c.kind = 'signup' AND event_type NOT IN ('signup', 'error')"""
 
+def thread_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Threads of conversations: every third turn's message comes again with a new text, and every fifth's is removed after that."""
+    c = read(spark, d, "conversations").select(F.col("conv_id").alias("thread_id"), F.concat(F.lit("m"), F.col("turn")).alias("message_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    first = c.withColumn("removed", F.lit(None).cast("boolean")).withColumn("seq", F.col("turn"))
+    again = c.where("turn % 3 = 0").select("thread_id", "message_id", "turn", "role", F.concat(F.lit("new "), "text").alias("text"), F.lit(False).alias("removed"), (F.col("turn") + 1000).alias("seq"))
+    gone = c.where("turn % 5 = 0").select("thread_id", "message_id", "turn", "role", "text", F.lit(True).alias("removed"), (F.col("turn") + 2000).alias("seq"))
+    found = stateful.thread_messages_at_once(first.unionAll(again).unionAll(gone))
+    return found.select("thread_id", "n", F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["text"])), "\n")).alias("messages_md5"))
+
+
+THREADS = """SELECT conv_id AS thread_id, count(*) FILTER (turn % 5 <> 0) AS n, md5(coalesce(string_agg(role || ':' || CASE WHEN turn % 3 = 0 THEN 'new ' ELSE '' END || text, chr(10) ORDER BY turn) FILTER (turn % 5 <> 0), '')) AS messages_md5 FROM conversations GROUP BY 1"""
+
 QUERIES = {
+    "thread_messages": Query(thread_messages, THREADS),
     "folder_category": Query(folder_category, FOLDER_CATEGORY),
     "file_metadata": Query(file_metadata, FILE_METADATA),
     "portal_fields": Query(portal_fields, PORTAL_FIELDS),
