@@ -89,8 +89,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, text
         wanted = wanted.join(tables.sized(misses[0]), "digest", "left_semi")
     _new_counts(wanted, tokenizer).select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     tables.drop_stored(*misses)
-    # Runs at the same time may both have stored a text.
-    counts = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n"))
+    # Runs at the same time may both have stored a text. Written down, the counts don't bind the join below to their grouping, so that Spark can split the rows of a
+    # text that very many documents have.
+    counts = tables.sized(tables.stored(read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n")), "counts"))
     kept = [c for c in docs.columns if c not in (out, "n_bytes")]
     # The document's columns go in a struct, where no name clashes with the join's.
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row") if kept else F.lit(None).alias("row"), F.octet_length(body).cast("long").alias("bytes"), digest.alias("digest"))
