@@ -7,14 +7,15 @@ of their own; near-duplicate removal keeps one row of each component of near cop
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontamination, packing, suffix_dedup, toxicity
+from docloom.llm import decontamination, packing, simhash, suffix_dedup, toxicity
 from docloom.llm.bpe import default_tokenizer
+from docloom.llm.components import connected_components
 from docloom.llm.near_copies import near_copies
 from docloom.llm.queries import table
-from docloom.plans.stored import sized, stored
+from docloom.plans.stored import drop_stored, free_shuffles, sized, stored
 
 SEQUENCE_TOKENS, WINDOW_WORDS = 1024, 10
 
@@ -26,11 +27,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts with a five-word shingle similarity of 0.8 or more one row stays: that with the smallest doc_id, then version; null ids last.
+    """Of each component of near copies one row stays: that with the smallest doc_id, then version; null ids last.
 
-    Texts that share a doc_id, or have none, are told apart by their version; only repeats within a component go.
+    Two texts are linked if their SimHash fingerprints differ in three bits or fewer, or if their five-word shingles have a similarity of 0.8 or
+    more. Texts that share a doc_id, or have none, are told apart by their version; only repeats within a component go.
     """
-    found = stored(near_copies(docs), "near_copies")
+    prints = simhash.near_duplicates(docs.select(_version().alias("version"), "text"), "version")
+    alike = stored(prints.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).distinct(), "alike")
+    drop_stored(prints)
+    free_shuffles(spark)
+    near = near_copies(docs)
+    found = stored(near, "near_copies")
+    drop_stored(near)
+    found = stored(_joined(found, alike), "near_copies")
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("f")).select("component", "f.doc_id", "f.version")
     same = F.expr("d.doc_id <=> k.doc_id and d.version = k.version")
     # Rows of the kept id and text: where there are several, one of them stays.
@@ -41,9 +50,23 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     return once.unionAll(often.dropDuplicates(["doc_id", "version"])).select("row.*")
 
 
+def _joined(found: DataFrame, alike: DataFrame) -> DataFrame:
+    """``found`` (doc_id, version, component) with components that links (a, b) between versions join made one."""
+    own = found.select("version", "component").distinct()
+    first = alike.join(own.select(F.col("version").alias("a"), F.col("component").alias("ca")), "a").select("ca", "b").distinct()
+    both = first.join(own.select(F.col("version").alias("b"), F.col("component").alias("cb")), "b").where("ca <> cb")
+    roots = stored(connected_components(both.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "roots")
+    placed = found.join(sized(roots), F.col("component") == F.col("node"), "left")
+    return placed.select("doc_id", "version", F.coalesce("root", "component").alias("component"))
+
+
+def _version() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def _versions(docs: DataFrame) -> DataFrame:
     """(row, doc_id, version): each row whole, apart from the hash that tells texts of one id apart, whatever its columns are named."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", _version().alias("version"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 from docloom.llm.near_copies import near_copies
+from docloom.llm.simhash import fingerprint
 
 
 def grams(text):
@@ -99,3 +100,16 @@ def test_crowded_keys_are_compared_in_chunks(spark, monkeypatch):
     for i in range(len(texts)):
         least.setdefault(got[i], i)
     assert [least[got[i]] for i in range(len(texts))] == want
+
+
+def test_fingerprints_within_three_bits_link_too(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=6))
+    line, ends = "alpha beta gamma ", [" ".join(word() for _ in range(30)) for _ in range(4)]
+    often = [line * 300 + e for e in ends[:3]]  # repeats decide the fingerprint, but count once in a set of shingles
+    texts = [often[0], often[1], line * 3 + ends[1], often[2], line * 3 + ends[3], None, ""]
+    bits = [fingerprint(t or "") for t in texts]
+    assert all((bits[0] ^ bits[i]).bit_count() <= 3 and similarity(texts[0], texts[i]) < 0.8 for i in (1, 3))
+    assert similarity(texts[1], texts[2]) >= 0.8 and (bits[1] ^ bits[2]).bit_count() > 3
+    kept = corpus_pipeline.keep_one_of_near_duplicates(spark, rows_of(spark, enumerate(texts)), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 4, 5]
