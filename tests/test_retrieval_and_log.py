@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,3 +148,17 @@ def test_hashed_vectors(spark):
         counts[place(w)] += 1
     norm = math.sqrt(sum(c * c for c in counts))
     assert got[1] == pytest.approx([c / norm for c in counts]) and got[2] == got[3] == got[4] == [0.0] * 8
+
+
+def test_bm25_tasks_follow_the_rows_summed(spark, monkeypatch):
+    """Larger corpora are summed by more tasks, whatever the bytes that are read; the rows are the same."""
+    words = "alpha beta gamma delta".split()
+    corpus = spark.createDataFrame([(i, " ".join(words[i % 4 :] + [f"w{i}"] * (i % 5))) for i in range(200)] + [(200, None), (201, "")], "chunk_id long, text string")
+    queries = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta w7"), (3, "absent")], "qid long, query string")
+    want = sorted(retrieval.bm25(queries, corpus).collect())
+    monkeypatch.setattr(retrieval, "TASK_ROWS", 20, raising=False)
+    cut = retrieval.bm25(queries, corpus)
+    dealt = re.search(r"hashpartitioning\(chunk_id#\d+L, (\d+)\), REPARTITION_BY_NUM", cut._jdf.queryExecution().executedPlan().toString())
+    assert dealt and int(dealt[1]) == 21  # 404 scores at most
+    assert sorted(cut.collect()) == want and len(want) == 20
+    assert retrieval.bm25(queries, corpus.limit(0)).count() == 0
