@@ -127,3 +127,16 @@ def test_score(one):
     assert one("word " * 300, quality.score) == pytest.approx(30 + 2 + 30)
     assert one("the is a " * 50, quality.rejection) == "low_score_17.0"
     assert one(None, quality.hard_rule) == "empty_content"
+
+
+def test_python_gets_long_texts_in_small_batches(spark, tmp_path):
+    from docloom.plans.query import read
+
+    @F.pandas_udf("int")
+    def rows_of_batch(s):
+        return s.str.len() * 0 + len(s)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.range(3000).selectExpr("id doc_id", "'abc' text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = read(spark, str(tmp_path), "documents").coalesce(1)
+    assert docs.select(rows_of_batch("text").alias("n")).agg(F.max("n")).first()[0] <= 512
