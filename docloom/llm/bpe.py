@@ -3,7 +3,8 @@
 A byte-level BPE splits a text into words by a fixed pattern and encodes each word by itself, so the ids of a
 text are the joined ids of its words. A worker keeps the ids of words it has met. Only texts whose characters
 are all in a range where the pattern's classes are certain take this way; any other text (and any text that
-holds a special token's string) is encoded by the library as a whole.
+holds a special token's string) is encoded by the library as a whole. Characters are judged when a word is new:
+no word with another character is kept, so a text of kept words has none.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import os
 import re
 import sys
 from array import array
+from collections.abc import Callable
 
 #: The character classes of the byte-level BPE pattern within U+0000-U+024F and common punctuation.
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
@@ -25,6 +27,29 @@ BYTE_LEVEL = "ByteLevel"
 CACHE_WORDS, CACHED_CHARS = 400_000, 64
 
 
+class Uncertain(Exception):
+    """A word has a character whose class isn't certain."""
+
+
+class Words(dict):
+    """Ids of the words met last; those met ``before`` them come back when they are asked for, and new ones from ``learn``."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn = learn
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.learn(word)
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.before = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """``ids(text)`` gives the text's ids as little-endian unsigned 32-bit bytes."""
 
@@ -45,8 +70,9 @@ class WordEncoder:
             and spec.get("normalizer") is None
             and spec["model"]["type"] == "BPE"
         )
-        specials = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
-        self.uncertain = re.compile("|".join([f"[^{CERTAIN}]", *specials])).search
+        self.model = self.tokenizer.model
+        self.specials = [t["content"] for t in spec.get("added_tokens", [])]
+        self.uncertain = re.compile(f"[^{CERTAIN}]").search
         # A space run gives its last space to a following word, unless another blank ends it.
         self.words = re.compile(
             f"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{SPACES}{LETTERS}{DIGITS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
@@ -56,44 +82,32 @@ class WordEncoder:
         hidden = (b for b in range(256) if b not in visible)
         self.spelling = {b: 0x100 + k for k, b in enumerate(hidden)}
         self.space = chr(self.spelling[0x20])
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.known = Words(self._single)
+
+    @property
+    def before(self) -> dict[str, bytes]:
+        return self.known.before
 
     def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _single(self, word: str) -> bytes:
         """A word's ids by the library's model, the word being spelt in its characters for bytes."""
+        if self.uncertain(word):
+            raise Uncertain
         if word.isascii() and word.isprintable():
             spelt = word.replace(" ", self.space)
         else:
             spelt = word.encode().decode("latin-1").translate(self.spelling)
-        return _packed([t.id for t in self.tokenizer.model.tokenize(spelt)])
-
-    def _missing(self, words: list[str]) -> dict[str, bytes]:
-        """Learn the words that aren't known; long ones are returned, but not kept."""
-        new = []
-        for w in {w for w in words if w not in self.known}:
-            if w in self.before:
-                self.known[w] = self.before[w]
-            else:
-                new.append(w)
-        learnt = {w: self._single(w) for w in new}
-        if len(self.known) > CACHE_WORDS:
-            self.known, self.before = {}, self.known
-        self.known.update((w, ids) for w, ids in learnt.items() if len(w) <= CACHED_CHARS)
-        return learnt
+        return _packed([t.id for t in self.model.tokenize(spelt)])
 
     def ids(self, text: str) -> bytes:
-        if not self.by_words or self.uncertain(text):
+        if not self.by_words or any(s in text for s in self.specials):
             return self._whole(text)
-        words = self.words(text)
         try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            learnt = self._missing(words)
-            known, before = self.known, self.before
-            return b"".join([known.get(w) or learnt.get(w) or before[w] for w in words])
+            return b"".join(map(self.known.__getitem__, self.words(text)))
+        except Uncertain:
+            return self._whole(text)
 
 
 def _packed(ids: list[int]) -> bytes:

@@ -109,6 +109,19 @@ def test_full_caches_and_long_words(monkeypatch):
         assert all(len(w) <= 6 for w in [*fast.known, *fast.before])
 
 
+def test_characters_are_judged_once_a_word():
+    """A text of known words isn't scanned again; a word that the pattern may cut otherwise is never kept, so its texts go to the library each time."""
+    fast, seen = WordEncoder(default_tokenizer()), []
+    judge = fast.uncertain
+    fast.uncertain = lambda s: seen.append(s) or judge(s)
+    odd = ["one two \u043e\u0434\u0438\u043d three", "one\x1ctwo", "one two<|endoftext|> one", "one \u0661\u0662 two"]
+    for text in ["one two, one two", "two one", *odd, *odd, "one three two"]:
+        assert np.frombuffer(fast.ids(text), "<u4").tolist() == exact(text)
+    assert "one two, one two" not in seen and "two one" not in seen
+    assert [seen.count(w) for w in ("one", " two", ",", " one")] == [1, 1, 1, 1]
+    assert not any(judge(w) for w in fast.known)
+
+
 def test_columns_of_any_name_pass_through(spark):
     names = ["__n", "__digest", "digest", "n", "body", "row", "key", "rows", "version", "bytes", "tokenizer"]
     df = frame(spark, ["a b", "a b", None, "c"])
